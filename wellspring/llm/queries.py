@@ -4,13 +4,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document through the byte-level vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -27,5 +32,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_byte_bpe": op9_byte_bpe, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op3_packing": op3_packing, "op9_byte_bpe": op9_byte_bpe, "op10_quality_rules": op10_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
