@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality
+from . import bpe, dedup, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near duplicates at a similarity of 0.8."""
+    classes, _ = dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return classes
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document through the byte-level vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,5 +38,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_packing": op3_packing, "op9_byte_bpe": op9_byte_bpe, "op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op6_bag_minhash": op6_bag_minhash,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE_SQL: dict[str, str] = {}
