@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, packing, quality
+from . import bpe, dedup, langid, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes
 
 
+def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by kernel ridge regression on landmarks."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round trip of every document through the byte-level vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -41,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_packing": op3_packing,
     "op6_bag_minhash": op6_bag_minhash,
+    "op8_string_kernel": op8_string_kernel,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
