@@ -4,13 +4,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, packing, quality
+from . import bpe, dedup, langid, logbloom, packing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document by the unigram base and by bigrams from the filter."""
+    return logbloom.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -44,6 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_log_frequency_bloom": op1_log_frequency_bloom,
     "op3_packing": op3_packing,
     "op6_bag_minhash": op6_bag_minhash,
     "op8_string_kernel": op8_string_kernel,
