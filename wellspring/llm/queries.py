@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, logbloom, packing, quality
+from . import bpe, dedup, langid, logbloom, packing, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbloom.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op2_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the classifier trained on the label model's posteriors."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -50,6 +55,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_log_frequency_bloom": op1_log_frequency_bloom,
+    "op2_weak_toxicity": op2_weak_toxicity,
     "op3_packing": op3_packing,
     "op6_bag_minhash": op6_bag_minhash,
     "op8_string_kernel": op8_string_kernel,
