@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, logbloom, packing, quality, toxicity
+from . import bpe, dedup, langid, logbloom, packing, quality, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes
 
 
+def op7_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op8_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by kernel ridge regression on landmarks."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -58,8 +63,21 @@ QUERIES = {
     "op2_weak_toxicity": op2_weak_toxicity,
     "op3_packing": op3_packing,
     "op6_bag_minhash": op6_bag_minhash,
+    "op7_norm_buckets": op7_norm_buckets,
     "op8_string_kernel": op8_string_kernel,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can say the same. DuckDB needs doubles for list_dot_product; the sums are whole numbers that doubles hold.
+ORACLE_SQL: dict[str, str] = {
+    "op7_norm_buckets": """
+with v as (
+  select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) x from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda e: e is null or not isfinite(e::double))) = 0),
+s as (
+  select q.vec_id query_id, c.vec_id, list_dot_product(q.x, c.x)::bigint score
+  from v q join v c on c.vec_id <> q.vec_id where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+}
