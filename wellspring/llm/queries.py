@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, logbloom, packing, quality, topk, toxicity
+from . import bpe, chat, dedup, langid, logbloom, packing, pages, quality, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_consensus_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page along its host's winning path."""
+    found = pages.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")
+
+
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotations, in the reply order of its conversation."""
+    return chat.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op6_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near duplicates at a similarity of 0.8."""
     classes, _ = dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -62,6 +73,8 @@ QUERIES = {
     "op1_log_frequency_bloom": op1_log_frequency_bloom,
     "op2_weak_toxicity": op2_weak_toxicity,
     "op3_packing": op3_packing,
+    "op4_consensus_paths": op4_consensus_paths,
+    "op5_quotation_links": op5_quotation_links,
     "op6_bag_minhash": op6_bag_minhash,
     "op7_norm_buckets": op7_norm_buckets,
     "op8_string_kernel": op8_string_kernel,
