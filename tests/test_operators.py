@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wellspring.functions.cdf import beta_inc, gamma_upper
-from wellspring.operators import graph, joins, pixels, spatial, stats
+from wellspring.operators import geometry, graph, joins, pixels, spatial, stats
 from wellspring.sources import tables
 
 
@@ -66,3 +66,19 @@ def test_image_names(spark):
     df = spark.createDataFrame([("P_B03_T0001F002L01A03Z04C02.tif",), ("other.png",)], "file string")
     r = tables.parse_image_names(df).collect()
     assert len(r) == 1 and (r[0].well_id, r[0].field_id, r[0].z_stack_id, r[0].channel_id) == ("B03", "002", "04", "02")
+
+
+def test_hull_of_the_unit_cube():
+    rng = np.random.default_rng(0)
+    corners = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)], dtype=float)
+    v, a = geometry.hull_volume_area(np.vstack([corners, rng.uniform(0.1, 0.9, (200, 3))]))
+    assert abs(v - 1) < 1e-9 and abs(a - 6) < 1e-9
+    assert geometry.hull_volume_area(corners[:3]) == (0.0, 0.0)
+    assert geometry.hull_volume_area(np.c_[corners[:, :2], np.zeros(8)]) == (0.0, 0.0)
+    assert geometry.hull_volume_area(np.outer(np.arange(5), [1, 2, 3])) == (0.0, 0.0)
+
+
+def test_line_and_plane(spark):
+    p = points(spark, [(str(i), float(i), 2.0 * i, 0.0, 0) for i in range(5)])
+    assert abs(geometry.line_fit_distance(p).first().distance) < 1e-6
+    assert geometry.plane_detected(p).first().plane_detected is True
