@@ -92,18 +92,21 @@ add("t20_proliferation_score", N(lambda n: n.groupBy(*KL).agg(F.avg(F.col("leide
 add("t17_cluster_wilcoxon", N(lambda n: stats.p_adjust(stats.rank_sum(A.fractions(n, ["well_id", "z_slice"], "leiden").select(F.col("leiden").cast("string").alias("feature"), F.substring("well_id", 1, 1).alias("row"), F.col("fraction").alias("value")), "row", "A"), "p")), doubles="u auc z p p_adjusted")
 
 # Models
-_vec = VectorAssembler(inputCols=FS, outputCol="v", handleInvalid="skip")
+
+
+def _features(df):
+    return VectorAssembler(inputCols=FS, outputCol="v", handleInvalid="skip").transform(df)
 
 
 def _pca(s, d, k=2):
     x = A.zscore(wells(s, d).select("well_id", *FS), [], FS)
-    x = _vec.transform(x)
+    x = _features(x)
     out = PCA(k=k, inputCol="v", outputCol="p").fit(x).transform(x)
     return out.select("well_id", *[F.abs(vector_to_array("p")[i]).alias(f"abs_pc{i + 1}") for i in range(k)])
 
 
 add("e5_pca", _pca, doubles="abs_pc1 abs_pc2")
-add("e16_kmeans", W(lambda w: (lambda v: KMeans(k=3, seed=1, featuresCol="v").fit(v).transform(v).groupBy("prediction").agg(F.count("*").alias("n")))(_vec.transform(A.zscore(w.select("well_id", *FS), [], FS)))))
+add("e16_kmeans", W(lambda w: (lambda v: KMeans(k=3, seed=1, featuresCol="v").fit(v).transform(v).groupBy("prediction").agg(F.count("*").alias("n")))(_features(A.zscore(w.select("well_id", *FS), [], FS)))))
 add("e18_one_hot", W(lambda w: (lambda i: OneHotEncoder(inputCols=["i"], outputCols=["o"], dropLast=False).fit(i).transform(i).select("well_id", vector_to_array("o").alias("one_hot")))(StringIndexer(inputCol="plate_id", outputCol="i", stringOrderType="alphabetAsc").fit(w).transform(w))), "select well_id, [(plate_id = 'F')::int::double, (plate_id = 'O')::int::double, (plate_id = 'P')::int::double] one_hot from wells", "wells")
 add("e19_marker_long_table", N(lambda n: A.zscore(A.unpivot(n, ["label"], ["f1", "f2"]), ["feature"], ["value"], eps=1e-10)), "select label, feature, (value - avg(value) over w) / (stddev_samp(value) over w + 1e-10) as value from (select label, unnest(['f1','f2']) feature, unnest([f1, f2]) as value from nuclei) window w as (partition by feature)", "nuclei", "value")
 add("e20_ridge_impute", W(lambda w: (lambda v: LinearRegression(featuresCol="v", labelCol="f4", regParam=0.1, elasticNetParam=0.0).fit(v).transform(v).select("well_id", "prediction"))(VectorAssembler(inputCols=["f1", "f2", "f3"], outputCol="v").transform(w))), doubles="prediction", digits=4)
