@@ -82,3 +82,12 @@ def test_line_and_plane(spark):
     p = points(spark, [(str(i), float(i), 2.0 * i, 0.0, 0) for i in range(5)])
     assert abs(geometry.line_fit_distance(p).first().distance) < 1e-6
     assert geometry.plane_detected(p).first().plane_detected is True
+
+
+def test_communities_of_two_cliques(spark):
+    e = [(a, b, 1.0) for a in range(5) for b in range(a)] + [(a + 10, b + 10, 1.0) for a in range(5) for b in range(a)] + [(0, 10, 0.1)]
+    df = spark.createDataFrame(e, "src long, dst long, weight double")
+    got = {r.node: r.community for r in graph.label_communities(df).collect()}
+    assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
+    q = graph.modularity(df, spark.createDataFrame(list(got.items()), "node long, community long")).first().modularity
+    assert abs(q - (20 / 20.1 - 2 * 20.1**2 / (4 * 20.1**2))) < 1e-9

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import embedding as E
-from ..operators import joins, mixing, spatial
+from ..operators import graph, joins, mixing, spatial
 from ..sources.fixtures import nuclei, pixels, table, wells
 from .registry import add
 from .tables import FS, W
@@ -47,3 +47,14 @@ def _spatial_features(s, d):
 
 
 add("g15_spatial_features", _spatial_features, doubles="value")
+
+
+def _communities(s, d):
+    k, _ = _knn(s, d, 8)
+    e = k.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 / (1 + F.col("dist"))).alias("weight")).dropDuplicates(["src", "dst"])
+    return e, graph.label_communities(e)
+
+
+add("e10_communities", lambda s, d: _communities(s, d)[1])
+add("e10_modularity", lambda s, d: graph.modularity(*_communities(s, d)), doubles="modularity")
+add("m11_cnmi_cari", lambda s, d: E.clustering_agreement(_communities(s, d)[1].join(table(s, d, "embeddings").select(F.col("vec_id").alias("node"), "label"), "node"), "community", "label"), doubles="nmi ari")
