@@ -102,7 +102,7 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if "words" not in _state:
         import xxhash
 
-        _state["words"] = Memo(xxhash.xxh3_64_intdigest, 400_000)
+        _state["words"] = Memo(xxhash.xxh3_64_intdigest, 250_000)
     get = _state["words"].__getitem__
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(s) + 1 for s in split], dtype=np.int64)
