@@ -131,6 +131,22 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert sum(r.doc_id == 4 for r in got) == 2
 
 
+def test_near_duplicates_link_through_a_closed_member(spark):
+    """In each group the last text resembles one text only, which is of the class of a large group and never its centre."""
+    docs = []
+    for g in range(24):
+        base = [f"g{g}w{i}" for i in range(200)]
+        edge = ["b" + w if i in (10, 30) else w for i, w in enumerate(base)]
+        far = ["c" + w if i in (50, 70, 90, 110) else w for i, w in enumerate(edge)]
+        copies = [["d" + w if i == 130 + k else w for i, w in enumerate(base)] for k in range(12)]
+        docs += [(1000 * g + k, " ".join(w)) for k, w in enumerate([*copies, edge, far])]
+    bag = {i: Counter(zip(*(t.split()[j:] for j in range(5)))) for i, t in docs}
+    links = {(i, j) for i in bag for j in bag if j - i > 0 and i // 1000 == j // 1000 and sum((bag[i] & bag[j]).values()) >= 0.8 * sum((bag[i] | bag[j]).values())}
+    assert all({i for i, j in links if j == 1000 * g + 13} == {1000 * g + 12} for g in range(24))
+    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))[0].collect()
+    assert {r.doc_id: (r.class_id, r.class_size) for r in got} == {i: (i // 1000 * 1000, 14) for i in bag}
+
+
 def test_language_model(spark, odd, empty):
     docs = [(r.doc_id, r.text) for r in odd.where("doc_id is not null").collect()] + [(100 + i, f"the cat sat on mat{i % 3} The") for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string")

@@ -179,8 +179,8 @@ def _bags(src: DataFrame) -> DataFrame:
     return common.map_text_chunks(src.select("vid", "text"), run, "vid long, shingles array<long>, counts array<int>", "text")
 
 
-def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Of pairs (v, p) those whose bags overlap by least or more: (v, p, similarity)."""
+def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """Pairs (v, p) with the overlap of their bags: (v, p, similarity)."""
     left = bags.select(F.col("vid").alias("v"), F.col("shingles").alias("s1"), F.col("counts").alias("c1"))
     right = bags.select(F.col("vid").alias("p"), F.col("shingles").alias("s2"), F.col("counts").alias("c2"))
 
@@ -192,11 +192,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     def run(batches):
         for b in batches:
             sim = [bag_overlap(bag(b, i, "s1", "c1"), bag(b, i, "s2", "c2")) for i in range(b.num_rows)]
-            keep = [i for i, x in enumerate(sim) if x >= least]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("v").take(pa.array(keep, pa.int64())), b.column("p").take(pa.array(keep, pa.int64())),
-                 pa.array([sim[i] for i in keep], pa.float64())], names=["v", "p", "similarity"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("p"), pa.array(sim, pa.float64())], names=["v", "p", "similarity"])
 
     return pairs.join(left, "v").join(right, "p").mapInArrow(run, "v long, p long, similarity double")
 
@@ -228,7 +224,7 @@ class _Search:
     def __init__(self, members: DataFrame, bags: DataFrame, least: float):
         self.members, self.bags, self.least = members, bags, least
         self.open = members.select("key", "vid")
-        self.used = self.links = self.tried = None
+        self.used = self.links = self.tried = self.first = None
 
     def meet(self, pivots: DataFrame, same: DataFrame | None = None) -> None:
         """Verify open rows against pivots (key, p) of their bucket and close those that link.
@@ -247,10 +243,12 @@ class _Search:
         pairs = met.where("not alike").select("v", "p").distinct()
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["v", "p"], "left_anti")
-        pairs = _kept(pairs)
-        found = _kept(_verified(pairs, self.bags, self.least))
+        tested = _kept(_verified(pairs, self.bags))
+        found = tested.where(F.col("similarity") >= self.least)
         self.links = found if self.links is None else self.links.unionByName(found)
-        self.tried = pairs if self.tried is None else self.tried.union(pairs)
+        self.tried = tested.select("v", "p") if self.tried is None else self.tried.union(tested.select("v", "p"))
+        if self.first is None:
+            self.first = pivots, tested
         known = self.links.select("v", "p").union(self.links.select(F.col("p").alias("v"), F.col("v").alias("p")))
         done = met.where("not alike").join(known, ["v", "p"], "left_semi").select("key", F.col("v").alias("vid"))
         done = done.union(met.where("alike").select("key", F.col("v").alias("vid"))).distinct()
@@ -289,6 +287,38 @@ class _Search:
             self.meet(_kept(best), same)
             cells *= 8
 
+    def complete(self, same: DataFrame) -> None:
+        """Verify what is left: pairs of a bucket's members, open or closed, not tried and of two classes.
+
+        same must hold all links found. 1 - overlap of bags is a metric and all
+        members of a bucket have met its first pivot, so two whose overlaps with
+        it differ by more than 1 - least cannot link; nor can bags whose weights
+        differ by more. Nothing else is left out.
+        """
+        kind = same.select(F.col("node").alias("vid"), "component")
+        rest = self.members.select("key", "vid").join(kind, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
+        mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
+        rest = _kept(rest.join(mixed, "key", "left_semi"))
+        if rest.isEmpty():
+            return
+        rest = _kept(_without_hope(rest, rest.select("vid").distinct(), self.bags, self.least))
+        pivots, tested = self.first
+        rest = rest.join(pivots, "key").join(tested.withColumnRenamed("v", "vid"), ["vid", "p"], "left")
+        weight = F.coalesce(F.aggregate("counts", F.lit(0), lambda x, y: x + y), F.size("shingles"))
+        rest = rest.withColumn("far", F.when(F.col("vid") == F.col("p"), 0.0).otherwise(1 - F.col("similarity")))
+        rest = rest.join(self.bags.select("vid", weight.alias("weight")), "vid")
+        most = 1 - self.least + 1e-9
+        rest = _kept(rest.select("key", "vid", "component", "far", "weight", F.floor(F.col("far") / most).alias("ring")))
+        a = rest.select("key", F.col("vid").alias("v"), F.col("component").alias("cv"), F.col("far").alias("fv"), F.col("weight").alias("wv"),
+                        F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))
+        b = rest.select("key", "ring", F.col("vid").alias("p"), F.col("component").alias("cp"), F.col("far").alias("fp"), F.col("weight").alias("wp"))
+        near = (F.col("v") > F.col("p")) & (F.col("cv") != F.col("cp")) & (F.abs(F.col("fv") - F.col("fp")) <= most)
+        near = near & (F.least("wv", "wp") >= (self.least - 1e-9) * F.greatest("wv", "wp"))
+        pairs = a.join(b, ["key", "ring"]).where(near).select("v", "p").distinct()
+        met = self.tried.select(F.greatest("v", "p").alias("v"), F.least("v", "p").alias("p"))
+        found = _kept(_verified(pairs.join(met, ["v", "p"], "left_anti"), self.bags).where(F.col("similarity") >= self.least))
+        self.links = self.links.unionByName(found)
+
 
 def near_duplicates(
     df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
@@ -305,9 +335,11 @@ def near_duplicates(
     In a bucket of the bands members are verified against the most central
     member (that with most neighbours over all its buckets), not against all.
     Those that fail, are of no class with it, and of whose shingles others
-    hold enough, meet the next central one, and then each other until every
-    pair of them has met or is of one class. No bucket is capped, gathered in a task, or spelled out in pairs
-    when its members are alike.
+    hold enough, meet the next central one, and then each other. At last the
+    members of buckets that hold several classes meet across these, but for
+    pairs that cannot link, so every pair of a bucket has met, is of one class,
+    or is known to overlap by less. No bucket is capped, gathered in a task, or
+    spelled out in pairs when its members are alike.
     """
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("vid", F.xxhash64("text"))
     rows = durable(_bands(src))
@@ -330,9 +362,11 @@ def near_duplicates(
         search.prune(member.join(failed, "key", "left_semi").select("vid").distinct())
         search.central(same)
         search.exhaust(same)
-
+        same = _kept(connected_components(search.links, "v", "p", shrink=SMALLER))
+    known = search.links
+    search.complete(same)
     links = search.links
-    part = connected_components(links, "v", "p", shrink=SMALLER)
+    part = same if links is known else connected_components(links, "v", "p", shrink=SMALLER)
     by_text = texts.select("vid", "rep").join(part, F.col("vid") == F.col("node"), "left")
     by_text = by_text.select("vid", "rep", F.coalesce("component", "vid").alias("component"))
     classes = by_text.groupBy("component").agg(F.min("rep").alias("class_id"))
