@@ -10,29 +10,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import dedup, langid, packing, quality
+from wellspring.llm import common, dedup, langid, packing, quality
 from wellspring.session import durable
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds row_key, of id and text: stages decide by it, so null and repeated ids are documents like others."""
+    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+
+
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose id is among verdicts; each stage decides by id, so repeated ids share a fate."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """Documents whose row key is among verdicts."""
+    return _keyed(docs).join(verdicts.select("row_key").distinct(), "row_key", "left_semi").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model over the quality rules holds for good; those without words go."""
-    return _kept(docs, quality.quality_posterior(docs).where("quality >= 0.5"))
+    return _kept(docs, quality.quality_posterior(_keyed(docs), id_col="row_key").where("quality >= 0.5"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not und, and with a score of 0.5 or more."""
-    return _kept(docs, langid.identify(docs).where("lang_pred <> 'und' and score >= 0.5"))
+    scorer = langid.fit(docs.where(common.id_bucket("doc_id", 5) != 0))
+    return _kept(docs, langid.predict(_keyed(docs), scorer, "row_key").where("lang_pred <> 'und' and score >= 0.5"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that with the smallest id, once."""
-    classes, _ = dedup.near_duplicates(docs)
-    return _kept(docs, classes.where("doc_id = class_id")).dropDuplicates(["doc_id"])
+    """One document of each class of near duplicates: that with the smallest id, once, whatever else has this id."""
+    first = dedup.representatives(docs).select(F.col("doc_id").alias("rep"), "vid")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("vid")), "left_semi")
+    once = kept.groupBy("doc_id", "text_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 
@@ -12,3 +14,19 @@ def test_stages_keep_columns_and_shrink(spark):
         docs, seen = out, out.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == seen
+
+
+def test_stages_decide_by_row(spark):
+    """Null and repeated ids are documents like others: each stage keeps the same texts as under unique ids."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where(F.col("text").rlike("[a-z]")).orderBy("doc_id").limit(100)
+    odd = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).when(F.col("doc_id") % 3 == 1, F.col("doc_id") - 1))
+    odd, docs = odd.union(odd).localCheckpoint(), docs.union(docs).localCheckpoint()
+    kept = corpus_pipeline.quality_rules(spark, docs, sf)
+    texts = lambda df: {r.text for r in df.collect()}
+    assert texts(corpus_pipeline.quality_rules(spark, odd, sf)) == texts(kept)
+    spoken = corpus_pipeline.language(spark, odd, sf)
+    assert spoken.where("doc_id is null").count() > 20
+    rows = corpus_pipeline.near_duplicates(spark, odd, sf).collect()
+    seen = corpus_pipeline.near_duplicates(spark, docs, sf).count()
+    assert len(rows) == len({r.text for r in rows}) == seen

@@ -147,6 +147,15 @@ def test_near_duplicates_link_through_a_closed_member(spark):
     assert {r.doc_id: (r.class_id, r.class_size) for r in got} == {i: (i // 1000 * 1000, 14) for i in bag}
 
 
+def test_near_duplicates_keep_rows_of_any_id(spark):
+    words = [f"n{i}" for i in range(100)]
+    near = " ".join(["x" if i == 50 else w for i, w in enumerate(words)])
+    rows = [(None, " ".join(words)), (7, near), (None, "only without id here"), (None, None), (3, "first of two texts"), (3, "second text of this id"), (9, "second text of this id"), (5, " ")]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()
+    want = [(None, 7, 2), (7, 7, 2), (None, None, 1), (None, None, 1), (3, 3, 1), (3, 3, 2), (9, 3, 2), (5, 5, 1)]
+    assert Counter((r.doc_id, r.class_id, r.class_size) for r in got) == Counter(want)
+
+
 def test_language_model(spark, odd, empty):
     docs = [(r.doc_id, r.text) for r in odd.where("doc_id is not null").collect()] + [(100 + i, f"the cat sat on mat{i % 3} The") for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string")

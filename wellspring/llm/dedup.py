@@ -320,39 +320,19 @@ class _Search:
         self.links = self.links.unionByName(found)
 
 
-def near_duplicates(
-    df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, DataFrame]:
-    """Classes of near duplicates: (id, class_id, class_size), and the links between texts.
-
-    One row for each row of df. A class holds equal texts and texts linked by a
-    chain of pairs whose bags of five-word shingles overlap by least or more;
-    class_id is its smallest id. Words are lower-cased. A text without words
-    (null, empty, blank) is its own class, under its own id. Links are between
-    one copy of each text: (v, p, similarity), by 64-bit hashes of the texts.
-
-    Equal texts meet first, so a copied text costs one signature in the bands.
-    In a bucket of the bands members are verified against the most central
-    member (that with most neighbours over all its buckets), not against all.
-    Those that fail, are of no class with it, and of whose shingles others
-    hold enough, meet the next central one, and then each other. At last the
-    members of buckets that hold several classes meet across these, but for
-    pairs that cannot link, so every pair of a bucket has met, is of one class,
-    or is known to overlap by less. No bucket is capped, gathered in a task, or
-    spelled out in pairs when its members are alike.
-    """
-    src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("vid", F.xxhash64("text"))
+def _classified(src: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, vid, text): rows (id, vid, bands), texts (vid, rep, copies, component) and links (v, p, similarity)."""
     rows = durable(_bands(src))
     texts = durable(
-        rows.where("bands is not null").groupBy("vid").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+        rows.where("bands is not null").groupBy("vid").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     )
     member = texts.select("vid", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     member = _kept(member.join(shared, "key"))
     weight = member.groupBy("vid").agg(F.sum("n").alias("c"))
     member = _kept(member.select("key", "vid").join(weight, "vid"))
-    wanted = texts.select("vid", "rep").join(weight, "vid", "left_semi")
-    bags = src.join(wanted.select(F.col("rep").alias("id"), "vid"), ["id", "vid"], "left_semi").dropDuplicates(["id", "vid"])
+    wanted = texts.select(F.col("vid").alias("v"), "rep").join(weight.select(F.col("vid").alias("v")), "v", "left_semi")
+    bags = src.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("vid") == F.col("v")), "left_semi").dropDuplicates(["id", "vid"])
     search = _Search(member, durable(_bags(bags)), least)
     search.central()
     same = _kept(connected_components(search.links, "v", "p", shrink=SMALLER))
@@ -367,11 +347,52 @@ def near_duplicates(
     search.complete(same)
     links = search.links
     part = same if links is known else connected_components(links, "v", "p", shrink=SMALLER)
-    by_text = texts.select("vid", "rep").join(part, F.col("vid") == F.col("node"), "left")
-    by_text = by_text.select("vid", "rep", F.coalesce("component", "vid").alias("component"))
-    classes = by_text.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = by_text.join(classes, "component").select("vid", "class_id")
+    by_text = texts.select("vid", "rep", "copies").join(part, F.col("vid") == F.col("node"), "left")
+    return rows, by_text.select("vid", "rep", "copies", F.coalesce("component", "vid").alias("component")), links
+
+
+def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("vid", F.xxhash64("text"))
+
+
+def near_duplicates(
+    df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """Classes of near duplicates: (id, class_id, class_size), and the links between texts.
+
+    One row for each row of df. A class holds equal texts and texts linked by a
+    chain of pairs whose bags of five-word shingles overlap by least or more;
+    class_id is its smallest id, null if no row of it has one; class_size counts
+    its rows, also where ids clash. Words are lower-cased. A row without words
+    (null, empty, blank) is its own class, under its own id. Links are between
+    one copy of each text: (v, p, similarity), by 64-bit hashes of the texts.
+
+    Equal texts meet first, so a copied text costs one signature in the bands.
+    In a bucket of the bands members are verified against the most central
+    member (that with most neighbours over all its buckets), not against all.
+    Those that fail, are of no class with it, and of whose shingles others
+    hold enough, meet the next central one, and then each other. At last the
+    members of buckets that hold several classes meet across these, but for
+    pairs that cannot link, so every pair of a bucket has met, is of one class,
+    or is known to overlap by less. No bucket is capped, gathered in a task, or
+    spelled out in pairs when its members are alike.
+    """
+    rows, by_text, links = _classified(_source(df, id_col, text_col), least)
+    classes = by_text.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = by_text.join(classes, "component").select("vid", "class_id", "class_size")
     out = rows.select("id", F.when(F.col("bands").isNotNull(), F.col("vid")).alias("vid")).join(named, "vid", "left")
-    out = durable(out.select("id", F.coalesce("class_id", "id").alias("class_id")))
-    size = out.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    return out.join(size, "class_id").select(F.col("id").alias(id_col), "class_id", "class_size"), links
+    own = F.col("class_size").isNull()
+    return out.select(
+        F.col("id").alias(id_col), F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size")
+    ), links
+
+
+def representatives(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, vid) of the rows that stand for the classes of near_duplicates, vid being the xxhash64 of the text.
+
+    Of a class that with the smallest id, null last, then the smallest vid;
+    every id of each text without words.
+    """
+    rows, by_text, _ = _classified(_source(df, id_col, text_col), least)
+    first = by_text.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "vid")).alias("x"))
+    return first.select(F.col("x.rep").alias(id_col), "x.vid").union(rows.where("bands is null").select("id", "vid").distinct())
