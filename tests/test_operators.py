@@ -91,3 +91,21 @@ def test_communities_of_two_cliques(spark):
     assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[10]
     q = graph.modularity(df, spark.createDataFrame(list(got.items()), "node long, community long")).first().modularity
     assert abs(q - (20 / 20.1 - 2 * 20.1**2 / (4 * 20.1**2))) < 1e-9
+
+
+def test_nhood_enrichment_is_near_all_permutations(spark):
+    """On a ring of 20 nodes moments over all placements are known; 1000 permutations come near in each well."""
+    from itertools import combinations
+
+    groups = [0, 1, 0, 1] + [2] * 16
+    nodes = [("p", f"w{w}", f"{w}_{i}", g) for w in range(6) for i, g in enumerate(groups)]
+    ring = [(i, (i + d) % 20) for i in range(20) for d in (1, -1)]
+    n = spark.createDataFrame(nodes, "plate_id string, well_id string, label string, leiden int")
+    e = spark.createDataFrame([("p", f"w{w}", f"{w}_{i}", f"{w}_{j}") for w in range(6) for i, j in ring], "plate_id string, well_id string, src string, dst string")
+    near = [{(i + 1) % 20, (i - 1) % 20} for i in range(20)]
+    counts = np.array([sum(len(near[x] & set(b)) for x in a) for a in combinations(range(20), 2) for b in combinations(sorted(set(range(20)) - set(a)), 2)])
+    want = (3 - counts.mean()) / counts.std()
+    got = spatial.nhood_enrichment(n, e).where("src_group = 0 and dst_group = 1").collect()
+    assert len(got) == 6 and all(r.n == 3 and abs(r.z / want - 1) < 0.12 for r in got)
+    a, b = ({(r.well_id, r.src_group, r.dst_group): r.z for r in spatial.nhood_enrichment(n, e, n_perms=7, batch=k).collect()} for k in (3, 7))
+    assert a == b

@@ -78,25 +78,35 @@ def morans_i(nodes: DataFrame, edges: DataFrame, feature: str, key=K, id_col: st
     return ss.join(cross, list(key), "left").select(*key, i.alias("moran_i"))
 
 
-def nhood_enrichment(nodes: DataFrame, edges: DataFrame, group: str = "leiden", n_perms: int = 20, seed: int = 0, key=K, id_col: str = "label") -> DataFrame:
+def nhood_enrichment(nodes: DataFrame, edges: DataFrame, group: str = "leiden", n_perms: int = 1000, seed: int = 0, key=K, id_col: str = "label", batch: int = 100) -> DataFrame:
     """z-scores of edge counts between groups against labels permuted within the well.
 
     Permutations order nodes by a hash of (seed, permutation, id), so results
-    do not depend on partitioning. z is null where all permutations agree.
+    do not depend on partitioning. They run batch by batch, of which only counts
+    by pair are kept. z is null where all permutations agree.
     """
     observed = interaction_matrix(edges, nodes, group, key=key, id_col=id_col)
-    perms = nodes.select(*key, id_col, group, F.explode(F.sequence(F.lit(1), F.lit(n_perms))).alias("perm"))
+    e = durable(edges.select(*key, "src", "dst"))
+    nodes = durable(nodes.select(*[F.col(c).alias(c) for c in (*key, id_col, group)]))
+    ends = durable(e.select(*key, F.col("src").alias(id_col)).union(e.select(*key, F.col("dst").alias(id_col))).distinct())
+    origin = F.row_number().over(Window.partitionBy(*key).orderBy(id_col))
+    labels = durable(nodes.select(*[F.col(k).alias(k) for k in key], F.col(group).alias(group), origin.alias("i")))
     place = F.row_number().over(Window.partitionBy(*key, "perm").orderBy(F.xxhash64(F.lit(seed), "perm", id_col), id_col))
-    origin = F.row_number().over(Window.partitionBy(*key, "perm").orderBy(id_col))
-    a = perms.select(*key, "perm", id_col, place.alias("i"))
-    b = perms.select(*key, "perm", F.col(group), origin.alias("i"))
-    shuffled = durable(a.join(b, [*key, "perm", "i"]).drop("i"))
-    e = edges.select(*key, "src", "dst")
-    s = e.join(shuffled.select(*key, "perm", F.col(id_col).alias("src"), F.col(group).alias("src_group")), [*key, "src"])
-    s = s.join(shuffled.select(*key, "perm", F.col(id_col).alias("dst"), F.col(group).alias("dst_group")), [*key, "perm", "dst"])
-    counts = s.groupBy(*key, "src_group", "dst_group", "perm").agg(F.count("*").alias("n"))
     total, squares = F.sum("n").cast("double"), F.sum(F.col("n") * F.col("n")).cast("double")
-    by = counts.groupBy(*key, "src_group", "dst_group").agg((total / n_perms).alias("mean"), (squares / n_perms).alias("sq"))
+    sums = None
+    for lo in range(1, n_perms + 1, batch):
+        perm = F.explode(F.sequence(F.lit(lo), F.lit(min(lo + batch - 1, n_perms)))).alias("perm")
+        placed = nodes.select(*[F.col(k).alias(k) for k in key], F.col(id_col).alias(id_col), perm).withColumn("i", place).join(ends, [*key, id_col], "left_semi")
+        shuffled = placed.join(labels, [*key, "i"]).drop("i").persist()
+        s = e.join(shuffled.select(*key, "perm", F.col(id_col).alias("src"), F.col(group).alias("src_group")), [*key, "src"])
+        s = s.join(shuffled.select(*key, "perm", F.col(id_col).alias("dst"), F.col(group).alias("dst_group")), [*key, "perm", "dst"])
+        counts = s.groupBy(*key, "src_group", "dst_group", "perm").agg(F.count("*").alias("n"))
+        part = counts.groupBy(*key, "src_group", "dst_group").agg(total.alias("total"), squares.alias("squares"))
+        if sums is not None:
+            part = part.unionByName(sums).groupBy(*key, "src_group", "dst_group").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+        sums = durable(part)
+        shuffled.unpersist()
+    by = sums.select(*key, "src_group", "dst_group", (F.col("total") / n_perms).alias("mean"), (F.col("squares") / n_perms).alias("sq"))
     by = by.withColumn("sd", F.sqrt(F.greatest(F.col("sq") - F.col("mean") * F.col("mean"), F.lit(0.0))))
     out = observed.join(by, [*key, "src_group", "dst_group"], "left")
     return out.select(*key, "src_group", "dst_group", "n", F.when(F.col("sd") > 0, (F.col("n") - F.col("mean")) / F.col("sd")).alias("z"))
