@@ -10,11 +10,14 @@ similarity. Signatures are banded; pairs from the bands are verified exactly.
 """
 
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators.graph import connected_components
 from ..session import durable
@@ -23,8 +26,6 @@ from .packing import Memo
 
 SIZE = 5
 BANDS, ROWS = 20, 5
-#: By how much the tables of buckets and links have fewer partitions than shuffles.
-SMALLER = 8
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _U = np.uint64
 _state: dict = {}
@@ -168,6 +169,8 @@ def _bands(src: DataFrame) -> DataFrame:
 
 
 def _bags(src: DataFrame) -> DataFrame:
+    """(vid, shingles, counts) of rows (vid, text), once for each vid; counts is null if all are 1."""
+
     def run(rows):
         bags = shingle_bags([t or "" for t in rows["text"]])
         return {
@@ -176,179 +179,166 @@ def _bags(src: DataFrame) -> DataFrame:
             "counts": [None if (w == 1).all() else w for _, w in bags],
         }
 
-    return common.map_text_chunks(src.select("vid", "text"), run, "vid long, shingles array<long>, counts array<int>", "text")
+    bags = common.map_text_chunks(src.select("vid", "text"), run, "vid long, shingles array<long>, counts array<int>", "text")
+    return bags.groupBy("vid").agg(F.first(F.struct("shingles", "counts")).alias("b")).select("vid", "b.shingles", "b.counts")
 
 
-def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-    """Pairs (v, p) with the overlap of their bags: (v, p, similarity)."""
+def _with_bags(pairs: DataFrame, bags: DataFrame, fn, schema: str) -> DataFrame:
+    """Columns that fn gives for each pair (v, p) from the bags of both; schema names them after v and p."""
     left = bags.select(F.col("vid").alias("v"), F.col("shingles").alias("s1"), F.col("counts").alias("c1"))
     right = bags.select(F.col("vid").alias("p"), F.col("shingles").alias("s2"), F.col("counts").alias("c2"))
+    want = to_arrow_schema(StructType.fromDDL("v long, p long, " + schema))
 
     def bag(batch, row, s, c):
         h = batch.column(s)[row].values.to_numpy().view(np.uint64)
         w = batch.column(c)[row]
-        return h, w.values.to_numpy() if w.is_valid else np.ones(len(h), dtype=np.int64)
+        return h, w.values.to_numpy().astype(np.int64) if w.is_valid else np.ones(len(h), dtype=np.int64)
 
     def run(batches):
         for b in batches:
-            sim = [bag_overlap(bag(b, i, "s1", "c1"), bag(b, i, "s2", "c2")) for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("v"), b.column("p"), pa.array(sim, pa.float64())], names=["v", "p", "similarity"])
-
-    return pairs.join(left, "v").join(right, "p").mapInArrow(run, "v long, p long, similarity double")
+            for lo in range(0, b.num_rows, 512):  # what fn gives may be as large as the bags
+                part = b.slice(lo, 512)
+                got = [fn(bag(part, i, "s1", "c1"), bag(part, i, "s2", "c2")) for i in range(part.num_rows)]
+                columns = [pa.array(x, type=f.type) for x, f in zip(zip(*got), list(want)[2:])]
+                yield pa.RecordBatch.from_arrays([part.column("v"), part.column("p"), *columns], schema=want)
 
+    return pairs.join(left, "v").join(right, "p").mapInArrow(run, "v long, p long, " + schema)
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A checkpoint of links or bucket rows, which are few beside the texts, in fewer partitions."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // SMALLER
-    return durable(df.coalesce(max(8, parts)))
 
+def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """Pairs (v, p) with the overlap of their bags: (v, p, similarity)."""
+    return _with_bags(pairs, bags, lambda a, b: (bag_overlap(a, b),), "similarity double")
 
-def _without_hope(open_rows: DataFrame, mates: DataFrame, bags: DataFrame, least: float) -> DataFrame:
-    """Drop rows of texts that no text among mates can resemble: too much of their bag is theirs alone.
 
-    Overlap is at most the weight of the shingles that some other text has, so
-    with more than 1 - least of its weight alone a text reaches least with none.
-    """
-    held = bags.join(mates, "vid", "left_semi").select("vid", F.posexplode("shingles").alias("i", "s"), "counts")
-    held = held.select("vid", "s", F.coalesce(F.element_at("counts", F.col("i") + 1), F.lit(1)).alias("w"))
-    alone = held.groupBy("s").agg(F.count("*").alias("n"), F.first("vid").alias("vid"), F.first("w").alias("w")).where("n = 1")
-    alone = alone.groupBy("vid").agg(F.sum("w").alias("alone"))
-    total = F.coalesce(F.aggregate("counts", F.lit(0), lambda x, y: x + y), F.size("shingles"))
-    hopeless = alone.join(bags.select("vid", total.alias("total")), "vid").where(F.col("alone") > (1 - least) * F.col("total") + 1e-9)
-    return open_rows.join(hopeless.select("vid"), "vid", "left_anti")
+def difference(x: tuple[np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """How bag x differs from a pivot: hashes of the units of weight that it has more or lacks, and its own weight."""
+    keys = np.concatenate((x[0], pivot[0]))
+    keys, at = np.unique(keys, return_inverse=True)
+    change = np.bincount(at, weights=np.concatenate((x[1], -pivot[1])), minlength=len(keys)).astype(np.int64)
+    keys, change = keys[change != 0], change[change != 0]
+    size = np.abs(change)
+    unit = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    with np.errstate(over="ignore"):
+        seed = mix(keys * _U(2) + (change < 0).astype(np.uint64) * _U(0xA0761D6478BD642F))
+        units = mix(np.repeat(seed, size) + unit.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return units.view(np.int64), int(x[1].sum())
 
 
 class _Search:
-    """The state of the search for links: rows (key, vid) still open, links found and pairs tried."""
+    """Links between texts that share a bucket: rows (key, vid, c) of buckets, c being how central the text is."""
+
+    #: A bucket with no more open rows than this, or of which a round closed less than this part, gets no further pivot.
+    CROWD, PART = 32, 16
 
     def __init__(self, members: DataFrame, bags: DataFrame, least: float):
         self.members, self.bags, self.least = members, bags, least
-        self.open = members.select("key", "vid")
-        self.used = self.links = self.tried = self.first = None
-
-    def meet(self, pivots: DataFrame, same: DataFrame | None = None) -> None:
-        """Verify open rows against pivots (key, p) of their bucket and close those that link.
+        self.links = self.tried = None
 
-        A pivot's own row closes too, having met the others. same (node,
-        component) tells which texts are known to be of one class.
-        """
-        met = self.open.join(pivots, "key").select("key", F.col("vid").alias("v"), "p")
-        if same is not None:
-            met = met.join(same.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
-            met = met.join(same.select(F.col("node").alias("p"), F.col("component").alias("cp")), "p", "left")
-            met = met.withColumn("alike", F.coalesce(F.col("cv") == F.col("cp"), F.lit(False))).drop("cv", "cp")
-        else:
-            met = met.withColumn("alike", F.lit(False))
-        met = _kept(met.withColumn("alike", F.col("alike") | (F.col("v") == F.col("p"))))
-        pairs = met.where("not alike").select("v", "p").distinct()
+    def _test(self, pairs: DataFrame) -> DataFrame:
+        """Verify pairs (v, p) that are new, and keep what links."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["v", "p"], "left_anti")
-        tested = _kept(_verified(pairs, self.bags))
+        tested = durable(_verified(pairs, self.bags))
         found = tested.where(F.col("similarity") >= self.least)
         self.links = found if self.links is None else self.links.unionByName(found)
         self.tried = tested.select("v", "p") if self.tried is None else self.tried.union(tested.select("v", "p"))
-        if self.first is None:
-            self.first = pivots, tested
-        known = self.links.select("v", "p").union(self.links.select(F.col("p").alias("v"), F.col("v").alias("p")))
-        done = met.where("not alike").join(known, ["v", "p"], "left_semi").select("key", F.col("v").alias("vid"))
-        done = done.union(met.where("alike").select("key", F.col("v").alias("vid"))).distinct()
-        self.open = self.open.join(done, ["key", "vid"], "left_anti")
-
-    def central(self, same: DataFrame | None = None) -> None:
-        """Meet the most central member of each bucket that has not been its pivot yet."""
-        rest = self.members.join(self.open.select("key").distinct(), "key", "left_semi")
-        if self.used is not None:
-            rest = rest.join(self.used, (rest["key"] == self.used["key"]) & (rest["vid"] == self.used["p"]), "left_anti")
-        best = _kept(rest.groupBy("key").agg(F.max(F.struct("c", "vid"))["vid"].alias("p")))
-        self.used = best if self.used is None else self.used.union(best)
-        self.meet(best, same)
-
-    def close_alike(self, same: DataFrame) -> None:
-        """Close rows of texts that are of one class with a pivot of their bucket."""
-        of_pivot = self.used.join(same, self.used["p"] == same["node"]).select("key", F.col("component").alias("cp"))
-        of_row = self.open.join(same, self.open["vid"] == same["node"]).select("key", "vid", "component")
-        done = of_row.join(of_pivot, "key").where("component = cp").select("key", "vid").distinct()
-        self.open = _kept(self.open.join(done, ["key", "vid"], "left_anti"))
-
-    def prune(self, mates: DataFrame) -> None:
-        self.open = _kept(_without_hope(self.open, mates, self.bags, self.least))
-
-    def exhaust(self, same: DataFrame) -> None:
-        """Let rows that are still open meet each other, through eight times as many pivots each round."""
-        cells = 1
+
+    def pivots(self) -> DataFrame:
+        """Meet pivots in rounds; what is left to compare: (key, p, v, far, near).
+
+        In a round each bucket's most central open member meets all others that
+        are open; those that link close. Two that close in one round are of one
+        class. Left are pairs of a row that did not link to p (far) with one
+        that did, or that stays open at the end of its bucket (near).
+        """
+        rows, left = self.members, None
         while True:
-            keys = self.open.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-            self.open = _kept(self.open.join(keys, "key", "left_semi"))
-            if self.open.isEmpty():
-                return
-            self.prune(self.open.select("vid").distinct())
-            cell = F.pmod(F.xxhash64("vid", F.lit(cells)), F.lit(cells))
-            best = self.open.groupBy("key", cell.alias("cell")).agg(F.min("vid").alias("p")).select("key", "p")
-            self.meet(_kept(best), same)
-            cells *= 8
-
-    def complete(self, same: DataFrame) -> None:
-        """Verify what is left: pairs of a bucket's members, open or closed, not tried and of two classes.
-
-        same must hold all links found. 1 - overlap of bags is a metric and all
-        members of a bucket have met its first pivot, so two whose overlaps with
-        it differ by more than 1 - least cannot link; nor can bags whose weights
-        differ by more. Nothing else is left out.
+            best = rows.groupBy("key").agg(F.max(F.struct("c", "vid"))["vid"].alias("p"))
+            met = rows.join(best, "key").where("vid <> p").select("key", F.col("vid").alias("v"), "p", "c")
+            self._test(met.select("v", "p").distinct())
+            met = durable(met.join(self.links.select("v", "p", F.lit(False).alias("far")), ["v", "p"], "left").fillna(True, "far"))
+            fate = met.groupBy("key").agg(F.count_if("far").alias("open"), F.count("*").alias("n"))
+            on = fate.where((F.col("open") > self.CROWD) & ((F.col("n") - F.col("open")) * self.PART >= F.col("n"))).select("key", F.lit(False).alias("last"))
+            met = met.join(on, "key", "left").fillna(True, "last")
+            now = met.select("key", "p", "v", "far", (F.col("last") | ~F.col("far")).alias("near"))
+            left = now if left is None else left.unionByName(now)
+            rows = durable(met.where("far and not last").select("key", F.col("v").alias("vid"), "c"))
+            if rows.isEmpty():
+                return left
+
+    def complete(self, left: DataFrame, same: DataFrame) -> None:
+        """Verify what pivots left: pairs of two classes (same: node, component) of which one is far and one near.
+
+        Let d be the number of units in which a bag of weight n differs from
+        the pivot, c = (1 - least) / (1 + least), and e = d - c n. Bags x and y
+        link if they differ in at most c (n_x + n_y) units, and they differ in
+        d_x + d_y - 2 s, where s units are in both differences. So they link if
+        s >= (e_x + e_y) / 2, which is above 0 as one is far. In whatever order
+        units are put, two differences that share s have a common one among the
+        first d_x - s + 1 and d_y - s + 1. Rare units stand first, so bags that
+        differ from the pivot each in their own way never meet. The bound on s
+        is by the least e of the other side for a row, and by both for a pair.
+        Only whole numbers are compared, so no pair at the threshold is lost.
         """
-        kind = same.select(F.col("node").alias("vid"), "component")
-        rest = self.members.select("key", "vid").join(kind, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
-        mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-        rest = _kept(rest.join(mixed, "key", "left_semi"))
-        if rest.isEmpty():
-            return
-        rest = _kept(_without_hope(rest, rest.select("vid").distinct(), self.bags, self.least))
-        pivots, tested = self.first
-        rest = rest.join(pivots, "key").join(tested.withColumnRenamed("v", "vid"), ["vid", "p"], "left")
-        weight = F.coalesce(F.aggregate("counts", F.lit(0), lambda x, y: x + y), F.size("shingles"))
-        rest = rest.withColumn("far", F.when(F.col("vid") == F.col("p"), 0.0).otherwise(1 - F.col("similarity")))
-        rest = rest.join(self.bags.select("vid", weight.alias("weight")), "vid")
-        most = 1 - self.least + 1e-9
-        rest = _kept(rest.select("key", "vid", "component", "far", "weight", F.floor(F.col("far") / most).alias("ring")))
-        a = rest.select("key", F.col("vid").alias("v"), F.col("component").alias("cv"), F.col("far").alias("fv"), F.col("weight").alias("wv"),
-                        F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))
-        b = rest.select("key", "ring", F.col("vid").alias("p"), F.col("component").alias("cp"), F.col("far").alias("fp"), F.col("weight").alias("wp"))
-        near = (F.col("v") > F.col("p")) & (F.col("cv") != F.col("cp")) & (F.abs(F.col("fv") - F.col("fp")) <= most)
-        near = near & (F.least("wv", "wp") >= (self.least - 1e-9) * F.greatest("wv", "wp"))
-        pairs = a.join(b, ["key", "ring"]).where(near).select("v", "p").distinct()
-        met = self.tried.select(F.greatest("v", "p").alias("v"), F.least("v", "p").alias("p"))
-        found = _kept(_verified(pairs.join(met, ["v", "p"], "left_anti"), self.bags).where(F.col("similarity") >= self.least))
-        self.links = self.links.unionByName(found)
+        least = Fraction(str(self.least))
+        low, high = least.denominator - least.numerator, least.denominator + least.numerator
+        kind = same.select(F.col("node").alias("v"), "component")
+        left = left.join(kind, "v", "left").withColumn("component", F.coalesce("component", "v"))
+        bucket = left.groupBy("key", "p").agg(F.max("far").alias("far"), F.max("near").alias("near"), F.min("component").alias("a"), F.max("component").alias("b"))
+        unsure = durable(bucket.where("far and near and a < b").select("key", "p"))
+        rows = left.join(unsure, ["key", "p"], "left_semi").groupBy("v", "p", "component").agg(F.max("far").alias("far"), F.max("near").alias("near"))
+        apart = _with_bags(rows.select("v", "p"), self.bags, difference, "units array<long>, n long")
+        apart = apart.select("v", "p", "units", F.size("units").alias("d"), (high * F.size("units") - low * F.col("n")).alias("e"))
+        rows = durable(apart.join(rows, ["v", "p"]))
+        ends = rows.groupBy("p").agg(F.min(F.when(F.col("far"), F.col("e"))).alias("far_e"), F.min(F.when(F.col("near"), F.col("e"))).alias("near_e"))
+
+        def reach(role, other):
+            s = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col(other)) / (2 * high) - 1e-9))
+            return F.when(F.col(role), F.col("d") - s + 1).otherwise(0)
+
+        rows = rows.join(ends, "p").select("v", "p", "component", "units", "d", "e", reach("far", "near_e").alias("far"), reach("near", "far_e").alias("near"))
+        rows = durable(rows.where("far > 0 or near > 0"))
+        units = rows.select("p", "v", F.explode("units").alias("unit"))
+        shared = durable(units.groupBy("p", "unit").agg(F.count("*").alias("times")).where("times > 1"))
+        order = units.join(shared, ["p", "unit"]).groupBy("p", "v").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("u"))
+        order = rows.drop("units").join(order, ["p", "v"]).withColumn("alone", F.col("d") - F.size("u"))
+        first = F.slice("u", 1, F.greatest(F.lit(0), F.greatest("far", "near") - F.col("alone")).cast("int"))
+        order = durable(order.select("p", "v", "component", "d", "e", "far", "near", "alone", F.posexplode(first).alias("i", "u")))
+        rank = F.col("alone") + F.col("i") + 1
+
+        def side(role, x):
+            return order.where(rank <= F.col(role)).select("p", F.col("u.unit").alias("unit"), *(F.col(c).alias(x + c) for c in ("v", "component", "e")), (F.col("d") - rank + 1).alias(x + "rest"))
+
+        pairs = side("far", "x_").join(side("near", "y_"), ["p", "unit"])
+        pairs = pairs.where(F.col("x_component") != F.col("y_component")).where(2 * high * F.least("x_rest", "y_rest") >= F.col("x_e") + F.col("y_e"))
+        pairs = pairs.select(F.greatest("x_v", "y_v").alias("v"), F.least("x_v", "y_v").alias("p")).distinct()
+        back = self.tried.select(F.col("p").alias("v"), F.col("v").alias("p"))
+        self._test(pairs.join(back, ["v", "p"], "left_anti"))
 
 
 def _classified(src: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of rows (id, vid, text): rows (id, vid, bands), texts (vid, rep, copies, component) and links (v, p, similarity)."""
+    """Of rows (id, vid, text): rows (id, vid, bands), texts (vid, rep, copies, component) and links (v, p, similarity).
+
+    component is null for a text that links to none.
+    """
     rows = durable(_bands(src))
     texts = durable(
         rows.where("bands is not null").groupBy("vid").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     )
     member = texts.select("vid", F.explode("bands").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    member = _kept(member.join(shared, "key"))
+    member = durable(member.join(shared, "key"))
     weight = member.groupBy("vid").agg(F.sum("n").alias("c"))
-    member = _kept(member.select("key", "vid").join(weight, "vid"))
+    member = member.select("key", "vid").join(weight, "vid")
     wanted = texts.select(F.col("vid").alias("v"), "rep").join(weight.select(F.col("vid").alias("v")), "v", "left_semi")
-    bags = src.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("vid") == F.col("v")), "left_semi").dropDuplicates(["id", "vid"])
+    bags = src.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("vid") == F.col("v")), "left_semi")
     search = _Search(member, durable(_bags(bags)), least)
-    search.central()
-    same = _kept(connected_components(search.links, "v", "p", shrink=SMALLER))
-    search.close_alike(same)
-    if not search.open.isEmpty():
-        failed = search.open.select("key").distinct()
-        search.prune(member.join(failed, "key", "left_semi").select("vid").distinct())
-        search.central(same)
-        search.exhaust(same)
-        same = _kept(connected_components(search.links, "v", "p", shrink=SMALLER))
-    known = search.links
-    search.complete(same)
-    links = search.links
-    part = same if links is known else connected_components(links, "v", "p", shrink=SMALLER)
-    by_text = texts.select("vid", "rep", "copies").join(part, F.col("vid") == F.col("node"), "left")
-    return rows, by_text.select("vid", "rep", "copies", F.coalesce("component", "vid").alias("component")), links
+    left = search.pivots()
+    same = durable(connected_components(search.links, "v", "p"))
+    search.complete(left, same)
+    same = connected_components(search.links, "v", "p")
+    by_text = texts.select("vid", "rep", "copies").join(same, F.col("vid") == F.col("node"), "left")
+    return rows, durable(by_text.select("vid", "rep", "copies", "component")), search.links
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -370,16 +360,17 @@ def near_duplicates(
     Equal texts meet first, so a copied text costs one signature in the bands.
     In a bucket of the bands members are verified against the most central
     member (that with most neighbours over all its buckets), not against all.
-    Those that fail, are of no class with it, and of whose shingles others
-    hold enough, meet the next central one, and then each other. At last the
-    members of buckets that hold several classes meet across these, but for
-    pairs that cannot link, so every pair of a bucket has met, is of one class,
-    or is known to overlap by less. No bucket is capped, gathered in a task, or
-    spelled out in pairs when its members are alike.
+    A crowd that fails meets further pivots. What is left are pairs of which
+    one at least is not linked to the pivot; it can link only to texts that
+    differ from the pivot in the same shingles, and these are found by their
+    rarest common differences. So every pair of a bucket has met, is of one
+    class, or is proved to overlap by less. No bucket is capped, gathered in a
+    task, or spelled out in pairs.
     """
     rows, by_text, links = _classified(_source(df, id_col, text_col), least)
-    classes = by_text.groupBy("component").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = by_text.join(classes, "component").select("vid", "class_id", "class_size")
+    classes = durable(by_text.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"), F.sum("copies").alias("size")))
+    named = by_text.join(classes, "component", "left")
+    named = durable(named.select("vid", F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("least")).alias("class_id"), F.coalesce("size", "copies").alias("class_size")))
     out = rows.select("id", F.when(F.col("bands").isNotNull(), F.col("vid")).alias("vid")).join(named, "vid", "left")
     own = F.col("class_size").isNull()
     return out.select(
@@ -394,5 +385,5 @@ def representatives(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", t
     every id of each text without words.
     """
     rows, by_text, _ = _classified(_source(df, id_col, text_col), least)
-    first = by_text.groupBy("component").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "vid")).alias("x"))
+    first = by_text.groupBy(F.coalesce("component", "vid")).agg(F.min(F.struct(F.col("rep").isNull(), "rep", "vid")).alias("x"))
     return first.select(F.col("x.rep").alias(id_col), "x.vid").union(rows.where("bands is null").select("id", "vid").distinct())
