@@ -1,9 +1,10 @@
 """Helpers that the text operators share."""
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -12,6 +13,18 @@ ASCII_SPACE = "\t\n\x0b\x0c\r "
 CHUNK_CHARS = 1 << 20
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int):
+    """Actions within get Arrow batches of about most bytes, for rows that are large blobs."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def id_bucket(col: str | Column, buckets: int) -> Column:
     """crc32 of the id as text, modulo buckets; a null id counts as the empty text."""
     col = F.col(col) if isinstance(col, str) else col
@@ -53,3 +66,28 @@ def map_text_chunks(df: DataFrame, fn: Callable, schema: str, text: str) -> Data
                 )
 
     return df.mapInArrow(run, schema)
+
+
+def beside(df: DataFrame, fn: Callable, schema: str, text: str) -> DataFrame:
+    """Rows of df as struct column row, and beside it the columns of schema that fn gives for lists of whole texts.
+
+    The row goes through as it is, so a verdict needs no key and no join, and
+    names of df may be any. fn gets a list of str or None.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    fields = StructType.fromDDL(schema)
+    want = to_arrow_schema(fields)
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column(0)
+            texts = row.field(at).to_pylist()
+            for lo, hi in text_chunks(texts):
+                out = fn(texts[lo:hi])
+                columns = [pa.array(out[f.name], type=f.type, from_pandas=True) for f in want]
+                yield pa.RecordBatch.from_arrays([row.slice(lo, hi - lo), *columns], names=["row", *want.names])
+
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row")).mapInArrow(run, StructType([StructField("row", df.schema), *fields]))

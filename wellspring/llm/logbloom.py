@@ -27,6 +27,8 @@ from .packing import Memo
 #: Growth of the levels, bits set for an entry, bits of a segment.
 BASE, PROBES, SEGMENT = 1.5, 8, 1 << 19
 ALPHA, WEIGHT = 0.1, 50.0
+#: Tasks that build the filter at most; each builds one group of segments after another.
+MOST_TASKS = 1 << 15
 _U = np.uint64
 #: Hash of the token that ends each text and stands before its first word.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -185,26 +187,13 @@ def gather_counts(train: DataFrame, layout: Layout, groups: int) -> DataFrame:
 
     back = pa.schema([("key", pa.int64()), ("count", pa.int64()), ("at", pa.int64()), ("bits", pa.binary())])
 
-    def build(batches):
-        held = []
-        for batch in batches:
-            for data in batch.column("data"):
-                raw = data.as_py()
-                n = int.from_bytes(raw[:8], "little")
-                a, b, c = 8 + 8 * n, 8 + 10 * n, 8 + 11 * n
-                key = np.frombuffer(raw[8:a], "<u8")
-                tag = np.frombuffer(raw[a:b], "<u2").astype(np.uint64) * _U(2) + np.frombuffer(raw[b:c], "u1")
-                held.append((key, tag, np.frombuffer(raw[c:], "<u4").astype(np.int64)))
-            if len(held) > 64:
-                held = [_merge(held)]
-        if not held:
-            return
+    def entries(held):
+        """Rows of one group: its unigrams' counts, then its segments."""
         key, tag, count = _merge(held)
-        lone = (tag & _U(1)) == 1
-        for lo in range(0, int(lone.sum()), 100_000):
-            k, c = key[lone][lo : lo + 100_000], count[lone][lo : lo + 100_000]
-            none = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), none, pa.nulls(len(k), pa.binary())], schema=back)
+        lone = np.flatnonzero((tag & _U(1)) == 1)
+        for lo in range(0, len(lone), 100_000):
+            k, c = key[lone[lo : lo + 100_000]], count[lone[lo : lo + 100_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.binary())], schema=back)
         at = (tag >> _U(1)).astype(np.int64) * layout.each + layout.segment_of(key)
         order = np.argsort(at, kind="stable")
         key, count, at = key[order], count[order], at[order]
@@ -217,8 +206,32 @@ def gather_counts(train: DataFrame, layout: Layout, groups: int) -> DataFrame:
                 [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([int(at[a])]), pa.array([packed], pa.binary())], schema=back
             )
 
+    def build(batches):
+        """Rows come sorted by group, so a task holds one group at a time."""
+        held, now, size = [], None, 0
+        for batch in batches:
+            for g, data in zip(batch.column("g").to_pylist(), batch.column("data")):
+                if g != now:
+                    if held:
+                        yield from entries(held)
+                    held, now, size = [], g, 0
+                raw = data.as_py()
+                n = int.from_bytes(raw[:8], "little")
+                a, b, c = 8 + 8 * n, 8 + 10 * n, 8 + 11 * n
+                key = np.frombuffer(raw[8:a], "<u8")
+                tag = np.frombuffer(raw[a:b], "<u2").astype(np.uint64) * _U(2) + np.frombuffer(raw[b:c], "u1")
+                held.append((key, tag, np.frombuffer(raw[c:], "<u4").astype(np.int64)))
+                size += n
+                if size > 2 * max(len(held[0][0]), 500_000):
+                    held = [_merge(held)]
+                    size = len(held[0][0])
+        if held:
+            yield from entries(held)
+
+    parts = min(groups, MOST_TASKS)
     sent = train.select("text").mapInArrow(send, "g int, data binary")
-    return sent.repartition(groups, "g").mapInArrow(build, "key long, count long, at long, bits binary")
+    dealt = sent.repartitionById(parts, F.col("g") % parts).sortWithinPartitions("g")
+    return dealt.mapInArrow(build, "key long, count long, at long, bits binary")
 
 
 def score_texts(
@@ -229,14 +242,15 @@ def score_texts(
     bits_per_byte: float = 1.25,
     max_filter_bytes: int = 256 << 20,
     hot_words: int = 1 << 22,
-    group_bytes: int = 24 << 20,
+    group_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Train on rows whose crc32 of the id modulo folds is not 0 and score every row.
 
     Returns (id, held_out, n_tokens, n_known, train_tokens, base_score, score)
     in base-10 logarithms of a whole text's probability. base_score is the
     additively smoothed unigram model with exact counts; score the bigram model
-    over the filter. A null or empty text is its end token alone; with no
+    over the filter, whose contexts have exact counts too where the word is one
+    of the frequent ones, which are all up to hot_words. A null or empty text is its end token alone; with no
     training rows both models give every token probability 1. Repeated rows are
     scored each.
 
@@ -253,7 +267,9 @@ def score_texts(
     segments = max(1, -(-int(size * bits_per_byte) // SEGMENT))
     slices = -(-segments * SEGMENT // 8 // max_filter_bytes)
     layout = Layout(segments, slices)
-    gathered = durable(gather_counts(train, layout, max(4, min(-(-size // group_bytes), layout.each * slices))))
+    groups = max(4, min(-(-size // group_bytes), layout.each * slices))
+    with common.arrow_bytes(spark, 16 << 20):
+        gathered = durable(gather_counts(train, layout, groups))
     words = gathered.where("key is not null")
     by_power = words.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(
         F.count("*").alias("types"), F.sum("count").alias("tokens")
@@ -291,16 +307,22 @@ def score_texts(
             n = len(ends)
             owner = np.repeat(np.arange(n), np.diff(np.concatenate(([0], ends))))
             word, where = np.unique(flat, return_inverse=True)
+            m = shared.value
+            at = np.minimum(np.searchsorted(m.hot_key, word), max(len(m.hot_key) - 1, 0))
+            is_hot = m.hot_key[at] == word if len(m.hot_key) else np.zeros(len(word), dtype=bool)
+            exact = np.where(is_hot, m.hot_count[at], 0) if len(m.hot_key) else np.zeros(len(word))
+            known = is_hot if least > 1 else np.ones(len(word), dtype=bool)
             mine = layout.slice_of(word) == number
-            quantised = np.zeros(len(word))
-            quantised[mine] = count_of(read_levels(filter_.value, word[mine], layout.segment_of(word[mine])))
+            counted = exact.astype(float)
+            rare = mine & ~known
+            counted[rare] = count_of(read_levels(filter_.value, word[rare], layout.segment_of(word[rare])))
             before = contexts(flat)
             use = mine[where]
             pair = pair_key(before[use], flat[use])
             seen = count_of(read_levels(filter_.value, pair, layout.segment_of(pair)))
-            single = quantised[where]
+            single = counted[where]
             upper = np.log10(np.minimum(seen, single[use]) + WEIGHT * (single[use] + ALPHA) / floor)
-            lower = np.log10(quantised + WEIGHT)
+            lower = np.log10(counted + WEIGHT)
             spot = np.empty_like(where)
             spot[1:] = where[:-1]
             spot[:1] = np.searchsorted(word, END)
@@ -310,11 +332,6 @@ def score_texts(
             out = {"id": rows["id"], "vid": rows["vid"], "held_out": rows["held_out"], "score": score}
             if number:
                 return out
-            m = shared.value
-            at = np.minimum(np.searchsorted(m.hot_key, word), max(len(m.hot_key) - 1, 0))
-            is_hot = m.hot_key[at] == word if len(m.hot_key) else np.zeros(len(word), dtype=bool)
-            exact = np.where(is_hot, m.hot_count[at], 0) if len(m.hot_key) else np.zeros(len(word))
-            known = is_hot if least > 1 else np.ones(len(word), dtype=bool)
             out["n_tokens"] = np.bincount(owner, minlength=n)
             out["n_known"] = np.bincount(owner[is_hot[where]], minlength=n)
             out["base_score"] = np.bincount(owner[known[where]], weights=m.log_base(exact)[where][known[where]], minlength=n)
