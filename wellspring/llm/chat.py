@@ -3,7 +3,9 @@
 Messages that quote others mark quoted lines with ">", once for each level.
 Quoted passages and the messages' own passages are normalised and hashed; a
 join by hash within the conversation finds the message that said a passage
-first. A message's parent is the one that it quotes at the outermost level.
+first. Passages are looked for whole, by lines, by sentences, and by winnowed
+runs of words, so a sentence out of a paragraph or a re-wrapped part of one is
+found too. A message's parent is the one that it quotes at the outermost level.
 """
 
 import re
@@ -16,6 +18,9 @@ from pyspark.sql import functions as F
 from ..session import durable
 from . import common
 
+#: Words of a run that is hashed, and neighbouring runs of which one is kept.
+RUN, WINDOW = 5, 4
+_sentence = re.compile(r"(?<=[.!?…。！？])\s+")
 _marks = re.compile(r"\s{0,3}((?:>\s?)+)(.*)", re.S)
 #: Lines that introduce a quotation.
 _intro = re.compile(
@@ -60,16 +65,36 @@ def normal(text: str) -> str:
     return " ".join(text.casefold().split())
 
 
+def prints(words: list[str]) -> list[str]:
+    """Winnowed runs of RUN words: of every WINDOW neighbouring runs that with the least hash.
+
+    Texts that share RUN + WINDOW - 1 words in a row share one of these.
+    """
+    import xxhash
+
+    runs = [" ".join(words[i : i + RUN]) for i in range(len(words) - RUN + 1)]
+    order = [xxhash.xxh3_64_intdigest(r) for r in runs]
+    return [runs[min(range(i, min(i + WINDOW, len(runs))), key=order.__getitem__)] for i in range(max(1, len(runs) - WINDOW + 1))] if runs else []
+
+
+def spoken(blocks: list[str]) -> set[str]:
+    """The parts of texts by which they are found: the whole, its sentences and its prints."""
+    out = set()
+    for block in blocks:
+        whole = normal(block)
+        out |= {whole, *(normal(x) for x in _sentence.split(block)), *prints(whole.split())}
+    return out - {""}
+
+
 def passage_keys(lines: list[str]) -> list[tuple[str, int]]:
-    """Passages to look for with weights in characters: the lines together and each line."""
-    parts = {normal(" ".join(lines))} | {normal(x) for x in lines}
-    return [(p, len(p)) for p in sorted(parts) if p]
+    """Passages to look for with weights in characters: the lines together, each line, and their parts."""
+    return [(p, len(p)) for p in sorted(spoken([" ".join(lines)]) | {normal(x) for x in lines} - {""})]
 
 
 def own_keys(text: str) -> list[str]:
-    """Passages that a message says: all of it, its paragraphs and its lines."""
-    parts = {normal(text)} | {normal(p) for p in re.split(r"\n\s*\n", text)} | {normal(x) for x in text.split("\n")}
-    return sorted(p for p in parts if p)
+    """Passages that a message says: all of it, its paragraphs, its lines, and their parts."""
+    blocks = [*re.split(r"\n\s*\n", text), *text.split("\n")]
+    return sorted(spoken([text]) | {normal(x) for x in blocks} - {""})
 
 
 def _parse(src: DataFrame) -> DataFrame:
@@ -98,7 +123,8 @@ def _parse(src: DataFrame) -> DataFrame:
 
 def quote_links(parsed: DataFrame) -> DataFrame:
     """(conv, turn, level, to_turn, weight): for each level quoted, the earlier message that said most of it first."""
-    said = parsed.select("conv", "turn", F.explode("said").alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("to_turn"))
+    quoting = parsed.where("n_quotes > 0").select("conv").distinct()
+    said = parsed.join(quoting, "conv", "left_semi").select("conv", "turn", F.explode("said").alias("key")).groupBy("conv", "key").agg(F.min("turn").alias("to_turn"))
     asked = parsed.where("n_quotes > 0").select("conv", "turn", F.explode(F.arrays_zip("levels", "quoted", "weights")).alias("x"))
     asked = asked.select("conv", "turn", F.col("x.levels").alias("level"), F.col("x.quoted").alias("key"), F.col("x.weights").alias("w"))
     met = asked.join(said, ["conv", "key"]).where("to_turn < turn")
@@ -152,12 +178,12 @@ def reply_order(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("part", F.spark_partition_id())
 
     def number(batches):
-        last, count = None, 0
+        last, count = object(), 0
         for b in batches:
             conv = b.column("conv").to_pylist()
             local = np.empty(len(conv), dtype=np.int64)
             for i, c in enumerate(conv):
-                last, count = c, count + 1 if i + count and c == last else 0
+                last, count = c, count + 1 if c == last else 0
                 local[i] = count
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local)], names=[*b.schema.names, "local"])
 
