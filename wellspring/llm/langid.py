@@ -64,31 +64,33 @@ class Scorer:
 
 
 def _sample(labelled: DataFrame, counts: dict[str, int], per_lang: int, salt: str) -> DataFrame:
-    """About per_lang rows of each language, the same at every partitioning; never more than 1.5 times that together."""
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, per_lang / n)).otherwise(share)
+    """About per_lang rows of each language, 24 at least or all it has, the same at every partitioning."""
+    per_lang = max(per_lang, 24)
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in counts.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64(F.lit(salt), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    return labelled.withColumn("draw", draw).where(draw < share).orderBy("draw", "id").limit(int(1.5 * per_lang * len(counts)) + 64)
+    drawn = labelled.withColumn("draw", draw).join(shares, "lang").where("draw < share")
+    return drawn.orderBy("draw", "id").limit(int(1.5 * per_lang * len(counts)) + 64)
 
 
 def fit(
-    labelled: DataFrame, landmarks: int = 48, rows: int = 600, ridge: float = 0.1, max_langs: int = 256, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
+    labelled: DataFrame, landmarks: int = 48, rows: int = 600, ridge: float = 0.1, most_landmarks: int = 12_288, most_rows: int = 153_600,
+    text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
 ) -> Scorer | None:
     """Fit on a sample of about rows texts of each language, with about landmarks of them each as landmarks.
 
-    Both bounds, and that of languages (the max_langs most frequent), hold
-    whatever the size of the table. Rows with null text or language are left
-    out; None if nothing is left.
+    Every language of the table is learned. most_landmarks and most_rows bound
+    the samples of all languages together; where they are more than fit, each
+    gets its share, but 24 rows at least. Rows with null text or language are
+    left out; None if nothing is left.
     """
     spark = labelled.sparkSession
     src = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     src = src.where("text is not null and lang is not null")
-    top = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    counts = {r["lang"]: r["count"] for r in top}
+    counts = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return None
+    landmarks, rows = min(landmarks, most_landmarks // len(langs)), min(rows, most_rows // len(langs))
 
     def to_grams(rows):
         return {"lang": rows["lang"], "grams": [grams(t) for t in rows["text"]]}
@@ -121,6 +123,23 @@ def fit(
     return Scorer(vocabulary, matrix.astype(float) @ (root @ alpha[:-1]), alpha[-1], langs)
 
 
+def _predictor(df: DataFrame, scorer: Scorer | None):
+    shared = df.sparkSession.sparkContext.broadcast(scorer)
+
+    def find(texts):
+        if shared.value is None:
+            return {"lang_pred": ["und"] * len(texts), "score": np.zeros(len(texts))}
+        lang, score = shared.value.predict([grams(t or "") for t in texts])
+        return {"lang_pred": lang, "score": score}
+
+    return find
+
+
+def rows_with_language(df: DataFrame, scorer: Scorer | None, text_col: str = "text") -> DataFrame:
+    """Every row of df as struct row with lang_pred and score, as predict has them; no shuffle."""
+    return common.beside(df, _predictor(df, scorer), "lang_pred string, score double", text_col)
+
+
 def predict(df: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) of each row over its whole text; no shuffle.
 
@@ -129,14 +148,10 @@ def predict(df: DataFrame, scorer: Scorer | None, id_col: str = "doc_id", text_c
     """
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(scorer)
+    find = _predictor(df, scorer)
 
     def run(rows):
-        n = len(rows["id"])
-        lang, score = ["und"] * n, np.zeros(n)
-        if shared.value is not None:
-            lang, score = shared.value.predict([grams(t or "") for t in rows["text"]])
-        return {"id": rows["id"], "lang_pred": lang, "score": score}
+        return {"id": rows["id"]} | find(rows["text"])
 
     return common.map_text_chunks(src, run, f"id {kind}, lang_pred string, score double", "text").withColumnRenamed("id", id_col)
 

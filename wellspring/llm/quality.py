@@ -74,15 +74,18 @@ def text_features(text: str) -> tuple:
     )
 
 
+def _columns(texts: list[str | None]) -> dict[str, list[int]]:
+    found = [text_features(t or "") for t in texts]
+    return {x.split()[0]: [f[i] for f in found] for i, x in enumerate(FEATURES.split(", "))}
+
+
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of counts for each row of df, over its whole text; null text counts as empty. No shuffle."""
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    names = [x.split()[0] for x in FEATURES.split(", ")]
 
     def run(rows):
-        found = [text_features(t or "") for t in rows["text"]]
-        return {"id": rows["id"]} | {n: [f[i] for f in found] for i, n in enumerate(names)}
+        return {"id": rows["id"]} | _columns(rows["text"])
 
     return common.map_text_chunks(src, run, f"id {kind}, {FEATURES}", "text")
 
@@ -134,7 +137,16 @@ def quality_posterior(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not told which documents are good: the model learns from votes alone.
     The one shuffle moves vote patterns, at most 3 ** len(RULES) for a task.
     """
-    voted = durable(votes(features(df, id_col, text_col)))
+    return _weighed(durable(votes(features(df, id_col, text_col)))).withColumnRenamed("id", id_col)
+
+
+def rows_with_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Every row of df as struct row with its counts, votes and quality, as quality_posterior has them. Texts are not shuffled."""
+    return _weighed(durable(votes(common.beside(df, _columns, FEATURES, text_col))))
+
+
+def _weighed(voted: DataFrame) -> DataFrame:
+    """Adds quality by the label model fitted to the votes."""
     seen = voted.where("n_words > 0").groupBy("votes").count().collect()
     seen.sort(key=lambda r: r["votes"])
     if seen:
@@ -150,4 +162,4 @@ def quality_posterior(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             total = total + F.element_at(F.array(*map(F.lit, diff)), F.col("votes")[j] + 2)
         odds = odds + F.exp(total)
     quality = F.when(F.col("n_words") == 0, 0.0).otherwise(1 / (1 + odds))
-    return voted.withColumn("quality", quality).withColumnRenamed("id", id_col)
+    return voted.withColumn("quality", quality)
