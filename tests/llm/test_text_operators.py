@@ -160,6 +160,8 @@ def test_language_model(spark, odd, empty):
     docs = [(r.doc_id, r.text) for r in odd.where("doc_id is not null").collect()] + [(100 + i, f"the cat sat on mat{i % 3} The") for i in range(40)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     tok = lambda t: (t or "").encode().lower().split() + [b"\n"]
+    pairs = Counter(p for i, t in docs if zlib.crc32(str(i).encode()) % 10 for p in zip([b"\n", *tok(t)], tok(t)))
+    about = lambda c: float(logbloom.count_of(logbloom.level_of(np.array(c)))) if c else 0.0
     train = Counter(w for i, t in docs if zlib.crc32(str(i).encode()) % 10 for w in tok(t))
     n, v = sum(train.values()), len(train)
     for conf in ({}, {"hot_words": 3, "max_filter_bytes": 1 << 16, "bits_per_byte": 400.0}):
@@ -168,6 +170,10 @@ def test_language_model(spark, odd, empty):
         for r in got:
             w = tok(dict(docs)[r.doc_id])
             assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(train[x] > 0 for x in w), n)
+            if not conf:
+                single = [(train[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
+                each = [(min(about(pairs[a, b]), train[b]) + 50 * p) / (train[a] + 50) for a, b, p in zip([b"\n", *w], w, single)]
+                assert math.isclose(r.score, sum(map(math.log10, each)), rel_tol=1e-9)
             assert math.isclose(r.base_score, sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
     assert logbloom.score_texts(empty).count() == 0
 
@@ -227,6 +233,51 @@ def test_reply_order(spark):
     assert chat.reply_order(df).count() == 6 and chat.reply_order(df.where("false")).count() == 0
 
 
+def test_positions_over_small_batches(spark):
+    """A conversation that begins at the end of one Arrow batch goes on counting in the next."""
+    rows = [(c, t, "u", f"turn {t}") for c in (1, 2, None) for t in range(5)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for n in (1, 2, 4):
+            spark.conf.set(name, n)
+            got = chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+            assert {(r.conv_id, r.turn, r.position) for r in got} == {(c, t, t) for c, t, _, _ in rows}
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_quotations_of_parts_are_linked(spark):
+    """Generated conversations quote lines, sentences out of paragraphs and re-wrapped parts; every parent is found."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for c in range(40):
+        said = []
+        for t in range(8):
+            words = [f"w{rng.randrange(3000)}" for _ in range(60)]
+            own = " ".join(w + "." if i % 12 == 11 else w for i, w in enumerate(words))
+            head = ""
+            if t and rng.random() < 0.7:
+                to = rng.randrange(t)
+                kind, source = rng.randrange(4), said[to].split()
+                if kind == 0:
+                    part = [said[to]]
+                elif kind == 1:
+                    k = 12 * rng.randrange(5)
+                    part = [" ".join(source[k : k + 12])]
+                else:
+                    k = rng.randrange(40)
+                    part = [" ".join(source[k + j : k + j + 5]) for j in range(0, 10 if kind == 2 else 20, 5)]
+                mark = rng.choice(["> ", ">"])
+                head = "On Monday, X wrote:\n" + "\n".join(mark + x for x in part) + "\n\n"
+                want[c, t] = to
+            rows.append((c, t, "u", head + own))
+            said.append(own)
+    got = chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv_id, r.turn): r.parent_turn for r in got if r.parent_turn is not None} == want
+    assert all(">" not in r.text and "wrote" not in r.text for r in got)
+
+
 def test_quality_counts(odd, empty):
     text = "a b c d e f\na b c d e x # %\n\na b c d e f"
     words = text.split()

@@ -379,11 +379,15 @@ def near_duplicates(
 
 
 def representatives(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, vid) of the rows that stand for the classes of near_duplicates, vid being the xxhash64 of the text.
+    """(id, vid, repeated) of the rows that stand for the classes of near_duplicates, vid being the xxhash64 of the text.
 
     Of a class that with the smallest id, null last, then the smallest vid;
-    every id of each text without words.
+    every id of each text without words. repeated tells whether df has several
+    rows of this id and text.
     """
     rows, by_text, _ = _classified(_source(df, id_col, text_col), least)
     first = by_text.groupBy(F.coalesce("component", "vid")).agg(F.min(F.struct(F.col("rep").isNull(), "rep", "vid")).alias("x"))
-    return first.select(F.col("x.rep").alias(id_col), "x.vid").union(rows.where("bands is null").select("id", "vid").distinct())
+    first = first.select(F.col("x.rep").alias("id"), "x.vid").union(rows.where("bands is null").select("id", "vid").distinct())
+    twice = durable(rows.groupBy("id", "vid").agg(F.count("*").alias("n")).where("n > 1"))
+    found = first.alias("f").join(twice.alias("t"), F.expr("f.id <=> t.id and f.vid = t.vid"), "left")
+    return found.select(F.col("f.id").alias(id_col), F.col("f.vid").alias("vid"), F.col("n").isNotNull().alias("repeated"))
