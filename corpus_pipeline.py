@@ -1,9 +1,12 @@
 """A training corpus from raw documents: quality rules, language, near duplicates, packing.
 
-Each stage takes all that the one before kept. The first three give the columns
-of documents; the last gives the pieces of packed sequences. STAGES are
-written and read again between stages by whoever runs them one by one; run()
-cuts the lineage between them in the same way.
+Each stage takes all that the one before kept. Documents are rows: null ids,
+repeated ids and repeated rows are judged like others, and verdicts travel with
+the row. Null and empty texts have no words and go at the first stage; an empty
+table gives empty results; further columns of documents go through. The first
+three give the columns of documents; the last gives the pieces of packed
+sequences. STAGES are written and read again between stages by whoever runs
+them one by one; run() cuts the lineage between them in the same way.
 """
 
 import public_tokenizers
@@ -14,34 +17,28 @@ from wellspring.llm import common, dedup, langid, packing, quality
 from wellspring.session import durable
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds row_key, of id and text: stages decide by it, so null and repeated ids are documents like others."""
-    return docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-
-
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Documents whose row key is among verdicts."""
-    return _keyed(docs).join(verdicts.select("row_key").distinct(), "row_key", "left_semi").select(docs.columns)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the label model over the quality rules holds for good; those without words go."""
-    return _kept(docs, quality.quality_posterior(_keyed(docs), id_col="row_key").where("quality >= 0.5"))
+    return quality.rows_with_quality(docs).where("quality >= 0.5").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised: not und, and with a score of 0.5 or more."""
     scorer = langid.fit(docs.where(common.id_bucket("doc_id", 5) != 0))
-    return _kept(docs, langid.predict(_keyed(docs), scorer, "row_key").where("lang_pred <> 'und' and score >= 0.5"))
+    return langid.rows_with_language(docs, scorer).where("lang_pred <> 'und' and score >= 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: that with the smallest id, once, whatever else has this id."""
-    first = dedup.representatives(docs).select(F.col("doc_id").alias("rep"), "vid")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    kept = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("vid")), "left_semi")
-    once = kept.groupBy("doc_id", "text_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return once.select("row.*")
+    first = durable(dedup.representatives(docs))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+
+    def standing(which):
+        rep = first.where(which).select("doc_id", "vid")
+        return rows.join(rep, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("vid")), "left_semi")
+
+    several = standing("repeated").groupBy("row.doc_id", F.xxhash64("row.text")).agg(F.first("row").alias("row"))
+    return standing("not repeated").union(several.select("row")).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
