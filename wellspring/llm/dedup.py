@@ -227,21 +227,23 @@ def difference(x: tuple[np.ndarray, np.ndarray], pivot: tuple[np.ndarray, np.nda
 class _Search:
     """Links between texts that share a bucket: rows (key, vid, c) of buckets, c being how central the text is."""
 
-    #: A bucket with no more open rows than this, or of which a round closed less than this part, gets no further pivot.
+    #: After its second pivot a bucket with no more open rows than this, or of which a round closed less than this part, gets none.
     CROWD, PART = 32, 16
 
     def __init__(self, members: DataFrame, bags: DataFrame, least: float):
         self.members, self.bags, self.least = members, bags, least
-        self.links = self.tried = None
+        self.tested = None
 
-    def _test(self, pairs: DataFrame) -> DataFrame:
-        """Verify pairs (v, p) that are new, and keep what links."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["v", "p"], "left_anti")
-        tested = durable(_verified(pairs, self.bags))
-        found = tested.where(F.col("similarity") >= self.least)
-        self.links = found if self.links is None else self.links.unionByName(found)
-        self.tried = tested.select("v", "p") if self.tried is None else self.tried.union(tested.select("v", "p"))
+    @property
+    def links(self) -> DataFrame:
+        return self.tested.where(F.col("similarity") >= self.least)
+
+    def _test(self, pairs: DataFrame) -> None:
+        """Verify pairs (v, p) that are new."""
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["v", "p"], "left_anti")
+        found = durable(_verified(pairs, self.bags))
+        self.tested = found if self.tested is None else self.tested.union(found)
 
     def pivots(self) -> DataFrame:
         """Meet pivots in rounds; what is left to compare: (key, p, v, far, near).
@@ -249,70 +251,83 @@ class _Search:
         In a round each bucket's most central open member meets all others that
         are open; those that link close. Two that close in one round are of one
         class. Left are pairs of a row that did not link to p (far) with one
-        that did, or that stays open at the end of its bucket (near).
+        that did (near). Rows that never link are left to each other too, as
+        near ones, at that pivot of their bucket to which they are nearest.
         """
-        rows, left = self.members, None
+        rows, met = self.members, None
         while True:
             best = rows.groupBy("key").agg(F.max(F.struct("c", "vid"))["vid"].alias("p"))
-            met = rows.join(best, "key").where("vid <> p").select("key", F.col("vid").alias("v"), "p", "c")
-            self._test(met.select("v", "p").distinct())
-            met = durable(met.join(self.links.select("v", "p", F.lit(False).alias("far")), ["v", "p"], "left").fillna(True, "far"))
-            fate = met.groupBy("key").agg(F.count_if("far").alias("open"), F.count("*").alias("n"))
-            on = fate.where((F.col("open") > self.CROWD) & ((F.col("n") - F.col("open")) * self.PART >= F.col("n"))).select("key", F.lit(False).alias("last"))
-            met = met.join(on, "key", "left").fillna(True, "last")
-            now = met.select("key", "p", "v", "far", (F.col("last") | ~F.col("far")).alias("near"))
-            left = now if left is None else left.unionByName(now)
-            rows = durable(met.where("far and not last").select("key", F.col("v").alias("vid"), "c"))
+            now = rows.join(best, "key").where("vid <> p").select("key", F.col("vid").alias("v"), "p", "c")
+            self._test(now.select("v", "p").distinct())
+            now = durable(now.join(self.tested, ["v", "p"]).withColumn("far", F.col("similarity") < self.least))
+            fate = now.groupBy("key").agg(F.count_if("far").alias("open"), F.count("*").alias("n"))
+            crowd = (F.col("open") > self.CROWD) & ((F.col("n") - F.col("open")) * self.PART >= F.col("n"))
+            on = fate.where(crowd | F.lit(met is None) & (F.col("open") > 1)).select("key", F.lit(False).alias("last"))
+            now = now.join(on, "key", "left").fillna(True, "last")
+            rows = durable(now.where("far and not last").select("key", F.col("v").alias("vid"), "c"))
+            met = now if met is None else met.unionByName(now)
             if rows.isEmpty():
-                return left
-
-    def complete(self, left: DataFrame, same: DataFrame) -> None:
-        """Verify what pivots left: pairs of two classes (same: node, component) of which one is far and one near.
+                break
+        alone = met.where("far and last").select("key", "v")
+        nearest = met.join(alone, ["key", "v"], "left_semi").groupBy("key", "p").agg(F.avg("similarity").alias("s"))
+        nearest = nearest.groupBy("key").agg(F.max(F.struct("s", "p"))["p"].alias("p"))
+        alone = durable(alone.join(nearest, "key").select("key", "v", "p", F.lit(True).alias("near")))
+        left = met.select("key", "p", "v", "far").join(alone, ["key", "v", "p"], "left")
+        return left.select("key", "p", "v", "far", (F.col("near").isNotNull() | ~F.col("far")).alias("near"))
+
+    def homes(self) -> DataFrame:
+        """(v, home): the pivot that a text links to, of several the one with most links. Texts of one home are of one class."""
+        linked = self.links.select("v", "p").union(self.links.select("p", "p")).distinct()
+        times = durable(linked.groupBy("p").agg(F.count("*").alias("n")))
+        return durable(linked.join(times, "p").groupBy("v").agg(F.max(F.struct("n", "p"))["p"].alias("home")))
+
+    def complete(self, left: DataFrame) -> None:
+        """Verify what pivots left: pairs that have no common home, of which one is far and one near.
 
         Let d be the number of units in which a bag of weight n differs from
         the pivot, c = (1 - least) / (1 + least), and e = d - c n. Bags x and y
         link if they differ in at most c (n_x + n_y) units, and they differ in
         d_x + d_y - 2 s, where s units are in both differences. So they link if
-        s >= (e_x + e_y) / 2, which is above 0 as one is far. In whatever order
-        units are put, two differences that share s have a common one among the
-        first d_x - s + 1 and d_y - s + 1. Rare units stand first, so bags that
-        differ from the pivot each in their own way never meet. The bound on s
-        is by the least e of the other side for a row, and by both for a pair.
-        Only whole numbers are compared, so no pair at the threshold is lost.
+        s >= (e_x + e_y) / 2, which is above 0 as one is far. Then of the near
+        one's units, in whatever order, one among the first d - s + 1 is shared.
+        Units that few other far bags hold stand first, so bags that differ from the
+        pivot each in their own way never meet. For a bag the bound on s is by
+        the least e of the other side, for a pair by both. Only whole numbers
+        are compared, so no pair at the threshold is lost.
         """
         least = Fraction(str(self.least))
         low, high = least.denominator - least.numerator, least.denominator + least.numerator
-        kind = same.select(F.col("node").alias("v"), "component")
-        left = left.join(kind, "v", "left").withColumn("component", F.coalesce("component", "v"))
-        bucket = left.groupBy("key", "p").agg(F.max("far").alias("far"), F.max("near").alias("near"), F.min("component").alias("a"), F.max("component").alias("b"))
+        left = left.join(self.homes(), "v", "left").withColumn("home", F.coalesce("home", "v"))
+        bucket = left.groupBy("key", "p").agg(F.max("far").alias("far"), F.max("near").alias("near"), F.min("home").alias("a"), F.max("home").alias("b"))
         unsure = durable(bucket.where("far and near and a < b").select("key", "p"))
-        rows = left.join(unsure, ["key", "p"], "left_semi").groupBy("v", "p", "component").agg(F.max("far").alias("far"), F.max("near").alias("near"))
+        rows = left.join(unsure, ["key", "p"], "left_semi").groupBy("v", "p", "home").agg(F.max("far").alias("far"), F.max("near").alias("near"))
         apart = _with_bags(rows.select("v", "p"), self.bags, difference, "units array<long>, n long")
-        apart = apart.select("v", "p", "units", F.size("units").alias("d"), (high * F.size("units") - low * F.col("n")).alias("e"))
-        rows = durable(apart.join(rows, ["v", "p"]))
-        ends = rows.groupBy("p").agg(F.min(F.when(F.col("far"), F.col("e"))).alias("far_e"), F.min(F.when(F.col("near"), F.col("e"))).alias("near_e"))
-
-        def reach(role, other):
-            s = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col(other)) / (2 * high) - 1e-9))
-            return F.when(F.col(role), F.col("d") - s + 1).otherwise(0)
-
-        rows = rows.join(ends, "p").select("v", "p", "component", "units", "d", "e", reach("far", "near_e").alias("far"), reach("near", "far_e").alias("near"))
-        rows = durable(rows.where("far > 0 or near > 0"))
-        units = rows.select("p", "v", F.explode("units").alias("unit"))
-        shared = durable(units.groupBy("p", "unit").agg(F.count("*").alias("times")).where("times > 1"))
-        order = units.join(shared, ["p", "unit"]).groupBy("p", "v").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("u"))
-        order = rows.drop("units").join(order, ["p", "v"]).withColumn("alone", F.col("d") - F.size("u"))
-        first = F.slice("u", 1, F.greatest(F.lit(0), F.greatest("far", "near") - F.col("alone")).cast("int"))
-        order = durable(order.select("p", "v", "component", "d", "e", "far", "near", "alone", F.posexplode(first).alias("i", "u")))
-        rank = F.col("alone") + F.col("i") + 1
-
-        def side(role, x):
-            return order.where(rank <= F.col(role)).select("p", F.col("u.unit").alias("unit"), *(F.col(c).alias(x + c) for c in ("v", "component", "e")), (F.col("d") - rank + 1).alias(x + "rest"))
-
-        pairs = side("far", "x_").join(side("near", "y_"), ["p", "unit"])
-        pairs = pairs.where(F.col("x_component") != F.col("y_component")).where(2 * high * F.least("x_rest", "y_rest") >= F.col("x_e") + F.col("y_e"))
+        apart = durable(apart.select("v", "p", "units", F.size("units").alias("d"), (high * F.size("units") - low * F.col("n")).alias("e")))
+        units = apart.select("p", "v", F.explode("units").alias("unit"))
+        alone = units.groupBy("p", "unit").agg(F.count("*").alias("times"), F.min("v").alias("v")).where("times = 1")
+        alone = alone.groupBy("p", "v").agg(F.count("*").alias("alone"))
+        rows = durable(apart.drop("units").join(rows, ["v", "p"]).join(alone, ["v", "p"], "left").fillna(0, "alone"))
+        for role, other in (("far", "near"), ("near", "far")):  # what one side loses tightens the other's bound
+            end = durable(rows.where(other).groupBy("p").agg(F.min("e").alias("other_e")))
+            s = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("other_e")) / (2 * high) - 1e-9))
+            within = F.col("d") - s + 1
+            within = F.when(F.col(role) & F.col("other_e").isNotNull() & (within > F.col("alone")), within).otherwise(0)
+            rows = rows.join(end, "p", "left").withColumn("reach", within).drop("other_e").withColumn(role, F.col("reach") > 0)
+        rows = durable(rows.where("far or near"))
+
+        def held(role, x):
+            some = rows.where(role).select("v", "p", *(F.col(c).alias(x + c) for c in ("home", "d", "e", "reach")))
+            return apart.select("v", "p", "units").join(some, ["v", "p"]).withColumnRenamed("v", x + "v").withColumn("unit", F.explode("units")).drop("units")
+
+        times = held("far", "x_").groupBy("p", "unit").agg(F.count("*").alias("times"), F.min("x_v").alias("one"))
+        order = held("near", "y_").join(durable(times), ["p", "unit"]).where((F.col("times") > 1) | (F.col("one") != F.col("y_v")))
+        order = order.groupBy("p", "y_v", "y_home", "y_d", "y_e", "y_reach").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("u"))
+        order = order.select("*", F.posexplode("u").alias("i", "found")).withColumn("rest", F.size("u") - F.col("i"))
+        first = durable(order.where(F.col("y_d") - F.col("rest") < F.col("y_reach")).select("p", F.col("found.unit").alias("unit"), "y_v", "y_home", "y_e", "rest"))
+        pairs = first.join(held("far", "x_"), ["p", "unit"])
+        pairs = pairs.where(F.col("x_home") != F.col("y_home")).where(2 * high * F.col("rest") >= F.col("x_e") + F.col("y_e"))
         pairs = pairs.select(F.greatest("x_v", "y_v").alias("v"), F.least("x_v", "y_v").alias("p")).distinct()
-        back = self.tried.select(F.col("p").alias("v"), F.col("v").alias("p"))
+        back = self.tested.select(F.col("p").alias("v"), F.col("v").alias("p"))
         self._test(pairs.join(back, ["v", "p"], "left_anti"))
 
 
@@ -334,8 +349,7 @@ def _classified(src: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Dat
     bags = src.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("vid") == F.col("v")), "left_semi")
     search = _Search(member, durable(_bags(bags)), least)
     left = search.pivots()
-    same = durable(connected_components(search.links, "v", "p"))
-    search.complete(left, same)
+    search.complete(left)
     same = connected_components(search.links, "v", "p")
     by_text = texts.select("vid", "rep", "copies").join(same, F.col("vid") == F.col("node"), "left")
     return rows, durable(by_text.select("vid", "rep", "copies", "component")), search.links
