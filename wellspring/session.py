@@ -21,14 +21,27 @@ def build_session(app: str = "wellspring", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+#: Shuffle files of a query go when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of df with a reliable checkpoint, which survives lost executors.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests, a laptop) a temporary one is made.
+    The folder is the one the cluster names in spark.checkpoint.dir; where that
+    is unset and the master is local (tests, a laptop) a temporary one is made.
+    Once written, what df was shuffled from is not needed again and its files go.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-wellspring-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a new plan, which takes the setting up
+    finally:
+        spark.conf.set(CLEAN, before)
