@@ -66,9 +66,9 @@ class Scorer:
 def _sample(labelled: DataFrame, counts: dict[str, int], per_lang: int, salt: str) -> DataFrame:
     """About per_lang rows of each language, 24 at least or all it has, the same at every partitioning."""
     per_lang = max(per_lang, 24)
-    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, per_lang / n)) for k, n in counts.items()], "lang string, share double")
+    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))))[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.lit(salt), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.withColumn("draw", draw).join(shares, "lang").where("draw < share")
+    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share)
     return drawn.orderBy("draw", "id").limit(int(1.5 * per_lang * len(counts)) + 64)
 
 
@@ -103,7 +103,8 @@ def fit(
     matrix = np.zeros((len(vocabulary), len(bags)), dtype=np.float32)
     for j, b in enumerate(bags):
         matrix[np.searchsorted(vocabulary, b), j] = 1 / np.sqrt(len(b))
-    kernel = matrix.T.astype(float) @ matrix
+    blocks = [matrix[lo : lo + 4096] for lo in range(0, len(matrix), 4096)]  # exact sums without a second whole matrix
+    kernel = sum(b.astype(float).T @ b.astype(float) for b in blocks)
     value, vector = np.linalg.eigh(kernel)
     use = value > 1e-8 * value.max()
     root = vector[:, use] / np.sqrt(value[use])
@@ -120,7 +121,7 @@ def fit(
     target = np.where(seen[:, None] == np.arange(len(langs))[None, :], 1.0, -1.0)
     gram = phi.T @ (phi * weight[:, None]) + ridge / max(len(train), 1) * np.eye(phi.shape[1])
     alpha = np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
-    return Scorer(vocabulary, matrix.astype(float) @ (root @ alpha[:-1]), alpha[-1], langs)
+    return Scorer(vocabulary, np.concatenate([b.astype(float) @ (root @ alpha[:-1]) for b in blocks]), alpha[-1], langs)
 
 
 def _predictor(df: DataFrame, scorer: Scorer | None):
