@@ -79,14 +79,14 @@ def robust_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     base = df.groupBy(*keys).agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.var_samp(value).alias("var"), F.expr(f"percentile({value}, 0.5)").alias("median")
     )
-    dev = df.join(F.broadcast(base.select(*keys, "median")), keys).groupBy(*keys).agg((1.4826 * F.expr(f"percentile(abs({value} - median), 0.5)")).alias("mad"))
+    dev = df.join(base.select(*keys, "median"), keys).groupBy(*keys).agg((1.4826 * F.expr(f"percentile(abs({value} - median), 0.5)")).alias("mad"))
     return base.join(dev, keys)
 
 
 def clipped_stats(df: DataFrame, keys: list[str], value: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Statistics by keys of the values between two quantiles of their key."""
     cut = df.groupBy(*keys).agg(F.expr(f"percentile({value}, array({low}, {high}))").alias("q"))
-    kept = df.join(F.broadcast(cut), keys).where((F.col(value) >= F.col("q")[0]) & (F.col(value) <= F.col("q")[1]))
+    kept = df.join(cut, keys).where((F.col(value) >= F.col("q")[0]) & (F.col(value) <= F.col("q")[1]))
     q = lambda p: F.expr(f"percentile({value}, {p})")
     return kept.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), q(0.5).alias("median"), F.stddev_pop(value).alias("std"),
@@ -114,7 +114,7 @@ def zscore(df: DataFrame, keys: list[str], features: list[str], eps: float = 0.0
     """Centred and scaled features within keys; a feature without variance is only centred if eps is 0."""
     dev = F.stddev_samp if ddof else F.stddev_pop
     stats = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in features], *[dev(c).alias(f"_s_{c}") for c in features])
-    out = df.join(F.broadcast(stats), keys) if keys else df.join(F.broadcast(stats))
+    out = df.join(stats, keys) if keys else df.join(F.broadcast(stats))
     for c in features:
         s = F.col(f"_s_{c}") + eps
         out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / F.when(s > 0, s).otherwise(1.0))
@@ -130,7 +130,7 @@ def iqr_outliers(df: DataFrame, keys: list[str], value: str, low: float | None =
         test = test | (F.col(value) < F.col("_q")[0] - low * iqr)
     if high is not None:
         test = test | (F.col(value) > F.col("_q")[1] + high * iqr)
-    return df.join(F.broadcast(q), keys).withColumn("is_outlier", test).drop("_q")
+    return df.join(q, keys).withColumn("is_outlier", test).drop("_q")
 
 
 def quantile_rescale(df: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
@@ -138,7 +138,7 @@ def quantile_rescale(df: DataFrame, keys: list[str], value: str, low: float = 0.
     q = df.groupBy(*keys).agg(F.expr(f"percentile({value}, array({low}, {high}))").alias("_q"))
     a, b = F.col("_q")[0], F.col("_q")[1]
     clipped = F.least(F.greatest(F.col(value).cast("double"), a), b)
-    return df.join(F.broadcast(q), keys).withColumn("scaled", F.when(b > a, (clipped - a) / (b - a))).drop("_q")
+    return df.join(q, keys).withColumn("scaled", F.when(b > a, (clipped - a) / (b - a))).drop("_q")
 
 
 def seeded_order(seed: int, *ids: str) -> Column:
@@ -173,7 +173,7 @@ def grouped_split(df: DataFrame, keys: list[str], share: float, seed: int) -> Da
     groups = df.select(*keys).distinct()
     n = groups.count()
     order = groups.withColumn("_o", seeded_order(seed, *keys)).orderBy("_o").limit(int(n * share)).drop("_o").withColumn("is_train", F.lit(True))
-    return df.join(F.broadcast(order), keys, "left").na.fill(False, ["is_train"])
+    return df.join(order, keys, "left").na.fill(False, ["is_train"])
 
 
 def three_way_split(df: DataFrame, seed: int, *ids: str, train: int = 70, valid: int = 15) -> DataFrame:

@@ -117,7 +117,7 @@ def line_fit_distance(points: DataFrame, key=K) -> DataFrame:
     d = [F.col(c) - F.col(f"m{c}") for c in "xyz"]
     along = sum((d[i] * F.col("axis")[i] for i in range(3)), F.lit(0.0))
     off = F.sqrt(F.greatest(d[0] * d[0] + d[1] * d[1] + d[2] * d[2] - along * along, F.lit(0.0)))
-    return points.join(F.broadcast(m), list(key)).groupBy(*key).agg(F.when(F.max("n") >= 2, F.avg(off)).otherwise(0.0).alias("distance"))
+    return points.join(m, list(key)).groupBy(*key).agg(F.when(F.max("n") >= 2, F.avg(off)).otherwise(0.0).alias("distance"))
 
 
 def plane_detected(points: DataFrame, key=K) -> DataFrame:

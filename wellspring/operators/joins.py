@@ -1,6 +1,7 @@
 """Spatial joins within a well: radius, k nearest, nearest link."""
 
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,16 +29,34 @@ def radius_join(
     for c in cols:
         around = F.array(*[F.col(f"cell_{c}") + d for d in (-1, 0, 1)])
         a = a.withColumn(f"cell_{c}", F.explode(around))
-    b = right.select(*base, *cells)
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*key, *[f"cell_{c}" for c in cols])]
+    names = [*key, *[f"cell_{c}" for c in cols]]
+    a, b = (x.withColumn("spot", F.xxhash64(*names)) for x in (a, right.select(*base, *cells)))
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("spot", *names)]
     d2 = _distance(cols, "a", "b")
     joined = a.alias("a").join(b.alias("b"), on).where(d2 < radius * radius if strict else d2 <= radius * radius)
     return joined.select(*[F.col(f"a.{k}").alias(k) for k in key], F.col(f"a.{id_col}").alias("src"), F.col(f"b.{id_col}").alias("dst"), F.sqrt(d2).alias("dist"))
 
 
 def radius_neighbors(points: DataFrame, radius: float, cols=("x", "y", "z"), key=K, id_col: str = "label") -> DataFrame:
-    """All ordered pairs of different points of a group within radius: (key, src, dst, dist)."""
-    return radius_join(points, points, radius, cols, key, id_col).where("src <> dst")
+    """All ordered pairs of different points of a group within radius: (key, src, dst, dist).
+
+    Each pair of cells meets once, from the one that comes first (14 of the 27
+    cells around a point), and each pair of points found is given both ways.
+    """
+    none = (0,) * len(cols)
+    ahead = [o for o in product((-1, 0, 1), repeat=len(cols)) if o >= none]
+    cells = [F.floor(F.col(c) / radius) for c in cols]
+    into = F.array(*[F.struct(*[(cell + d).alias(f"cell_{c}") for c, cell, d in zip(cols, cells, o)], F.lit(o == none).alias("own")) for o in ahead])
+    base = [*key, id_col, *cols]
+    names = [*key, *[f"cell_{c}" for c in cols]]
+    a = points.select(*base, F.explode(into).alias("cell")).select(*base, "cell.*").withColumn("spot", F.xxhash64(*names)).alias("a")
+    b = points.select(*base, *[x.alias(f"cell_{c}") for c, x in zip(cols, cells)]).withColumn("spot", F.xxhash64(*names)).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("spot", *names)]  # a number first, by which sorting is quick
+    one, two, d2 = F.col(f"a.{id_col}"), F.col(f"b.{id_col}"), _distance(cols, "a", "b")
+    met = a.join(b, on).where((d2 <= radius * radius) & F.when(F.col("own"), one < two).otherwise(one != two))
+    ways = F.array(F.struct(one.alias("src"), two.alias("dst")), F.struct(two.alias("src"), one.alias("dst")))
+    met = met.select(*[F.col(f"a.{k}").alias(k) for k in key], F.explode(ways).alias("way"), F.sqrt(d2).alias("dist"))
+    return met.select(*key, "way.src", "way.dst", "dist")
 
 
 def knn(edges: DataFrame, k: int, key=K) -> DataFrame:
@@ -53,7 +72,7 @@ def nearest_link(source: DataFrame, target: DataFrame, max_distance: float, cols
     """
     pairs = radius_join(source, target, max_distance, cols, key, id_col, strict=True)
     n = source.groupBy(*key).agg(F.count("*").alias("n_source")).join(target.groupBy(*key).agg(F.count("*").alias("n_target")), list(key))
-    pairs = pairs.join(F.broadcast(n.select(*key, (F.col("n_source") <= F.col("n_target")).alias("by_source"))), list(key))
+    pairs = pairs.join(n.select(*key, (F.col("n_source") <= F.col("n_target")).alias("by_source")), list(key))
     pairs = pairs.withColumn("me", F.when(F.col("by_source"), F.col("src")).otherwise(F.col("dst")))
     pairs = pairs.withColumn("other", F.when(F.col("by_source"), F.col("dst")).otherwise(F.col("src")))
     w = Window.partitionBy(*key, "me").orderBy("dist", "other")

@@ -20,7 +20,7 @@ def image_stats(px: DataFrame, keys: list[str]) -> DataFrame:
 def robust_stats(px: DataFrame, keys: list[str]) -> DataFrame:
     """Median, median absolute deviation and their ratio of each image."""
     med = px.groupBy(*keys).agg(F.expr("percentile(v, 0.5)").alias("median"))
-    out = px.join(F.broadcast(med), keys).groupBy(*keys, "median").agg(F.expr("percentile(abs(v - median), 0.5)").alias("mad"))
+    out = px.join(med, keys).groupBy(*keys, "median").agg(F.expr("percentile(abs(v - median), 0.5)").alias("mad"))
     return out.withColumn("median_mad", F.when(F.col("mad") > 0, F.col("median") / F.col("mad")))
 
 
@@ -43,7 +43,7 @@ def otsu_threshold(px: DataFrame, keys: list[str], bins: int = 256) -> DataFrame
     ends = px.groupBy(*keys).agg(F.min("v").cast("double").alias("a"), F.max("v").cast("double").alias("b"))
     w = (F.col("b") - F.col("a")) / bins
     at = F.when(w > 0, F.least(F.floor((F.col("v") - F.col("a")) / w), F.lit(bins - 1))).otherwise(0)
-    h = px.join(F.broadcast(ends), keys).groupBy(*keys, "a", "b", at.alias("bin")).agg(F.count("*").alias("n"))
+    h = px.join(ends, keys).groupBy(*keys, "a", "b", at.alias("bin")).agg(F.count("*").alias("n"))
     center = F.col("a") + w * (F.col("bin") + 0.5)
     up, all_ = Window.partitionBy(*keys).orderBy("bin"), Window.partitionBy(*keys)
     h = h.withColumn("c", center).withColumn("n1", F.sum("n").over(up)).withColumn("s1", F.sum(F.col("n") * F.col("c")).over(up))
@@ -58,7 +58,7 @@ def otsu_threshold(px: DataFrame, keys: list[str], bins: int = 256) -> DataFrame
 def foreground_filter(px: DataFrame, image: list[str], channel: str, least: float = 0.005) -> DataFrame:
     """(image, ratio): images with more than least of their channel maximum above its threshold."""
     top = px.groupBy(*image, "y", "x").agg(F.max("v").alias("v"))
-    out = top.join(F.broadcast(otsu_threshold(top, image)), image).groupBy(*image).agg(F.avg((F.col("v") > F.col("threshold")).cast("double")).alias("ratio"))
+    out = top.join(otsu_threshold(top, image), image).groupBy(*image).agg(F.avg((F.col("v") > F.col("threshold")).cast("double")).alias("ratio"))
     return out.where(F.col("ratio") > least)
 
 
@@ -76,7 +76,7 @@ def flatfield_apply(px: DataFrame, flat: DataFrame) -> DataFrame:
 def background_subtract(px: DataFrame, background: DataFrame, keys: list[str]) -> DataFrame:
     """Subtracts the truncated background of each image, not below 0; NaN and null count 0."""
     bg = F.coalesce(F.when(~F.isnan("bg"), F.col("bg")), F.lit(0.0)).cast("int")
-    return px.join(F.broadcast(background), keys, "left").withColumn("v", F.greatest(F.col("v") - bg, F.lit(0))).drop("bg")
+    return px.join(background, keys, "left").withColumn("v", F.greatest(F.col("v") - bg, F.lit(0))).drop("bg")
 
 
 def z_profile(px: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,7 +89,7 @@ def percentile_rescale(px: DataFrame, keys: list[str], p: float, low: float, hig
     q = px.groupBy(*keys).agg(F.expr(f"percentile(v, array({p}, {1 - p}))").alias("_q"))
     a, b = F.col("_q")[0], F.col("_q")[1]
     s = F.least(F.greatest((F.col("v") - a) / F.when(b > a, b - a).otherwise(1.0), F.lit(0.0)), F.lit(1.0))
-    return px.join(F.broadcast(q), keys).withColumn("scaled", low + s * (high - low)).drop("_q")
+    return px.join(q, keys).withColumn("scaled", low + s * (high - low)).drop("_q")
 
 
 def stitch_tiles(px: DataFrame, columns: int, width: int, height: int, overlap: int, keys: list[str]) -> DataFrame:
@@ -165,7 +165,7 @@ def offset_labels(px: DataFrame, keys: list[str]) -> DataFrame:
     """Labels made unique over slices by adding the largest labels of the slices before."""
     top = px.groupBy(*keys, "z").agg(F.max("label").alias("m"))
     before = F.coalesce(F.sum("m").over(Window.partitionBy(*keys).orderBy("z").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return px.join(F.broadcast(top.withColumn("offset", before).drop("m")), [*keys, "z"]).withColumn("label", F.when(F.col("label") > 0, F.col("label") + F.col("offset")).otherwise(0)).drop("offset")
+    return px.join(top.withColumn("offset", before).drop("m"), [*keys, "z"]).withColumn("label", F.when(F.col("label") > 0, F.col("label") + F.col("offset")).otherwise(0)).drop("offset")
 
 
 def contingency(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -221,7 +221,7 @@ def instance_metrics(table: DataFrame, gt: DataFrame, pred: DataFrame, taus: lis
     j = j.withColumn("iou", F.col("n") / (F.col("a") + F.col("b") - F.col("n"))).withColumn("tau", F.explode(F.array(*map(F.lit, taus)))).where("iou > tau")
     hit = j.groupBy("tau").agg(F.count("*").alias("tp"), F.sum("iou").alias("sum_iou"))
     sizes = gt.agg(F.count("*").alias("n_gt")).join(F.broadcast(pred.agg(F.count("*").alias("n_pred"))))
-    out = sizes.withColumn("tau", F.explode(F.array(*map(F.lit, taus)))).join(F.broadcast(hit), "tau", "left").na.fill(0, ["tp", "sum_iou"])
+    out = sizes.withColumn("tau", F.explode(F.array(*map(F.lit, taus)))).join(hit, "tau", "left").na.fill(0, ["tp", "sum_iou"])
     fp, fn = F.col("n_pred") - F.col("tp"), F.col("n_gt") - F.col("tp")
     return out.select("tau", "n_gt", "n_pred", "tp", fp.alias("fp"), fn.alias("fn"), (F.col("tp") / F.col("n_pred")).alias("precision"), (F.col("tp") / F.col("n_gt")).alias("recall"),
         (2 * F.col("tp") / (F.col("n_gt") + F.col("n_pred"))).alias("f1"), (F.col("tp") / (F.col("tp") + fp + fn)).alias("ap"), (F.col("sum_iou") / (F.col("tp") + 0.5 * fp + 0.5 * fn)).alias("pq"))

@@ -69,7 +69,7 @@ def average_clustering(nodes: DataFrame, edges: DataFrame, group: str = "leiden"
 def morans_i(nodes: DataFrame, edges: DataFrame, feature: str, key=K, id_col: str = "label") -> DataFrame:
     """Moran's I of a feature with weights that sum to 1 by row; 0 without edges or variance."""
     mean = nodes.groupBy(*key).agg(F.avg(feature).alias("m"), F.count("*").alias("n"))
-    z = nodes.select(*key, id_col, feature).join(F.broadcast(mean), list(key)).withColumn("z", F.col(feature) - F.col("m"))
+    z = nodes.select(*key, id_col, feature).join(mean, list(key)).withColumn("z", F.col(feature) - F.col("m"))
     ss = z.groupBy(*key, "n").agg(F.sum(F.col("z") * F.col("z")).alias("ss"))
     near = edges.join(z.select(*key, F.col(id_col).alias("dst"), F.col("z").alias("zd")), [*key, "dst"])
     lag = near.groupBy(*key, "src").agg(F.avg("zd").alias("lag"))

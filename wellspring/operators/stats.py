@@ -16,7 +16,7 @@ def effect_sizes(long: DataFrame, group: str, by: tuple = ("feature",)) -> DataF
     """eta squared, omega squared and Cohen's f of a group by feature; null under 3 values, 2 groups, or without variance."""
     g = _finite(long).groupBy(*by, group).agg(F.count("*").alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("*")).alias("ss"))
     t = g.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("ss").alias("ssw"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
-    b = g.join(F.broadcast(t.select(*by, "gm")), list(by)).groupBy(*by).agg(F.sum(F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm"))).alias("ssb"))
+    b = g.join(t.select(*by, "gm"), list(by)).groupBy(*by).agg(F.sum(F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm"))).alias("ssb"))
     j = t.join(b, list(by))
     sst, msw = F.col("ssb") + F.col("ssw"), F.col("ssw") / (F.col("n") - F.col("k"))
     ok = (F.col("n") >= 3) & (F.col("k") >= 2) & (sst > 0)
@@ -29,7 +29,7 @@ def eta2_against(long: DataFrame, group: str, control: str) -> DataFrame:
     """eta squared of each group against the control alone."""
     g = _finite(long).groupBy("feature", group).agg(F.count("*").alias("n"), F.avg("value").alias("m"), (F.var_pop("value") * F.count("*")).alias("ss"))
     c = g.where(F.col(group) == control).select("feature", F.col("n").alias("n0"), F.col("m").alias("m0"), F.col("ss").alias("ss0"))
-    j = g.where(F.col(group) != control).join(F.broadcast(c), "feature")
+    j = g.where(F.col(group) != control).join(c, "feature")
     ssb = F.col("n") * F.col("n0") / (F.col("n") + F.col("n0")) * (F.col("m") - F.col("m0")) * (F.col("m") - F.col("m0"))
     return j.select("feature", group, (ssb / (ssb + F.col("ss") + F.col("ss0") + 1e-10)).alias("eta2"))
 
@@ -38,7 +38,7 @@ def cohens_d(long: DataFrame, group: str, control: str) -> DataFrame:
     """Difference from the control over the pooled deviation; null under 2 values or without deviation."""
     g = _finite(long).groupBy("feature", group).agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     c = g.where(F.col(group) == control).select("feature", F.col("n").alias("n0"), F.col("m").alias("m0"), F.col("v").alias("v0"))
-    j = g.where(F.col(group) != control).join(F.broadcast(c), "feature")
+    j = g.where(F.col(group) != control).join(c, "feature")
     pooled = F.sqrt(((F.col("n") - 1) * F.col("v") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n") + F.col("n0") - 2))
     return j.select("feature", group, F.when((F.col("n") > 1) & (F.col("n0") > 1) & (pooled > 0), (F.col("m") - F.col("m0")) / pooled).alias("d"))
 
@@ -47,7 +47,7 @@ def welch_t(long: DataFrame, group: str, control: str) -> DataFrame:
     """t, degrees of freedom and two-sided p of each group against the control."""
     g = _finite(long).groupBy("feature", group).agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     c = g.where(F.col(group) == control).select("feature", F.col("n").alias("n0"), F.col("m").alias("m0"), F.col("v").alias("v0"))
-    j = g.where(F.col(group) != control).join(F.broadcast(c), "feature")
+    j = g.where(F.col(group) != control).join(c, "feature")
     a, b = F.col("v") / F.col("n"), F.col("v0") / F.col("n0")
     df = (a + b) * (a + b) / (a * a / (F.col("n") - 1) + b * b / (F.col("n0") - 1))
     out = j.where((F.col("n") > 1) & (F.col("n0") > 1)).select("feature", group, ((F.col("m") - F.col("m0")) / F.sqrt(a + b)).alias("t"), df.alias("df"))
@@ -161,14 +161,14 @@ def z_prime(df: DataFrame, group: str, control: str, value: str) -> DataFrame:
 def compound_order(shares: DataFrame, compound: str, group: str, value: str, control: str) -> DataFrame:
     """Distance of each compound's vector of shares to the control's, and its rank."""
     c = shares.where(F.col(compound) == control).select(group, F.col(value).alias("_c"))
-    d = shares.join(F.broadcast(c), group).groupBy(compound).agg(F.sqrt(F.sum((F.col(value) - F.col("_c")) * (F.col(value) - F.col("_c")))).alias("distance"))
+    d = shares.join(c, group).groupBy(compound).agg(F.sqrt(F.sum((F.col(value) - F.col("_c")) * (F.col(value) - F.col("_c")))).alias("distance"))
     return d.withColumn("rank", F.rank().over(Window.orderBy("distance")))
 
 
 def regress_out(df: DataFrame, keys: list[str], y: str, x: str) -> DataFrame:
     """Adds residual: y less its line on x within keys."""
     c = df.groupBy(*keys).agg(F.regr_slope(y, x).alias("_b"), F.regr_intercept(y, x).alias("_a"))
-    return df.join(F.broadcast(c), keys).withColumn("residual", F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).drop("_a", "_b")
+    return df.join(c, keys).withColumn("residual", F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).drop("_a", "_b")
 
 
 def min_max(value: Column, window) -> Column:
