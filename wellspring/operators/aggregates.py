@@ -169,11 +169,20 @@ def balanced_sample(df: DataFrame, value: str, bins: int, per_bin: int, seed: in
 
 
 def grouped_split(df: DataFrame, keys: list[str], share: float, seed: int) -> DataFrame:
-    """Adds is_train: whole groups go to one side, floor(n * share) of them to training."""
-    groups = df.select(*keys).distinct()
-    n = groups.count()
-    order = groups.withColumn("_o", seeded_order(seed, *keys)).orderBy("_o").limit(int(n * share)).drop("_o").withColumn("is_train", F.lit(True))
-    return df.join(order, keys, "left").na.fill(False, ["is_train"])
+    """Adds is_train: whole groups go to one side, floor(n * share) of them to training.
+
+    The groups are counted by the first digits of their hash order, so only those
+    of the one bin in which the border falls are ranked.
+    """
+    groups = df.select(*keys).distinct().withColumn("_o", seeded_order(seed, *keys)).withColumn("_b", F.substring("_o", 1, 3))
+    sizes = groups.groupBy("_b").agg(F.count("*").alias("_n"))  # at most 4096 rows
+    sizes = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    placed = groups.join(sizes, "_b").withColumn("_take", F.floor(F.col("_all") * share))
+    whole = placed.where(F.col("_before") + F.col("_n") <= F.col("_take")).select(*keys)
+    edge = placed.where((F.col("_before") < F.col("_take")) & (F.col("_before") + F.col("_n") > F.col("_take")))
+    edge = edge.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_o"))).where(F.col("_before") + F.col("_r") <= F.col("_take")).select(*keys)
+    train = whole.unionByName(edge).withColumn("is_train", F.lit(True))
+    return df.join(train, keys, "left").na.fill(False, ["is_train"])
 
 
 def three_way_split(df: DataFrame, seed: int, *ids: str, train: int = 70, valid: int = 15) -> DataFrame:

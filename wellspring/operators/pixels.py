@@ -109,11 +109,17 @@ def downsample(px: DataFrame, k: int) -> DataFrame:
     return px.where((F.col("x") % k == 0) & (F.col("y") % k == 0))
 
 
-def montage(px: DataFrame, columns: int, width: int, height: int) -> DataFrame:
-    """All wells on one canvas, row by row; channels become columns and missing pixels 0."""
+def montage(px: DataFrame, columns: int, width: int, height: int, keys: list[str] | None = None, channels: list | None = None) -> DataFrame:
+    """All wells on one canvas for each of keys, row by row; channels become columns and missing pixels 0.
+
+    Without channels given, all of px are found first.
+    """
+    keys = keys or []
     cx = F.col("x") + (F.col("well") % columns) * width
     cy = F.col("y") + F.floor(F.col("well") / columns) * height
-    return px.select(cx.cast("int").alias("cx"), cy.cast("int").alias("cy"), "ch", "v").groupBy("cy", "cx").pivot("ch", [0, 1]).agg(F.max("v")).na.fill(0)
+    placed = px.select(*keys, cx.cast("int").alias("cx"), cy.cast("int").alias("cy"), "ch", "v")
+    wide = placed.groupBy(*keys, "cy", "cx").pivot("ch", channels).agg(F.max("v"))
+    return wide.na.fill(0, [c for c in wide.columns if c not in (*keys, "cy", "cx")])
 
 
 def regionprops(px: DataFrame, keys: list[str]) -> DataFrame:

@@ -112,12 +112,12 @@ def nhood_enrichment(nodes: DataFrame, edges: DataFrame, group: str = "leiden",
     return out.select(*key, "src_group", "dst_group", "n", F.when(F.col("sd") > 0, (F.col("n") - F.col("mean")) / F.col("sd")).alias("z"))
 
 
-def group_closeness(nodes: DataFrame, edges: DataFrame, group: str = "leiden", key=K, id_col: str = "label", max_hops: int = 64) -> DataFrame:
+def group_closeness(nodes: DataFrame, edges: DataFrame, group: str = "leiden", key=K, id_col: str = "label") -> DataFrame:
     """Nodes outside a group over the sum of their hops to it; only reachable nodes add hops."""
     e = edges.select(*key, "src", "dst")
     seen = durable(nodes.select(*key, F.col(group), F.col(id_col).alias("node"), F.lit(0).alias("hops")))
     frontier, hop = seen, 0
-    while hop < max_hops:
+    while True:
         hop += 1
         step = frontier.withColumnRenamed("node", "src").drop("hops").join(e, [*key, "src"]).select(*key, group, F.col("dst").alias("node")).distinct()
         frontier = durable(step.join(seen, [*key, group, "node"], "left_anti").withColumn("hops", F.lit(hop)))

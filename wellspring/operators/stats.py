@@ -159,9 +159,16 @@ def z_prime(df: DataFrame, group: str, control: str, value: str) -> DataFrame:
 
 
 def compound_order(shares: DataFrame, compound: str, group: str, value: str, control: str) -> DataFrame:
-    """Distance of each compound's vector of shares to the control's, and its rank."""
+    """Distance of each compound's vector of shares to the control's, and its rank; a group that one of both lacks counts 0 there.
+
+    With t the square sum of the control, groups without it add their own squares,
+    and groups of the control alone are what is left of t. Ranks need one order
+    over all compounds, one row each.
+    """
     c = shares.where(F.col(compound) == control).select(group, F.col(value).alias("_c"))
-    d = shares.join(c, group).groupBy(compound).agg(F.sqrt(F.sum((F.col(value) - F.col("_c")) * (F.col(value) - F.col("_c")))).alias("distance"))
+    both = shares.join(c, group, "left").na.fill(0.0, ["_c"]).crossJoin(c.agg(F.coalesce(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("_t")))
+    part = F.sum((F.col(value) - F.col("_c")) * (F.col(value) - F.col("_c"))) + F.greatest(F.any_value("_t") - F.sum(F.col("_c") * F.col("_c")), F.lit(0.0))
+    d = both.groupBy(compound).agg(F.sqrt(part).alias("distance"))
     return d.withColumn("rank", F.rank().over(Window.orderBy("distance")))
 
 

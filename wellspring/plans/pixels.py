@@ -31,7 +31,7 @@ add("p15_quantile_scale", X(lambda p: P.percentile_rescale(p.select("ch", "img",
 add("p16_stitch_tiles", X(lambda p: P.stitch_tiles(p.withColumn("tile", F.col("z")), 2, 50, 25, 5, ["well", "ch"])),
     "select well, ch, (y + (z // 2) * 20)::int cy, (x + (z % 2) * 45)::int cx, sum(v * w) / sum(w) v from (select *, least(1, (least(x, 49 - x) + 1) / 6.0::double) * least(1, (least(y, 24 - y) + 1) / 6.0::double) w from pixels) group by all", "pixels", "v")
 add("p17_downsample", X(lambda p: P.downsample(p.select("img", "y", "x", "v"), 5)), "select img, y, x, v from pixels where x % 5 = 0 and y % 5 = 0", "pixels")
-add("p18_montage", X(lambda p: P.montage(p.where("z = 0"), 3, 50, 25)), "select (y + (well // 3) * 25)::int cy, (x + (well % 3) * 50)::int cx, coalesce(max(v) filter (ch = 0), 0) \"0\", coalesce(max(v) filter (ch = 1), 0) \"1\" from pixels where z = 0 group by all", "pixels")
+add("p18_montage", X(lambda p: P.montage(p, 3, 50, 25, ["z"], [0, 1])), "select z, (y + (well // 3) * 25)::int cy, (x + (well % 3) * 50)::int cx, coalesce(max(v) filter (ch = 0), 0) \"0\", coalesce(max(v) filter (ch = 1), 0) \"1\" from pixels group by all", "pixels")
 add("p19_regionprops", X(lambda p: P.regionprops(p, ["img"])),
     "select img, label, area, cy, cx, 4 * sqrt(h + r) major_axis_length, 4 * sqrt(greatest(h - r, 0)) minor_axis_length, sqrt(1 - greatest(h - r, 0) / (h + r)) eccentricity, i intensity_mean from (select *, (xx + yy) / 2 h, sqrt(4 * xy * xy + (xx - yy) * (xx - yy)) / 2 r from (select img, label, count(*) area, avg(y) cy, avg(x) cx, var_pop(y) + 1.0::double / 12 yy, var_pop(x) + 1.0::double / 12 xx, covar_pop(y, x) xy, avg(v) i from pixels where label > 0 group by all))", "pixels", "cy cx major_axis_length minor_axis_length eccentricity intensity_mean", 5)
 add("p20_positions", X(lambda p: P.positions(p, ["img"])), "select img, label, round_even(avg(y), 0)::int y, round_even(avg(x), 0)::int x from pixels where label > 0 group by all", "pixels")
@@ -40,24 +40,24 @@ add("p21_radial_profile", X(lambda p: P.radial_profile(P.positions(p, ["img"]),
 add("p22_average_intensities", X(lambda p: P.radial_profile(P.positions(p, ["img"]), p, ["img"], 4).groupBy("img", "center").agg(F.avg("intensity").alias("intensity"))), doubles="intensity")
 add("p23_regular_grid_features", X(lambda p: P.radial_profile(P.grid_positions(p, ["img"], 10), p, ["img"], 5).groupBy("img", "center").agg(F.avg("intensity").alias("intensity"))), doubles="intensity")
 add("p25_label_offset_merge", X(lambda p: P.offset_labels(p.select("well", "ch", "z", "y", "x", "label"), ["well", "ch"])), "select well, ch, z, y, x, case when label > 0 then label + coalesce(o, 0) else 0 end::bigint label from pixels join (select well, ch, z, sum(max(label)) over (partition by well, ch order by z rows between unbounded preceding and 1 preceding) o from pixels group by well, ch, z) using (well, ch, z)", "pixels")
-_shift = "(select well, ch, z, y, x + 1 x, label from pixels)"
-add("p26_stitch_labels_3d", X(lambda p: P.stitch_labels_3d(p.where("ch = 0"), ["well"]).groupBy("well").agg(F.countDistinct("object").alias("objects"), F.count("*").alias("labels"))), "select well, count(distinct label) objects, count(distinct (z, label)) labels from pixels where ch = 0 and label > 0 group by all", "pixels")
+_shift = "(select img, well, ch, z, y, x + 1 x, label from pixels)"
+add("p26_stitch_labels_3d", X(lambda p: P.stitch_labels_3d(p, ["well", "ch"]).groupBy("well", "ch").agg(F.countDistinct("object").alias("objects"), F.count("*").alias("labels"))), "select well, ch, count(distinct label) objects, count(distinct (z, label)) labels from pixels where label > 0 group by all", "pixels")
 add("p27_split_disconnected", X(lambda p: P.split_disconnected(p, ["img"]).groupBy("img", "label").agg(F.countDistinct("part").alias("parts"))), "select distinct img, label, 1 parts from pixels where label > 0", "pixels")
 add("p28_single_slice_labels", X(lambda p: P.single_slice_labels(p.where("not (label = 3 and z > 0)"), ["well"])), "select well, label from pixels where label > 0 and not (label = 3 and z > 0) group by all having count(distinct z) >= 2", "pixels")
 add("p29_contingency", X(lambda p: P.contingency(p, p.withColumn("x", F.col("x") + 1), ["well", "ch"])), f"with j as (select p.well, p.ch, p.z, p.label gt, q.label pred from pixels p join {_shift} q using (well, ch, z, y, x) where p.label > 0 and q.label > 0) select well, ch, gt, pred, z, count(*) n from j group by all union all select well, ch, gt, pred, null, count(*) from j group by all", "pixels")
-_areas = "select well * 1000 + label label, count(*) area from {t} where ch = 0 and z = 0 and label > 0 group by all"
+_areas = "select img * 1000 + label label, count(*) area from {t} where label > 0 group by all"
 
 
 def _metrics(p):
-    p = p.where("ch = 0 and z = 0").withColumn("label", F.when(F.col("label") > 0, F.col("well") * 1000 + F.col("label")).otherwise(0))
+    p = p.withColumn("label", F.when(F.col("label") > 0, F.col("img") * 1000 + F.col("label")).otherwise(0))
     q = p.withColumn("x", F.col("x") + 1)
     area = lambda t: t.where("label > 0").groupBy("label").agg(F.count("*").alias("area"))
-    pairs = P.contingency(p, q, ["well"]).where("z is null").select("gt", "pred", "n")
+    pairs = P.contingency(p, q, ["img"]).where("z is null").select("gt", "pred", "n")
     return P.instance_metrics(pairs, area(p), area(q), [0.5, 0.6, 0.75])
 
 
 add("m17_instance_metrics", X(_metrics),
-    f"""with a as ({_areas.format(t='pixels')}), b as ({_areas.format(t=_shift)}), j as (select p.well * 1000 + p.label gt, q.well * 1000 + q.label pred, count(*) n from pixels p join {_shift} q using (well, ch, z, y, x) where p.label > 0 and q.label > 0 and ch = 0 and z = 0 group by all),
+    f"""with a as ({_areas.format(t='pixels')}), b as ({_areas.format(t=_shift)}), j as (select p.img * 1000 + p.label gt, q.img * 1000 + q.label pred, count(*) n from pixels p join {_shift} q using (well, ch, z, y, x) where p.label > 0 and q.label > 0 group by all),
     i as (select n / (a.area + b.area - n) iou from j join a on a.label = gt join b on b.label = pred), t as (select unnest([0.5::double, 0.6::double, 0.75::double]) tau),
     h as (select tau, count(iou) tp, coalesce(sum(iou), 0) s from t left join i on iou > tau group by all), c as (select *, (select count(*) from a) n_gt, (select count(*) from b) n_pred from h)
     select tau, n_gt, n_pred, tp, n_pred - tp fp, n_gt - tp fn, tp / n_pred "precision", tp / n_gt recall, 2 * tp / (n_gt + n_pred) f1, tp / (n_gt + n_pred - tp) ap, s / (tp + 0.5 * (n_pred - tp) + 0.5 * (n_gt - tp)) pq from c""",

@@ -50,7 +50,7 @@ add("g22_correlation_graph", W(lambda w: stats.correlation_graph(stats.spearman_
 add("t13_pairwise_mahalanobis", W(lambda w: stats.pairwise_mahalanobis(w, "compound", FS)), doubles="distance")
 add("t14_distance_to_control", W(lambda w: stats.pairwise_mahalanobis(w, "compound", FS).where("compound_b = 'DMSO'").select("compound", F.log1p("distance").alias("distance")).withColumn("rank", F.rank().over(Window.orderBy("distance")))), doubles="distance")
 add("t16_z_prime", W(lambda w: stats.z_prime(w, "compound", "DMSO", "f1")), "with g as (select compound, avg(f1) m, stddev_samp(f1) s from wells group by all) select a.compound, 1 - 3 * (a.s + b.s) / abs(a.m - b.m) z_prime, case when 1 - 3 * (a.s + b.s) / abs(a.m - b.m) < 0 then 'bad' when 1 - 3 * (a.s + b.s) / abs(a.m - b.m) <= 0.5 then 'fair' else 'good' end category from g a, g b where b.compound = 'DMSO' and a.compound <> 'DMSO'", "wells", "z_prime", 3)
-add("t18_compound_order", N(lambda n: stats.compound_order(A.fractions(n, ["well_id"], "leiden"), "well_id", "leiden", "fraction", "A01")), "with f as (select well_id, leiden, n / sum(n) over (partition by well_id) v from (select well_id, leiden, count(*) n from nuclei group by all)) select a.well_id, sqrt(sum((a.v - c.v) * (a.v - c.v))) distance, rank() over (order by sqrt(sum((a.v - c.v) * (a.v - c.v))))::int rank from f a join f c on c.well_id = 'A01' and c.leiden = a.leiden group by a.well_id", "nuclei", "distance")
+add("t18_compound_order", N(lambda n: stats.compound_order(A.fractions(n, ["well_id"], "leiden"), "well_id", "leiden", "fraction", "A01")), "with f as (select well_id, leiden, n / sum(n) over (partition by well_id) v from (select well_id, leiden, count(*) n from nuclei group by all)) select g.well_id, sqrt(sum(power(coalesce(a.v, 0) - coalesce(c.v, 0), 2))) distance, rank() over (order by sqrt(sum(power(coalesce(a.v, 0) - coalesce(c.v, 0), 2))))::int rank from (select * from (select distinct well_id from f), (select distinct leiden from f)) g left join f a using (well_id, leiden) left join f c on c.well_id = 'A01' and c.leiden = g.leiden group by g.well_id", "nuclei", "distance")
 add("t24_well_mean_intensity", N(lambda n: n.groupBy("plate_id", "well_id").agg(F.avg("f1").alias("mean")).withColumn("scaled", stats.min_max(F.col("mean"), Window.partitionBy("plate_id")))), "select plate_id, well_id, mean, (mean - min(mean) over w) / (max(mean) over w - min(mean) over w) scaled from (select plate_id, well_id, avg(f1) mean from nuclei group by all) window w as (partition by plate_id)", "nuclei", "mean scaled")
 add("e4_regress_out_linear", N(lambda n: stats.regress_out(n.select("label", "well_id", "f2", "z"), ["well_id"], "f2", "z").select("label", "residual")), "select label, f2 - regr_intercept(f2, z) over w - regr_slope(f2, z) over w * z residual from nuclei window w as (partition by well_id)", "nuclei", "residual", 4)
 add("e1_scale", W(lambda w: A.zscore(w.select("well_id", *FS), [], FS)), "select well_id, (f1 - avg(f1) over ()) / stddev_samp(f1) over () f1, (f2 - avg(f2) over ()) / stddev_samp(f2) over () f2, (f3 - avg(f3) over ()) / stddev_samp(f3) over () f3, (f4 - avg(f4) over ()) / stddev_samp(f4) over () f4 from wells", "wells", "f1 f2 f3 f4")

@@ -64,12 +64,12 @@ add("j13_fold_left_joins", W(lambda w: joins.fold_left_joins([w.groupBy("compoun
 add("j14_gene_compound_join", lambda s, d: S.explode_list(table(s, d, "part").select("p_partkey", F.col("p_brand").alias("compound"), F.regexp_replace("p_type", " ", ";").alias("genes")), "genes", ";").groupBy("genes").agg(F.concat_ws(";", F.sort_array(F.collect_set("compound"))).alias("compounds"), F.count("*").alias("n")), "select genes, array_to_string(list_sort(list(distinct compound)), ';') compounds, count(*) n from (select p_brand compound, unnest(string_split(p_type, ' ')) genes from part) group by genes")
 add("j15_matrix_product", lambda s, d: joins.matrix_product(table(s, d, "lineitem").groupBy(F.col("l_returnflag").alias("r"), F.col("l_linenumber").alias("k")).agg(F.sum("l_quantity").alias("value")), table(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("k"), F.col("l_linestatus").alias("c")).agg(F.sum("l_discount").alias("value")), "k"),
     "select r, c, sum(a * b) as value from (select l_returnflag r, l_linenumber k, sum(l_quantity) a from lineitem group by all) join (select l_linenumber k, l_linestatus c, sum(l_discount) b from lineitem group by all) using (k) group by all", "", "value", 3)
-add("j16_complete_grid", W(lambda w: A.cluster_counts(w.where("f4 < 3"), ["plate_id"], "compound")), "select p.plate_id, c.compound, count(w.well_id) n from (select distinct plate_id from wells where f4 < 3) p cross join (select distinct compound from wells where f4 < 3) c left join wells w on w.plate_id = p.plate_id and w.compound = c.compound and w.f4 < 3 group by all", "wells")
+add("j16_complete_grid", W(lambda w: A.cluster_counts(w, ["plate_id"], "compound")), "select p.plate_id, c.compound, count(w.well_id) n from (select distinct plate_id from wells) p cross join (select distinct compound from wells) c left join wells w on w.plate_id = p.plate_id and w.compound = c.compound group by all", "wells")
 
 # Aggregations
 add("a1_counts", N(lambda n: n.groupBy("plate_id", "well_id").agg(F.count("*").alias("n"))), f"select {KS}, count(*) n from nuclei group by all", "nuclei")
-add("a2_cluster_counts", N(lambda n: A.cluster_counts(n.where("f1 > 45"), ["plate_id", "well_id", "z_slice"], "leiden")), "select k.plate_id, k.well_id, k.z_slice, c.leiden, count(n.label) n from (select distinct plate_id, well_id, z_slice from nuclei where f1 > 45) k cross join (select distinct leiden from nuclei where f1 > 45) c left join nuclei n on n.plate_id = k.plate_id and n.well_id = k.well_id and n.z_slice = k.z_slice and n.leiden = c.leiden and n.f1 > 45 group by all", "nuclei")
-add("a3_well_gate", N(lambda n: A.well_gate(n.where("f1 > 49"), ["plate_id", "well_id", "z_slice"], ["leiden", "f3"])), "select plate_id, well_id, z_slice from nuclei where f1 > 49 group by all having count(distinct leiden) > 1 and count(distinct f3) > 1", "nuclei")
+add("a2_cluster_counts", N(lambda n: A.cluster_counts(n, ["plate_id", "well_id", "z_slice"], "leiden")), "select k.plate_id, k.well_id, k.z_slice, c.leiden, count(n.label) n from (select distinct plate_id, well_id, z_slice from nuclei) k cross join (select distinct leiden from nuclei) c left join nuclei n on n.plate_id = k.plate_id and n.well_id = k.well_id and n.z_slice = k.z_slice and n.leiden = c.leiden group by all", "nuclei")
+add("a3_well_gate", N(lambda n: A.well_gate(n, ["plate_id", "well_id", "z_slice"], ["leiden", "f3"])), "select plate_id, well_id, z_slice from nuclei group by all having count(distinct leiden) > 1 and count(distinct f3) > 1", "nuclei")
 add("a4_profile_mean", N(lambda n: A.profile(n, ["leiden"], FS)), "select leiden, avg(f1) f1, avg(f2) f2, avg(f3) f3, avg(f4) f4 from nuclei group by all", "nuclei", "f1 f2 f3 f4")
 add("a4_profile_median", N(lambda n: A.profile(n, ["leiden"], FS, "median")), "select leiden, quantile_cont(f1, 0.5) f1, quantile_cont(f2, 0.5) f2, quantile_cont(f3, 0.5) f3, quantile_cont(f4, 0.5) f4 from nuclei group by all", "nuclei", "f1 f2 f3 f4")
 add("a5_dot_plot", W(lambda w: A.dot_plot(A.unpivot(w, ["compound"], FS), "compound")), f"select compound, feature, avg(value) mean, avg((value > 0)::int) fraction, count(value) n from ({_long.format(k='compound', t='wells')}) group by all", "wells", "mean fraction")
