@@ -5,6 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 
 def cluster_counts(df: DataFrame, keys: list[str], group: str) -> DataFrame:
     """Counts of each group in every key, 0 where a group does not occur there."""
@@ -110,6 +112,29 @@ def average_rank(value: Column | str, keys: list[str]) -> Column:
     return first + (ties - 1) / 2.0
 
 
+def average_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, r, t): the rank of each distinct value within keys, ties averaged, and how many rows have it.
+
+    Distinct values are dealt by range, so the values of one key spread over many
+    tasks; totals of the tasks give each its offset. Nulls have no rank.
+    """
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("t"))
+    n = durable(n.repartitionByRange(*keys, value).withColumn("_p", F.spark_partition_id()))
+    part = n.groupBy(*keys, "_p").agg(F.sum("t").alias("_t"))
+    part = part.withColumn("_off", F.sum("_t").over(Window.partitionBy(*keys).orderBy("_p")) - F.col("_t"))
+    run = F.sum("t").over(Window.partitionBy(*keys, "_p").orderBy(value))
+    r = n.withColumn("_run", run).join(part.drop("_t"), [*keys, "_p"])
+    return r.select(*keys, value, (F.col("_off") + F.col("_run") - F.col("t") + (F.col("t") + 1) / 2.0).alias("r"), "t")
+
+
+def spearman(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """(keys, r): rank correlation of two columns within keys, over rows that have both."""
+    x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, F.col(a).alias("_a"), F.col(b).alias("_b"))
+    for c in ("_a", "_b"):
+        x = x.join(average_ranks(x, keys, c).select(*keys, c, F.col("r").alias(f"r{c}")), [*keys, c])
+    return x.groupBy(*keys).agg(F.corr("r_a", "r_b").alias("r"))
+
+
 def zscore(df: DataFrame, keys: list[str], features: list[str], eps: float = 0.0, ddof: int = 1) -> DataFrame:
     """Centred and scaled features within keys; a feature without variance is only centred if eps is 0."""
     dev = F.stddev_samp if ddof else F.stddev_pop

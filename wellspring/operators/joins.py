@@ -6,6 +6,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 K = ("plate_id", "well_id")
 
 
@@ -65,6 +67,31 @@ def knn(edges: DataFrame, k: int, key=K) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_points(points: DataFrame, k: int, radius: float, cols=("x", "y", "z"), key=K, id_col: str = "label") -> DataFrame:
+    """The k nearest other points of each point in its group: (key, src, dst, dist, rank); ties go to the smaller dst.
+
+    Points with k neighbours within radius are done, since these are the nearest;
+    the others look again within twice the radius, until they have k or have met
+    their whole group. A group of k points or fewer gives what it has. The radius
+    given should hold a few points. Points with a null coordinate take no part.
+    """
+    points = durable(points.select(*key, id_col, *cols).dropna(subset=list(cols)))
+    sizes = points.groupBy(*key).agg(F.count("*").alias("_n"))
+    todo, found = points.join(sizes, list(key)).where("_n > 1"), None
+    while not todo.isEmpty():
+        pairs = radius_join(todo, points, radius, cols, key, id_col).where("src <> dst")
+        w = Window.partitionBy(*key, "src").orderBy("dist", "dst")
+        near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        have = near.groupBy(*key, F.col("src").alias(id_col)).agg(F.count("*").alias("_have"))
+        done = todo.join(have, [*key, id_col]).where(F.col("_have") >= F.least(F.lit(k), F.col("_n") - 1)).select(*key, id_col)
+        near = durable(near.join(done.withColumnRenamed(id_col, "src"), [*key, "src"], "left_semi"))
+        found = near if found is None else found.unionByName(near)
+        todo = durable(todo.join(near.select(*key, F.col("src").alias(id_col)).distinct(), [*key, id_col], "left_anti"))
+        radius *= 2
+    empty = points.select(*key, F.col(id_col).alias("src"), F.col(id_col).alias("dst"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank")).limit(0)
+    return empty if found is None else found
+
+
 def nearest_link(source: DataFrame, target: DataFrame, max_distance: float, cols=("x", "y", "z"), key=("well_id",), id_col: str = "label") -> DataFrame:
     """For each row of the smaller side of a group the nearest of the other within max_distance, exclusive.
 

@@ -122,6 +122,41 @@ def montage(px: DataFrame, columns: int, width: int, height: int, keys: list[str
     return wide.na.fill(0, [c for c in wide.columns if c not in (*keys, "cy", "cx")])
 
 
+def edge_path_profile(edges: DataFrame, px: DataFrame, keys: list[str], path_width: int = 4) -> DataFrame:
+    """(keys, src, dst, step, intensity) along edges (keys, src, dst, y0, x0, y1, x1).
+
+    Step t is the mean over 2 * path_width points across the edge, t away from its
+    start; each point takes its nearest pixel, and 0 outside the image. Points of
+    an edge meet pixels by an equi join, after equal ones have been counted.
+    """
+    e = edges.withColumn("_l", F.sqrt((F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")) + (F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")))).where("_l >= 1")
+    e = e.withColumn("_dy", (F.col("y1") - F.col("y0")) / F.col("_l")).withColumn("_dx", (F.col("x1") - F.col("x0")) / F.col("_l"))
+    e = e.withColumn("step", F.explode(F.sequence(F.lit(0), F.floor("_l").cast("int") - 1)))
+    e = e.withColumn("_s", F.explode(F.sequence(F.lit(-path_width), F.lit(path_width - 1))))
+    y = F.floor(F.col("y0") + F.col("step") * F.col("_dy") + F.col("_s") * F.col("_dx") + 0.5).cast("int")
+    x = F.floor(F.col("x0") + F.col("step") * F.col("_dx") - F.col("_s") * F.col("_dy") + 0.5).cast("int")
+    e = e.select(*keys, "src", "dst", "step", y.alias("y"), x.alias("x"))
+    met = e.join(px.select(*keys, "y", "x", "v"), [*keys, "y", "x"], "left")
+    return met.groupBy(*keys, "src", "dst", "step").agg(F.avg(F.coalesce("v", F.lit(0))).alias("intensity"))
+
+
+def laminar_message_passing(profiles: DataFrame, px: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, label, message): mean of a label's own log1p mean intensity and of log1p means of the profiles that leave it."""
+    own = px.where("label > 0").groupBy(*keys, "label").agg(F.log1p(F.avg("v")).alias("m"))
+    out = profiles.groupBy(*keys, F.col("src").alias("label"), "dst").agg(F.log1p(F.avg("intensity")).alias("m")).drop("dst")
+    return own.unionByName(out).groupBy(*keys, "label").agg(F.avg("m").alias("message"))
+
+
+def patches(positions: DataFrame, px: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """(keys, label, patch): size by size pixels around each position, row by row; 0 outside the image."""
+    at = F.sequence(F.lit(-(size // 2)), F.lit(size - size // 2 - 1))
+    p = positions.withColumn("_dy", F.explode(at)).withColumn("_dx", F.explode(at))
+    p = p.select(*keys, "label", "_dy", "_dx", (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"))
+    met = p.join(px.select(*keys, "y", "x", "v"), [*keys, "y", "x"], "left")
+    cell = F.struct("_dy", "_dx", F.coalesce("v", F.lit(0)).cast("float").alias("v"))
+    return met.groupBy(*keys, "label").agg(F.transform(F.sort_array(F.collect_list(cell)), lambda c: c["v"]).alias("patch"))
+
+
 def regionprops(px: DataFrame, keys: list[str]) -> DataFrame:
     """Area, centroid, axis lengths and eccentricity of each label, from second central moments.
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cdf
-from .aggregates import average_rank
+from .aggregates import average_rank, average_ranks
 
 
 def _finite(df: DataFrame, value: str = "value") -> DataFrame:
@@ -60,8 +60,7 @@ def rank_sum(long: DataFrame, group: str, control: str) -> DataFrame:
     c = x.where(F.col(group) == control).select("feature", "value", F.lit(0).alias("is_x"))
     names = x.where(F.col(group) != control).select("feature", group).distinct()
     both = names.join(c, "feature").select("feature", group, "value", "is_x").unionByName(x.where(F.col(group) != control).select("feature", group, "value", F.lit(1).alias("is_x")))
-    ties = F.count("*").over(Window.partitionBy("feature", group, "value"))
-    r = both.withColumn("r", average_rank("value", ["feature", group])).withColumn("t", ties)
+    r = both.join(average_ranks(both, ["feature", group], "value"), ["feature", group, "value"])
     s = r.groupBy("feature", group).agg(F.sum(F.col("r") * F.col("is_x")).alias("rx"), F.sum("is_x").alias("n1"), F.count("*").alias("n"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("tie"))
     n1, n2, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n")
     u = F.col("rx") - n1 * (n1 + 1) / 2
@@ -82,6 +81,31 @@ def kruskal_wallis(long: DataFrame, group: str) -> DataFrame:
     return h.select("feature", stat.alias("h"), "df").withColumn("p", cdf.chi2_sf("h", F.col("df").cast("double")))
 
 
+def one_versus_rest(long: DataFrame, group: str) -> DataFrame:
+    """(feature, group, u, auc, log_fc, z, p) of each group against all other rows; log_fc is the difference of means.
+
+    Values are ranked once by feature, since all groups share the ranks.
+    """
+    x = _finite(long).select("feature", group, "value")
+    x = x.join(average_ranks(x, ["feature"], "value"), ["feature", "value"])
+    s = x.groupBy("feature", group).agg(F.sum("r").alias("rx"), F.count("*").alias("n1"), F.sum("value").alias("s1"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("t1"))
+    a = s.groupBy("feature").agg(F.sum("n1").alias("n"), F.sum("s1").alias("s"), F.sum("t1").alias("tie"))
+    n1, n = F.col("n1"), F.col("n")
+    u, n2 = F.col("rx") - n1 * (n1 + 1) / 2, n - n1
+    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie") / (n * (n - 1))))
+    d = u - n1 * n2 / 2.0
+    fc = F.col("s1") / n1 - (F.col("s") - F.col("s1")) / n2
+    out = s.join(a, "feature").where("n > n1").select("feature", group, u.alias("u"), (u / (n1 * n2)).alias("auc"), fc.alias("log_fc"), F.when(sd > 0, (d - F.signum(d) * 0.5) / sd).alias("z"))
+    return out.withColumn("p", cdf.normal_sf2("z"))
+
+
+def marker_features(long: DataFrame, group: str, least_fc: float = 1.0, most_p: float = 0.001) -> DataFrame:
+    """Each group against the rest with p adjusted (BH) within the group, its rank there, and which features are markers."""
+    m = p_adjust(one_versus_rest(long, group), "p", "BH", (group,))
+    marker = (F.abs("log_fc") >= least_fc) & (F.col("p_adjusted") < most_p)
+    return m.withColumn("rank_group", average_rank("p_adjusted", [group])).withColumn("is_marker", marker)
+
+
 def p_adjust(df: DataFrame, p: str, method: str = "BH", by: tuple = ()) -> DataFrame:
     """Adds p_adjusted; null p are left out of the count."""
     n = F.count(p).over(Window.partitionBy(*by))

@@ -42,8 +42,12 @@ add("t8_kruskal_p", L(lambda x: stats.kruskal_wallis(x, "compound")), doubles="h
 _p = "(select well_id, compound, (f3 + 1) / 99.0::double p from wells)"
 add("t9_p_adjust_bh", W(lambda w: stats.p_adjust(w.select("well_id", "compound", ((F.col("f3") + 1) / 99.0).alias("p")), "p", "BH", ("compound",))), f"select well_id, compound, p, least(min(q) over (partition by compound order by p desc range between unbounded preceding and current row), 1.0) p_adjusted from (select *, p * count(*) over (partition by compound) / (rank() over (partition by compound order by p) + count(*) over (partition by compound, p) - 1) q from {_p})", "wells", "p p_adjusted")
 add("t9_p_adjust_bonferroni", W(lambda w: stats.p_adjust(w.select("well_id", "compound", ((F.col("f3") + 1) / 99.0).alias("p")), "p", "bonferroni", ("compound",))), f"select well_id, compound, p, least(p * count(*) over (partition by compound), 1.0) p_adjusted from {_p}", "wells", "p p_adjusted")
-add("t10_marker_features", L(lambda x: stats.p_adjust(stats.rank_sum(x, "compound", "DMSO"), "p", "BH", ("compound",)).withColumn("is_marker", (F.col("p_adjusted") < 0.001))), doubles="u auc z p p_adjusted")
-add("t11_n_de_features", L(lambda x: stats.p_adjust(stats.rank_sum(x, "compound", "DMSO"), "p", "BH", ("compound",)).groupBy("compound").agg(F.sum((F.col("p_adjusted") <= 0.005).cast("int")).alias("n_de"))))
+add("t10_marker_features", L(lambda x: stats.marker_features(x, "compound")), doubles="u auc log_fc z p p_adjusted rank_group")
+add("t10_marker_auc", L(lambda x: stats.one_versus_rest(x, "compound").drop("p")), _l + """, r as (select *, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0 r, count(*) over (partition by feature, value)::double t from l),
+ a as (select feature, count(*) n, sum(value) s, sum(t * t - 1) tie from r group by all), g as (select feature, compound, count(*) n1, sum(value) s1, sum(r) rx from r group by all),
+ u as (select *, rx - n1 * (n1 + 1) / 2 u, n - n1 n2, sqrt(n1 * (n - n1) / 12.0::double * (n + 1 - tie / (n * (n - 1)))) sd from g join a using (feature))
+ select feature, compound, u, u / (n1 * n2) auc, s1 / n1 - (s - s1) / n2 log_fc, case when sd > 0 then (u - n1 * n2 / 2 - sign(u - n1 * n2 / 2) * 0.5) / sd end z from u""", "wells", "u auc log_fc z", 4)
+add("t11_n_de_features", L(lambda x: stats.marker_features(x, "compound").groupBy("compound").agg(F.sum((F.col("p_adjusted") <= 0.005).cast("int")).alias("n_de"))))
 _rho = f"with l as ({_long.format(k='well_id', t='wells')}), r as (select well_id, feature, rank() over (partition by feature order by value) + (count(*) over (partition by feature, value) - 1) / 2.0::double r from l) select a.feature feature_a, b.feature feature_b, corr(a.r, b.r) rho from r a join r b using (well_id) group by all"
 add("t12_spearman_matrix", W(lambda w: stats.spearman_matrix(A.unpivot(w, ["well_id"], FS), "well_id")), _rho, "wells", "rho")
 add("g22_correlation_graph", W(lambda w: stats.correlation_graph(stats.spearman_matrix(A.unpivot(w, ["well_id"], FS), "well_id"), 0.01)), f"select feature_a, feature_b from ({_rho}) where feature_a < feature_b and abs(rho) >= 0.01", "wells")

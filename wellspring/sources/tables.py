@@ -66,10 +66,10 @@ def plate_layout(df: DataFrame, row: str = "plateRow", column: str = "plateColum
     return df.withColumn("row_letter", letter).withColumn("well_id", F.concat(letter, F.lpad(F.col(column).cast("string"), 2, "0"))).orderBy("well_id")
 
 
-def wide_layout_to_long(df: DataFrame, row: str) -> DataFrame:
+def wide_layout_to_long(df: DataFrame, row: str, kind: str = "double") -> DataFrame:
     """A plate map of rows by columns as (row, column, value, well_id)."""
     cols = [c for c in df.columns if c != row]
-    out = df.select(row, *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(row, cols, "column", "value")
+    out = df.select(row, *[F.col(f"`{c}`").cast(kind).alias(c) for c in cols]).unpivot(row, cols, "column", "value")
     out = out.withColumn("column", F.lpad("column", 2, "0"))
     return out.withColumn("well_id", F.concat(row, "column"))
 
@@ -80,6 +80,25 @@ def plate_metadata(layout: DataFrame, plates: DataFrame) -> DataFrame:
     return out.select(*[F.col(c).cast("string").alias(c) for c in out.columns])
 
 
+def plate_rows(df: DataFrame) -> DataFrame:
+    """Rows of a plate's wells with id = label_well_plate."""
+    return df.withColumn("id", F.concat_ws("_", F.col("label").cast("string"), "well_id", F.col("plate_id").cast("string")))
+
+
+def load_plate(spark: SparkSession, path: str, plate: str, ddl: str) -> DataFrame:
+    """All {well}_registration.csv of a plate as one table, with well_id from the file name; empty files give no rows."""
+    df = spark.read.csv(f"{path}/*_registration.csv", schema=ddl, header=True)
+    well = F.regexp_extract(F.input_file_name(), r"([^/]+)_registration\.csv$", 1)
+    return plate_rows(df.withColumn("well_id", well).withColumn("plate_id", F.lit(plate)))
+
+
+def multi_patient_layout(patients: DataFrame, drugs: DataFrame, lookup: DataFrame, meta: DataFrame, row: str = "row") -> DataFrame:
+    """Wells of a map of patient and fibroblast pairs, with what is known of pair and patient, and the drug of the well."""
+    p = wide_layout_to_long(patients, row, "string").withColumnRenamed("value", "cancer_x_caf")
+    d = wide_layout_to_long(drugs, row, "string").withColumnRenamed("value", "drug").select("well_id", "drug")
+    return p.join(lookup, "cancer_x_caf", "left").join(meta, "cancer", "left").join(d, "well_id", "left")
+
+
 def transpose_wide(df: DataFrame, key: str, values: list) -> DataFrame:
     """Columns become rows: (name, one column for each of the key's values)."""
     cols = [c for c in df.columns if c != key]
