@@ -108,13 +108,13 @@ def _moves(edges: DataFrame, labels: DataFrame, resolution: float, rounds: int)
     return labels, ever
 
 
-def louvain_communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 10) -> DataFrame:
+def louvain_communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 6) -> DataFrame:
     """(node, community) by moves that raise modularity at a resolution, then contraction, level by level.
 
     Edges (src, dst, weight) are undirected, each given once; nodes are integers.
     The half of the nodes that a hash picks moves at once, and a level that does
     not raise modularity is dropped, so the result is a valid partition that need
-    not equal another implementation's. All state is in tables; a round is three
+    not equal another implementation's, also where rounds or levels end it early. All state is in tables; a round is three
     joins by node or community.
     """
     e = edges.where("src is not null and dst is not null").select("src", "dst", F.col("weight").cast("double").alias("weight"))

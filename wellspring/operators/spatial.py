@@ -78,15 +78,17 @@ def morans_i(nodes: DataFrame, edges: DataFrame, feature: str, key=K, id_col: st
     return ss.join(cross, list(key), "left").select(*key, i.alias("moran_i"))
 
 
-def nhood_enrichment(nodes: DataFrame, edges: DataFrame, group: str = "leiden", n_perms: int = 1000, seed: int = 0, key=K, id_col: str = "label", batch: int = 100) -> DataFrame:
+def nhood_enrichment(nodes: DataFrame, edges: DataFrame, group: str = "leiden", n_perms: int = 1000, seed: int = 0, key=K, id_col: str = "label", batch: int | None = None) -> DataFrame:
     """z-scores of edge counts between groups against labels permuted within the well.
 
     Permutations order nodes by a hash of (seed, permutation, id), so results
     do not depend on partitioning. They run batch by batch, of which only counts
-    by pair are kept. z is null where all permutations agree.
+    by pair are kept; a batch is 100 permutations, more where edges are few (at
+    most 20 million rows of edges by permutation then). z is null where all permutations agree.
     """
     observed = interaction_matrix(edges, nodes, group, key=key, id_col=id_col)
     e = durable(edges.select(*key, "src", "dst"))
+    batch = batch or min(n_perms, max(100, 20_000_000 // max(e.count(), nodes.count(), 1)))
     nodes = durable(nodes.select(*[F.col(c).alias(c) for c in (*key, id_col, group)]))
     ends = durable(e.select(*key, F.col("src").alias(id_col)).union(e.select(*key, F.col("dst").alias(id_col))).distinct())
     origin = F.row_number().over(Window.partitionBy(*key).orderBy(id_col))
