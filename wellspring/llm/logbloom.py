@@ -269,7 +269,7 @@ def score_texts(
     layout = Layout(segments, slices)
     groups = max(4, min(-(-size // group_bytes), layout.each * slices))
     with common.arrow_bytes(spark, 16 << 20):
-        gathered = durable(gather_counts(train, layout, groups))
+        gathered = durable(gather_counts(train, layout, groups), blobs=True)
     words = gathered.where("key is not null")
     by_power = words.groupBy(F.floor(F.log2("count")).cast("int").alias("power")).agg(
         F.count("*").alias("types"), F.sum("count").alias("tokens")
@@ -355,7 +355,7 @@ def score_texts(
         rows = rows.alias("r").join(more.alias("m"), F.expr("r.id <=> m.id and r.vid = m.vid"), "left")
         rows = rows.select("r.*", "more").withColumn("score", F.col("score") + F.col("more")).drop("more")
     if least > 1:
-        rows = durable(rows).withColumn("uid", F.monotonically_increasing_id())
+        rows = durable(rows.withColumn("uid", F.monotonically_increasing_id()))
         asked = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", "x.rare", "x.times")
         few = words.where(F.col("count") < least).select(F.col("key").alias("rare"), "count")
         c = F.coalesce("count", F.lit(0))

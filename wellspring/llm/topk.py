@@ -136,10 +136,10 @@ def top_products(
     n = base.count()
     parts = max(1, -(-n // bucket_rows))
     by_length = base.repartitionByRange(parts, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
-    buckets = durable(_pack(by_length, bucket_rows))
+    buckets = durable(_pack(by_length, bucket_rows), blobs=True)
     query = base.where(F.pmod("id", F.lit(query_step)) == 0)
     blocks = _pack(query.repartition(max(1, -(-n // (query_step * block_rows))), "id"), block_rows)
-    blocks = durable(blocks.select(F.struct("part", "chunk").alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.col("width").alias("q_width"), F.col("longest").alias("q_longest")))
+    blocks = durable(blocks.select(F.struct("part", "chunk").alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.col("width").alias("q_width"), F.col("longest").alias("q_longest")), blobs=True)
     spark = df.sparkSession
     heads = sorted((-r["longest"], r["part"], r["chunk"]) for r in buckets.select("part", "chunk", "longest").collect())
     order = [(p, c, i, -length) for i, (length, p, c) in enumerate(heads)]
