@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, chat, dedup, langid, logbloom, packing, pages, quality, topk, toxicity
+from . import bpe, centroids, chat, dedup, langid, logbloom, packing, pages, phrases, quality, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +69,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two thousand best phrases of each language."""
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_walsh_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen clusters of the vectors by three rounds of exact integer means."""
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by the rules, else by its path template."""
+    return urls.judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_log_frequency_bloom": op1_log_frequency_bloom,
     "op2_weak_toxicity": op2_weak_toxicity,
@@ -85,11 +95,15 @@ QUERIES = {
     "op8_string_kernel": op8_string_kernel,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_quality_rules": op10_quality_rules,
+    "op11_trie_phrases": op11_trie_phrases,
     "op12_walsh_centroids": op12_walsh_centroids,
+    "op13_url_templates": op13_url_templates,
 }
 #: Where SQL can say the same. DuckDB needs doubles for list_dot_product; the sums are whole numbers that doubles hold.
 ORACLE_SQL: dict[str, str] = {
+    "op11_trie_phrases": phrases.oracle_sql(),
     "op12_walsh_centroids": centroids.oracle_sql(),
+    "op13_url_templates": urls.oracle_sql(),
     "op7_norm_buckets": """
 with v as (
   select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) x from embeddings
