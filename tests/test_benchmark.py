@@ -6,7 +6,7 @@ import pytest
 
 from wellspring.operators import aggregates as A
 from wellspring.operators import benchmark as B
-from wellspring.operators import graph, joins
+from wellspring.operators import communities, graph, joins
 from wellspring.operators import pixels as P
 from wellspring.operators import stats
 
@@ -67,11 +67,11 @@ def test_edge_path_profile_reads_zero_outside(spark):
 def test_louvain_parts_two_cliques_and_resolution_splits_them(spark):
     pairs = [(a + o, b + o, 1.0) for o in (0, 10) for a in range(5) for b in range(a + 1, 5)] + [(0, 10, 1.0)]
     edges = spark.createDataFrame(pairs, "src long, dst long, weight double")
-    part = {r["node"]: r["community"] for r in graph.louvain_communities(edges).collect()}
+    part = {r["node"]: r["community"] for r in communities.louvain_communities(edges).collect()}
     assert len(part) == 10 and len(set(part.values())) == 2
     assert all(part[a] == part[0] for a in range(5)) and all(part[a] == part[10] for a in range(10, 15))
     assert graph.modularity(edges, spark.createDataFrame(list(part.items()), "node long, community long")).first()[0] > 0.4
-    fine = {r["community"] for r in graph.louvain_communities(edges, resolution=20.0).collect()}
+    fine = {r["community"] for r in communities.louvain_communities(edges, resolution=20.0).collect()}
     assert len(fine) > 2
     whole = B.community_silhouette(spark.createDataFrame([(n, [float(c), float(n % 2) / 9]) for n, c in part.items()], "id long, v array<double>"), "id", "v", edges, (1.0,))
     assert whole.first()[0] > 0.9

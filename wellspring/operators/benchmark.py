@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import durable
 from .embedding import clustering_agreement
-from .graph import louvain_communities
+from .communities import communities_at
 
 
 def graph_similarities(a: DataFrame, b: DataFrame, max_k: int, n: int) -> DataFrame:
@@ -32,35 +32,61 @@ def enrichment_similarity(latent: DataFrame, spatial: DataFrame) -> DataFrame:
     return d.select((1 - F.atan(F.col("d") / F.col("n")) / (math.pi / 2)).alias("cas"))
 
 
+def mean_enrichment_similarity(latent: DataFrame, spatial: DataFrame) -> DataFrame:
+    """Mean over k of enrichment_similarity of two tables (k, src_group, dst_group, z)."""
+    j = latent.select("k", "src_group", "dst_group", F.col("z").alias("a")).join(spatial.select("k", "src_group", "dst_group", F.col("z").alias("b")), ["k", "src_group", "dst_group"])
+    by = j.where("a is not null and b is not null").groupBy("k").agg(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("d"), F.count("*").alias("n"))
+    return by.agg(F.avg(1 - F.atan(F.col("d") / F.col("n")) / (math.pi / 2)).alias("avg_cas"))
+
+
+def log_factorial(x: np.ndarray) -> np.ndarray:
+    """Natural logarithm of x! for whole numbers: a table below 256, Stirling's series above."""
+    x = np.asarray(x, dtype=float)
+    small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 256)))))
+    y = np.maximum(x, 256)
+    series = y * np.log(y) - y + 0.5 * np.log(2 * np.pi * y) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return np.where(x < 256, small[np.minimum(x, 255).astype(int)], series)
+
+
 @F.pandas_udf(DoubleType())
 def _expected_information(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
-    """The share of one pair of cluster sizes in the expected mutual information of random clusterings."""
+    """The share of one pair of cluster sizes in the expected mutual information of random clusterings.
+
+    Counts are hypergeometric; those so far from the mode that they weigh
+    nothing in a double are left out, so the work follows the root of the sizes.
+    """
     out = []
-    log_factorial = lambda x: np.array([math.lgamma(v + 1) for v in np.atleast_1d(x)])
-    for x, y, t in zip(a, b, total):
-        n = np.arange(max(1, x + y - t), min(x, y) + 1, dtype=float)
-        fixed = sum(log_factorial(v)[0] for v in (x, y, t - x, t - y)) - log_factorial(t)[0]
+    for x, y, t in zip(a.astype(float), b.astype(float), total.astype(float)):
+        mode = np.floor((x + 1) * (y + 1) / (t + 2))
+        wide = 10 * math.sqrt(x * y * (t - x) * (t - y) / (t * t * max(t - 1, 1))) + 60
+        n = np.arange(max(1, x + y - t, mode - wide), min(x, y, mode + wide) + 1)
+        fixed = sum(float(log_factorial(v)) for v in (x, y, t - x, t - y)) - float(log_factorial(t))
         p = np.exp(fixed - log_factorial(n) - log_factorial(x - n) - log_factorial(y - n) - log_factorial(t - x - y + n))
         out.append(float((n / t * np.log(t * n / (x * y)) * p).sum()))
     return pd.Series(out, dtype=float)
 
 
-def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Mutual information less its expectation, over the mean entropy less that expectation; 1 if both have one cluster.
+def adjusted_mutual_information(df: DataFrame, a: str, b: str, key: tuple = ()) -> DataFrame:
+    """(key, ami): mutual information less its expectation, over the mean entropy less that expectation; 1 if both have one cluster.
 
-    The expectation needs the sizes of clusters only; pairs of equal sizes are computed once.
+    The expectation needs the sizes of clusters only; pairs of equal sizes are
+    computed once, at most about sqrt(2 n) sizes a side and key.
     """
-    c = durable(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")))
-    total = c.agg(F.sum("n")).first()[0] or 0
-    ra, rb = (c.groupBy(x).agg(F.sum("n").alias(f"n{x}")) for x in "ab")
-    mi = c.join(ra, "a").join(rb, "b").agg(F.sum(F.col("n") / total * F.log(F.col("n") * float(total) / (F.col("na") * F.col("nb")))).alias("mi"))
-    h = [r.agg((-F.sum(F.col(f"n{x}") / total * F.log(F.col(f"n{x}") / total))).alias(f"h{x}")) for x, r in (("a", ra), ("b", rb))]
-    sizes = [r.groupBy(f"n{x}").agg(F.count("*").alias(f"k{x}")) for x, r in (("a", ra), ("b", rb))]
-    e = sizes[0].crossJoin(sizes[1])  # distinct sizes only, at most about sqrt(2 n) a side
-    e = e.agg(F.sum(F.col("ka") * F.col("kb") * _expected_information("na", "nb", F.lit(total))).alias("e"))
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    key = [*key] or ["_all"]
+    c = (known if key != ["_all"] else known.withColumn("_all", F.lit(0))).groupBy(*key, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+    c = durable(c)
+    total = c.groupBy(*key).agg(F.sum("n").alias("t"))
+    sides = {x: c.groupBy(*key, x).agg(F.sum("n").alias(f"n{x}")).join(total, key) for x in "ab"}
+    t = F.col("t").cast("double")
+    mi = c.join(sides["a"], [*key, "a"]).join(sides["b"].drop("t"), [*key, "b"])
+    mi = mi.groupBy(*key).agg(F.sum(F.col("n") / t * F.log(F.col("n") * t / (F.col("na") * F.col("nb")))).alias("mi"))
+    h = [s.groupBy(*key).agg((-F.sum(F.col(f"n{x}") / t * F.log(F.col(f"n{x}") / t))).alias(f"h{x}")) for x, s in sides.items()]
+    sizes = [s.groupBy(*key, "t", f"n{x}").agg(F.count("*").alias(f"k{x}")) for x, s in sides.items()]
+    e = sizes[0].join(sizes[1].drop("t"), key).groupBy(*key).agg(F.sum(F.col("ka") * F.col("kb") * _expected_information("na", "nb", "t")).alias("e"))
     mean = (F.col("ha") + F.col("hb")) / 2
-    out = mi.crossJoin(h[0]).crossJoin(h[1]).crossJoin(e)  # one row each
-    return out.select(F.when(F.abs(mean - F.col("e")) > 1e-12, (F.col("mi") - F.col("e")) / (mean - F.col("e"))).otherwise(1.0).alias("ami"))
+    value = F.when(F.abs(mean - F.col("e")) > 1e-12, (F.col("mi") - F.col("e")) / (mean - F.col("e"))).otherwise(1.0)
+    return mi.join(h[0], key).join(h[1], key).join(e, key).select(*key, value.alias("ami")).drop("_all")
 
 
 def silhouettes(df: DataFrame, id_col: str, vector: str, label: str, key: tuple = ()) -> DataFrame:
@@ -166,21 +192,14 @@ def fuzzy_connectivities(knn: DataFrame) -> DataFrame:
 
 
 def community_silhouette(df: DataFrame, id_col: str, vector: str, edges: DataFrame, resolutions: tuple) -> DataFrame:
-    """Mean over resolutions of the label silhouette of communities of edges (src, dst, weight)."""
-    out = None
-    for r in resolutions:
-        part = louvain_communities(edges, r).withColumnRenamed("node", id_col)
-        s = label_silhouette(df.join(part, id_col), id_col, vector, "community")
-        out = s if out is None else out.unionByName(s)
-    return out.agg(F.avg("casw").alias("nasw"))
+    """Mean over resolutions of the label silhouette of communities of edges (src, dst, weight), found in the same jobs."""
+    part = communities_at(edges, resolutions).withColumnRenamed("node", id_col)
+    s = silhouettes(df.join(part, id_col), id_col, vector, "community", ("run",))
+    return s.groupBy("run").agg(((F.avg("silhouette") + 1) / 2).alias("casw")).agg(F.avg("casw").alias("nasw"))
 
 
 def community_information(latent: DataFrame, spatial: DataFrame, resolutions: tuple) -> DataFrame:
     """Largest adjusted mutual information of communities of two graphs over all pairs of resolutions."""
-    a, b = ([louvain_communities(e, r) for r in resolutions] for e in (latent, spatial))
-    out = None
-    for x in a:
-        for y in b:
-            s = adjusted_mutual_information(x.withColumnRenamed("community", "a").join(y.withColumnRenamed("community", "b"), "node"), "a", "b")
-            out = s if out is None else out.unionByName(s)
-    return out.agg(F.max("ami").alias("mlami"))
+    a = communities_at(latent, resolutions).select("node", F.col("run").alias("ra"), F.col("community").alias("a"))
+    b = communities_at(spatial, resolutions).select("node", F.col("run").alias("rb"), F.col("community").alias("b"))
+    return adjusted_mutual_information(a.join(b, "node"), "a", "b", ("ra", "rb")).agg(F.max("ami").alias("mlami"))

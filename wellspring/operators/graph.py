@@ -80,63 +80,3 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     ends = e.select(F.col("cs").alias("c"), "weight").union(e.select(F.col("cd").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("k"))
     squares = ends.agg(F.sum(F.col("k") * F.col("k")).alias("kk"))
     return total.join(F.broadcast(squares)).select((F.col("inside") / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
-
-
-def _moves(edges: DataFrame, labels: DataFrame, resolution: float, rounds: int) -> tuple[DataFrame, bool]:
-    """Local moves on edges given both ways (loops hold twice their inner weight): labels, and whether any node moved."""
-    degree = durable(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    m2 = degree.agg(F.sum("k")).first()[0] or 1.0
-    ever, still = False, 0
-    for r in range(rounds):
-        now = labels.join(degree, "node")
-        weight = now.groupBy("community").agg(F.sum("k").alias("total"))
-        near = edges.where("src <> dst").join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        own = now.select("node", "k", F.col("community").alias("own"))
-        stay = own.select("node", F.col("own").alias("community"), F.lit(0.0).alias("w"))
-        options = near.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(weight, "community").join(own, "node")
-        others = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * others / m2, 9)
-        best = options.groupBy("node").agg(
-            F.max(F.struct(gain.alias("g"), (F.col("community") == F.col("own")).alias("stays"), (-F.col("community")).alias("c"))).alias("b"), F.any_value("own").alias("own")
-        )
-        turn = F.pmod(F.xxhash64("node", F.lit(r // 2)), F.lit(2)) == r % 2
-        moved = durable(best.select("node", "own", F.when(turn, -F.col("b.c")).otherwise(F.col("own")).alias("community")))
-        changed = not moved.where("community <> own").isEmpty()
-        labels, ever, still = moved.select("node", "community"), ever or changed, 0 if changed else still + 1
-        if still == 2:
-            break
-    return labels, ever
-
-
-def louvain_communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 6) -> DataFrame:
-    """(node, community) by moves that raise modularity at a resolution, then contraction, level by level.
-
-    Edges (src, dst, weight) are undirected, each given once; nodes are integers.
-    The half of the nodes that a hash picks moves at once, and a level that does
-    not raise modularity is dropped, so the result is a valid partition that need
-    not equal another implementation's, also where rounds or levels end it early. All state is in tables; a round is three
-    joins by node or community.
-    """
-    e = edges.where("src is not null and dst is not null").select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    e = durable(e.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    part = durable(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-
-    def quality(x):
-        inside = F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0))
-        by = x.groupBy("src").agg(F.sum("weight").alias("k"), inside.alias("i")).agg(F.sum("k").alias("m"), F.sum("i").alias("i"), F.sum(F.col("k") * F.col("k")).alias("kk")).first()
-        return by["i"] / by["m"] - resolution * by["kk"] / by["m"] ** 2 if by["m"] else 0.0
-
-    last = quality(e)
-    for _ in range(levels):
-        labels, moved = _moves(e, e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")), resolution, rounds)
-        if not moved:
-            break
-        to = [labels.select(F.col("node").alias(end), F.col("community").alias(f"c{end}")) for end in ("src", "dst")]
-        smaller = durable(e.join(to[0], "src").join(to[1], "dst").groupBy(F.col("csrc").alias("src"), F.col("cdst").alias("dst")).agg(F.sum("weight").alias("weight")))
-        now = quality(smaller)
-        if now <= last + 1e-9:
-            break
-        up = labels.select(F.col("node").alias("community"), F.col("community").alias("above"))
-        part, e, last = durable(part.join(up, "community").select("node", F.col("above").alias("community"))), smaller, now
-    return part

@@ -78,22 +78,38 @@ def morans_i(nodes: DataFrame, edges: DataFrame, feature: str, key=K, id_col: st
     return ss.join(cross, list(key), "left").select(*key, i.alias("moran_i"))
 
 
-def nhood_enrichment(nodes: DataFrame, edges: DataFrame, group: str = "leiden", n_perms: int = 1000, seed: int = 0, key=K, id_col: str = "label", batch: int | None = None) -> DataFrame:
+def nhood_enrichment(
+    nodes: DataFrame, edges: DataFrame, group: str = "leiden", n_perms: int = 1000, seed: int = 0, key=K, id_col: str = "label", batch: int | None = None, nested: int | None = None
+) -> DataFrame:
     """z-scores of edge counts between groups against labels permuted within the well.
 
-    Permutations order nodes by a hash of (seed, permutation, id), so results
-    do not depend on partitioning. They run batch by batch, of which only counts
-    by pair are kept; a batch is 100 permutations, more where edges are few (at
-    most 20 million rows of edges by permutation then). z is null where all permutations agree.
-    """
-    observed = interaction_matrix(edges, nodes, group, key=key, id_col=id_col)
-    e = durable(edges.select(*key, "src", "dst"))
+    Every ordered pair of groups of a well gets a row, with n = 0 where no edge
+    joins them: that is the strongest avoidance. Permutations order nodes by a
+    hash of (seed, permutation, id), so results do not depend on partitioning.
+    They run batch by batch, of which only counts by pair are kept; a batch is 100
+    permutations, more where edges are few (at most 20 million rows of edges by
+    permutation then). z is null where all permutations agree.
+
+    nested = m takes edges with a rank and gives the scores of m nested graphs,
+    k = 1..m, of the edges up to rank k, from the same permutations.
+    """
+    pair = [*key, "src_group", "dst_group"]
+    ranks = [F.least(F.col("rank").cast("int"), F.lit(nested + 1)).alias("rank")] if nested else [F.lit(1).alias("rank")]
+    e = durable(edges.select(*key, "src", "dst", *ranks))
     batch = batch or min(n_perms, max(100, 20_000_000 // max(e.count(), nodes.count(), 1)))
     nodes = durable(nodes.select(*[F.col(c).alias(c) for c in (*key, id_col, group)]))
     ends = durable(e.select(*key, F.col("src").alias(id_col)).union(e.select(*key, F.col("dst").alias(id_col))).distinct())
     origin = F.row_number().over(Window.partitionBy(*key).orderBy(id_col))
     labels = durable(nodes.select(*[F.col(k).alias(k) for k in key], F.col(group).alias(group), origin.alias("i")))
     place = F.row_number().over(Window.partitionBy(*key, "perm").orderBy(F.xxhash64(F.lit(seed), "perm", id_col), id_col))
+
+    def up_to(counts: DataFrame, by: list) -> DataFrame:
+        """Counts by rank to counts up to each k."""
+        if not nested:
+            return counts.withColumnRenamed("rank", "k")
+        wide = counts.where(F.col("rank") <= nested).withColumn("k", F.explode(F.sequence(F.col("rank"), F.lit(nested))))
+        return wide.groupBy(*by, "k").agg(F.sum("n").alias("n"))
+
     total, squares = F.sum("n").cast("double"), F.sum(F.col("n") * F.col("n")).cast("double")
     sums = None
     for lo in range(1, n_perms + 1, batch):
@@ -102,16 +118,21 @@ def nhood_enrichment(nodes: DataFrame, edges: DataFrame, group: str = "leiden",
         shuffled = placed.join(labels, [*key, "i"]).drop("i").persist()
         s = e.join(shuffled.select(*key, "perm", F.col(id_col).alias("src"), F.col(group).alias("src_group")), [*key, "src"])
         s = s.join(shuffled.select(*key, "perm", F.col(id_col).alias("dst"), F.col(group).alias("dst_group")), [*key, "perm", "dst"])
-        counts = s.groupBy(*key, "src_group", "dst_group", "perm").agg(F.count("*").alias("n"))
-        part = counts.groupBy(*key, "src_group", "dst_group").agg(total.alias("total"), squares.alias("squares"))
+        counts = up_to(s.groupBy(*pair, "perm", "rank").agg(F.count("*").alias("n")), [*pair, "perm"])
+        part = counts.groupBy(*pair, "k").agg(total.alias("total"), squares.alias("squares"))
         if sums is not None:
-            part = part.unionByName(sums).groupBy(*key, "src_group", "dst_group").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares"))
-        sums = durable(part)
+            part = part.unionByName(sums).groupBy(*pair, "k").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares"))
+        sums = durable(part, replaces=() if sums is None else (sums,))
         shuffled.unpersist()
-    by = sums.select(*key, "src_group", "dst_group", (F.col("total") / n_perms).alias("mean"), (F.col("squares") / n_perms).alias("sq"))
-    by = by.withColumn("sd", F.sqrt(F.greatest(F.col("sq") - F.col("mean") * F.col("mean"), F.lit(0.0))))
-    out = observed.join(by, [*key, "src_group", "dst_group"], "left")
-    return out.select(*key, "src_group", "dst_group", "n", F.when(F.col("sd") > 0, (F.col("n") - F.col("mean")) / F.col("sd")).alias("z"))
+    groups = labels.select(*key, group).distinct()
+    all_pairs = groups.withColumnRenamed(group, "src_group").join(groups.withColumnRenamed(group, "dst_group"), list(key))
+    grid = all_pairs.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(nested or 1))))
+    seen = up_to(with_groups(e, nodes, group, key, id_col).groupBy(*pair, "rank").agg(F.count("*").alias("n")), pair)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    out = grid.join(seen, [*pair, "k"], "left").join(sums, [*pair, "k"], "left")
+    mean, sq = none(F.col("total")) / n_perms, none(F.col("squares")) / n_perms
+    sd = F.sqrt(F.greatest(sq - mean * mean, F.lit(0.0)))
+    return out.select(*pair, *(["k"] if nested else []), none(F.col("n")).alias("n"), F.when(sd > 0, (none(F.col("n")) - mean) / sd).alias("z"))
 
 
 def group_closeness(nodes: DataFrame, edges: DataFrame, group: str = "leiden", key=K, id_col: str = "label") -> DataFrame:

@@ -48,6 +48,15 @@ def _enrichment(s, d, column, k, n_perms):
 
 
 add("m3_cas", lambda s, d: B.enrichment_similarity(_enrichment(s, d, "latent", 15, 1000), _enrichment(s, d, "pos", 15, 1000)), doubles="cas")
+
+
+def _nested(s, d, column):
+    v = vectors(s, d).withColumn("batch", F.lit(0))
+    edges = _knn(s, d, column).select(F.lit(0).alias("batch"), "src", "dst", "rank")
+    return spatial.nhood_enrichment(v, edges, "label", 1000, key=("batch",), id_col="vec_id", nested=MAX_K)
+
+
+add("m4_avg_cas", lambda s, d: B.mean_enrichment_similarity(_nested(s, d, "latent"), _nested(s, d, "pos")), doubles="avg_cas")
 add("m7_ami", N(lambda n: B.adjusted_mutual_information(n, "leiden", "z_slice")), doubles="ami", digits=8)
 add("m11_kmeans_agreement", lambda s, d: B.kmeans_agreement(vectors(s, d), "latent", "label", 10), doubles="nmi ari")
 _dist = "select a.vec_id, a.label al, a.batch ab, b.vec_id other, b.label bl, b.batch bb, power(list_distance(a.latent, b.latent), 2) d from v a join v b on a.vec_id <> b.vec_id"

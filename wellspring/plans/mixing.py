@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as A
 from ..operators import embedding as E
-from ..operators import graph, joins, mixing, spatial
+from ..operators import benchmark as B
+from ..operators import communities, graph, joins, mixing, spatial
+from ..session import durable
 from ..sources.fixtures import nuclei, pixels, table, wells
 from .registry import add
 from .tables import FS, W
@@ -49,12 +51,31 @@ def _spatial_features(s, d):
 add("g15_spatial_features", _spatial_features, doubles="value")
 
 
-def _communities(s, d):
-    k, _ = _knn(s, d, 8)
-    e = k.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 / (1 + F.col("dist"))).alias("weight")).dropDuplicates(["src", "dst"])
-    return e, graph.label_communities(e)
+def neighbor_graph(s, d, column="embedding", k=8):
+    """Undirected edges (src, dst, weight) between near vectors, each once; weight falls with distance."""
+    v = table(s, d, "embeddings")
+    v = v.select("vec_id", (F.slice("embedding", 1, 3) if column == "pos" else F.slice("embedding", 4, 1000) if column == "latent" else F.col("embedding")).alias("v"))
+    near = E.vector_knn(v, v, k, "vec_id", "v")
+    e = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 / (1 + F.col("dist"))).alias("weight"))
+    return durable(e.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+
+
+RESOLUTIONS = (0.5, 1.0, 2.0)
+
+
+def _modularities(s, d):
+    """(run, modularity) of the communities at each resolution, all at resolution 1."""
+    e = neighbor_graph(s, d)
+    part = durable(communities.communities_at(e, RESOLUTIONS))
+    out = None
+    for run in range(len(RESOLUTIONS)):
+        m = graph.modularity(e, part.where(F.col("run") == run).drop("run")).select(F.lit(RESOLUTIONS[run]).alias("resolution"), "modularity")
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
-add("e10_communities", lambda s, d: _communities(s, d)[1])
-add("e10_modularity", lambda s, d: graph.modularity(*_communities(s, d)), doubles="modularity")
-add("m11_cnmi_cari", lambda s, d: E.clustering_agreement(_communities(s, d)[1].join(table(s, d, "embeddings").select(F.col("vec_id").alias("node"), "label"), "node"), "community", "label"), doubles="nmi ari")
+add("e10_communities", lambda s, d: communities.louvain_communities(neighbor_graph(s, d)))
+add("e10_modularity", _modularities, doubles="modularity", digits=4)
+add("m11_cnmi_cari", lambda s, d: E.clustering_agreement(communities.louvain_communities(neighbor_graph(s, d)).join(table(s, d, "embeddings").select(F.col("vec_id").alias("node"), "label"), "node"), "community", "label"), doubles="nmi ari", digits=4)
+add("m8_mlami", lambda s, d: B.community_information(neighbor_graph(s, d, "latent"), neighbor_graph(s, d, "pos"), RESOLUTIONS), doubles="mlami", digits=4)
+add("m9_nasw", lambda s, d: B.community_silhouette(table(s, d, "embeddings"), "vec_id", "embedding", neighbor_graph(s, d), RESOLUTIONS), doubles="nasw", digits=4)
