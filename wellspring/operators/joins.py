@@ -16,14 +16,35 @@ def _distance(cols, left: str, right: str) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+#: Points that a task hashes at most, on average; more points take more partitions.
+BUILD_ROWS = 2_000_000
+
+
+def _meet(a: DataFrame, b: DataFrame, names: list[str], rows: int | None) -> DataFrame:
+    """Inner join of a and b (named so) on all of names.
+
+    The key is one 64-bit hash and names are compared where it agrees; b is hashed
+    by partition, which spares the sort of both sides. Partitions are as many as
+    hold BUILD_ROWS rows of b each (rows of it, counted where not given).
+    """
+    rows = b.count() if rows is None else rows
+    parts = -(-rows // BUILD_ROWS)
+    a, b = (x.withColumn("spot", F.xxhash64(*names)) for x in (a, b))
+    if parts > int(b.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        a, b = a.repartition(parts, "spot"), b.repartition(parts, "spot")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in names])
+    return a.alias("a").join(b.hint("shuffle_hash").alias("b"), F.col("a.spot") == F.col("b.spot")).where(same)
+
+
 def radius_join(
-    left: DataFrame, right: DataFrame, radius: float, cols=("x", "y", "z"), key=K, id_col: str = "label", strict: bool = False
+    left: DataFrame, right: DataFrame, radius: float, cols=("x", "y", "z"), key=K, id_col: str = "label", strict: bool = False, rows: int | None = None
 ) -> DataFrame:
     """Pairs of rows of left and right of one group within radius: (key, src, dst, dist).
 
     Space is cut into cells as wide as the radius; each left row looks into its
     own and the neighbouring cells by an equi join, so no group is compared
-    with itself whole. Rows with a null coordinate pair with nothing.
+    with itself whole. Rows with a null coordinate pair with nothing. rows is
+    the number of rows of right, counted if not given.
     """
     cells = [F.floor(F.col(c) / radius).alias(f"cell_{c}") for c in cols]
     base = [*key, id_col, *cols]
@@ -32,14 +53,12 @@ def radius_join(
         around = F.array(*[F.col(f"cell_{c}") + d for d in (-1, 0, 1)])
         a = a.withColumn(f"cell_{c}", F.explode(around))
     names = [*key, *[f"cell_{c}" for c in cols]]
-    a, b = (x.withColumn("spot", F.xxhash64(*names)) for x in (a, right.select(*base, *cells)))
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("spot", *names)]
     d2 = _distance(cols, "a", "b")
-    joined = a.alias("a").join(b.alias("b"), on).where(d2 < radius * radius if strict else d2 <= radius * radius)
+    joined = _meet(a, right.select(*base, *cells), names, rows).where(d2 < radius * radius if strict else d2 <= radius * radius)
     return joined.select(*[F.col(f"a.{k}").alias(k) for k in key], F.col(f"a.{id_col}").alias("src"), F.col(f"b.{id_col}").alias("dst"), F.sqrt(d2).alias("dist"))
 
 
-def radius_neighbors(points: DataFrame, radius: float, cols=("x", "y", "z"), key=K, id_col: str = "label") -> DataFrame:
+def radius_neighbors(points: DataFrame, radius: float, cols=("x", "y", "z"), key=K, id_col: str = "label", rows: int | None = None) -> DataFrame:
     """All ordered pairs of different points of a group within radius: (key, src, dst, dist).
 
     Each pair of cells meets once, from the one that comes first (14 of the 27
@@ -51,11 +70,10 @@ def radius_neighbors(points: DataFrame, radius: float, cols=("x", "y", "z"), key
     into = F.array(*[F.struct(*[(cell + d).alias(f"cell_{c}") for c, cell, d in zip(cols, cells, o)], F.lit(o == none).alias("own")) for o in ahead])
     base = [*key, id_col, *cols]
     names = [*key, *[f"cell_{c}" for c in cols]]
-    a = points.select(*base, F.explode(into).alias("cell")).select(*base, "cell.*").withColumn("spot", F.xxhash64(*names)).alias("a")
-    b = points.select(*base, *[x.alias(f"cell_{c}") for c, x in zip(cols, cells)]).withColumn("spot", F.xxhash64(*names)).alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("spot", *names)]  # a number first, by which sorting is quick
+    a = points.select(*base, F.explode(into).alias("cell")).select(*base, "cell.*")
+    b = points.select(*base, *[x.alias(f"cell_{c}") for c, x in zip(cols, cells)])
     one, two, d2 = F.col(f"a.{id_col}"), F.col(f"b.{id_col}"), _distance(cols, "a", "b")
-    met = a.join(b, on).where((d2 <= radius * radius) & F.when(F.col("own"), one < two).otherwise(one != two))
+    met = _meet(a, b, names, rows).where((d2 <= radius * radius) & F.when(F.col("own"), one < two).otherwise(one != two))
     ways = F.array(F.struct(one.alias("src"), two.alias("dst")), F.struct(two.alias("src"), one.alias("dst")))
     met = met.select(*[F.col(f"a.{k}").alias(k) for k in key], F.explode(ways).alias("way"), F.sqrt(d2).alias("dist"))
     return met.select(*key, "way.src", "way.dst", "dist")

@@ -3,25 +3,35 @@
 from pyspark.sql import functions as F
 
 from ..operators import graph, joins, spatial
+from ..session import durable
 from ..sources.fixtures import nuclei
 from .registry import add
 
 KS = "plate_id, well_id"
 
 
-def _edges(spark, d, r=25.0):
-    return joins.radius_neighbors(nuclei(spark, d), r)
+#: Largest radius that queries ask for, and the tables of edges stored for it, by application and source.
+RADIUS = 25.0
+_STORED: dict = {}
 
 
-def _both(fn):
-    def run(spark, d):
-        n = nuclei(spark, d)
-        return fn(n, joins.radius_neighbors(n, 25.0))
+def stored_edges(spark, d, r=RADIUS):
+    """Edges of the nuclei of d within r up to RADIUS, from a table that the first query of an application stores.
+
+    Smaller radii are a filter on dist. Radius joins are computed
+    once for all queries on a source; a source that changes needs a new session.
+    """
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORED:
+        _STORED[key] = durable(joins.radius_neighbors(nuclei(spark, d), RADIUS))
+    return _STORED[key] if r == RADIUS else _STORED[key].where(F.col("dist") <= r)
 
-    return run
+
+def _both(fn):
+    return lambda s, d: fn(nuclei(s, d), stored_edges(s, d))
 
 
-add("j8_radius_join", _edges, f"select {KS}, src, dst, dist from edges", "binned", "dist")
+add("j8_radius_join", lambda s, d: joins.radius_neighbors(nuclei(s, d), RADIUS), f"select {KS}, src, dst, dist from edges", "binned", "dist")
 add(
     "j8_radius_join_2d",
     lambda s, d: joins.radius_neighbors(nuclei(s, d), 10.0, cols=("x", "y"), key=("plate_id", "well_id", "z_slice")),
@@ -41,7 +51,7 @@ add(
 )
 add(
     "j9_knn_join",
-    lambda s, d: joins.knn(_edges(s, d), 3).select("plate_id", "well_id", "src", "dst", "dist", "rank"),
+    lambda s, d: joins.knn(stored_edges(s, d), 3).select("plate_id", "well_id", "src", "dst", "dist", "rank"),
     f"select * from (select {KS}, src, dst, dist, row_number() over (partition by {KS}, src order by dist, dst)::int rank from edges) where rank <= 3",
     "binned", "dist",
 )
@@ -143,9 +153,8 @@ for _name, _metric, _sql in (
 
 
 def _components(spark, d):
-    n = nuclei(spark, d)
     key = F.concat_ws("|", "plate_id", "well_id", "src"), F.concat_ws("|", "plate_id", "well_id", "dst")
-    e = joins.radius_neighbors(n, 25.0).select(key[0].alias("src"), key[1].alias("dst"))
+    e = stored_edges(spark, d).select(key[0].alias("src"), key[1].alias("dst"))
     return graph.connected_components(e)
 
 
