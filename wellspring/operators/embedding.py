@@ -8,41 +8,121 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 
-def vector_knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str, vector_col: str, block_rows: int = 1024, exclude_self: bool = True) -> DataFrame:
-    """Exact k nearest reference rows of each query by Euclid: (src, dst, dist, rank); ties go to the smaller dst.
+_BLOCK = "block int, ids binary, data binary, width int"
 
-    Both sides travel as packed blocks, and each pair of blocks gives at most k
-    rows for a query. Rows with a null vector take no part.
-    """
 
-    def pack(df, n):
-        df = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-        blocks = max(1, -(-n // block_rows))
-        df = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        return df.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows")), blocks
+def _packed(df: DataFrame, id_col: str, vector_col: str, block_rows: int) -> tuple[DataFrame, int]:
+    """Rows as blocks of about block_rows (ids and one matrix each), and the number of blocks."""
+    df = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = max(1, -(-df.count() // block_rows))
+    df = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+
+    def pack(key, table):
+        v = table.column("v").combine_chunks()
+        x = v.flatten().to_numpy(zero_copy_only=False)
+        ids = table.column("id").to_numpy().astype("<i8")
+        row = [[key[0].as_py()], [ids.tobytes()], [x.astype("<f8").tobytes()], [len(x) // max(len(ids), 1)]]
+        return pa.table([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["block", "ids", "data", "width"])
+
+    return df.groupBy("block").applyInArrow(pack, _BLOCK), blocks
+
 
-    q, _ = pack(queries, queries.count())
-    r, n_blocks = pack(reference, reference.count())
-    q = q.select(F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+def nearest_in_block(q_ids, q, r_ids, r, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of r, distance) of the k nearest rows of r for each of q, ties to the smaller id.
+
+    One product gives all distances nearly; what lies within rounding of the
+    k-th is computed again from the differences.
+    """
+    qq, rr = (q * q).sum(axis=1), (r * r).sum(axis=1)
+    near = qq[:, None] + rr[None, :] - 2 * (q @ r.T)
+    if exclude_self:
+        near[q_ids[:, None] == r_ids[None, :]] = np.inf
+    m = min(k, len(r_ids)) - 1
+    slack = 1e-9 * (qq + rr.max(initial=0.0)) + 1e-12
+    row, col = np.nonzero((near <= np.partition(near, m, axis=1)[:, m, None] + slack[:, None]) & np.isfinite(near))
+    d = np.empty(len(row))
+    for lo in range(0, len(row), 1 << 15):
+        at = slice(lo, lo + (1 << 15))
+        d[at] = np.sqrt(((r[col[at]] - q[row[at]]) ** 2).sum(axis=1))
+    order = np.lexsort((r_ids[col], d, row))
+    row, col, d = row[order], col[order], d[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], col[keep], d[keep]
+
+
+def vector_knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str, vector_col: str, block_rows: int = 2048, exclude_self: bool = True) -> DataFrame:
+    """Exact k nearest reference rows of each query by Euclid: (src, dst, dist, rank); ties go to the smaller dst.
+
+    Both sides travel as packed matrices. Every pair of blocks is one product
+    and gives at most k rows for a query. Rows with a null vector take no part;
+    vectors of a call have one width.
+    """
+    q, _ = _packed(queries, id_col, vector_col, block_rows)
+    r, n_blocks = _packed(reference, id_col, vector_col, block_rows)
+    q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
 
     def run(batches):
         for b in batches:
-            for x in b.to_pylist():
-                qi, ri = np.array([e["id"] for e in x["q_rows"]]), np.array([e["id"] for e in x["rows"]])
-                qv, rv = np.array([e["v"] for e in x["q_rows"]]), np.array([e["v"] for e in x["rows"]])
-                out = []
-                for i, v in zip(qi, qv):
-                    d = np.sqrt(((rv - v) ** 2).sum(axis=1))
-                    ok = np.flatnonzero(ri != i) if exclude_self else np.arange(len(ri))
-                    best = ok[np.lexsort((ri[ok], d[ok]))[:k]]
-                    out += [(int(i), int(ri[j]), float(d[j])) for j in best]
-                cols = list(zip(*out)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["src", "dst", "dist"])
+            for i in range(b.num_rows):
+                part = {n: b.column(n)[i].as_py() for n in ("q_ids", "q", "ids", "data")}
+                q_ids, r_ids = np.frombuffer(part["q_ids"], "<i8"), np.frombuffer(part["ids"], "<i8")
+                x, y = np.frombuffer(part["q"], "<f8").reshape(len(q_ids), -1), np.frombuffer(part["data"], "<f8").reshape(len(r_ids), -1)
+                for lo in range(0, len(q_ids), 512):
+                    row, col, d = nearest_in_block(q_ids[lo : lo + 512], x[lo : lo + 512], r_ids, y, k, exclude_self)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo : lo + 512][row]), pa.array(r_ids[col]), pa.array(d)], names=["src", "dst", "dist"])
 
     found = q.join(r, "block").mapInArrow(run, "src long, dst long, dist double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
 
 
+def gram(df: DataFrame, vector_col: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, mean and covariance (over n - 1) of vectors of one width.
+
+    A task sends one partial row of sums for each component, so the driver gets
+    width squared numbers however many rows there are. Sums are taken about the
+    first vector of a task and moved to a common origin by exact formulas.
+    """
+
+    def run(batches):
+        n, s, m = 0, None, None
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1) if b.num_rows else np.empty((0, 0))
+            if not len(x):
+                continue
+            n, s, m = n + len(x), x.sum(axis=0) + (0 if s is None else s), x.T @ x + (0 if m is None else m)
+        rows = [] if s is None else [(-1, [float(n), *s])] + [(i, [0.0, *r]) for i, r in enumerate(m)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.list_(pa.float64()))], names=["i", "v"])
+
+    part = df.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(run, "i int, v array<double>")
+    sums = part.select("i", F.posexplode("v").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    width = max((r["j"] for r in sums), default=0)
+    m = np.zeros((width + 1, width + 1))
+    for r in sums:
+        m[r["i"] + 1, r["j"]] = r["x"]
+    n = int(m[0, 0])
+    mean = m[0, 1:] / max(n, 1)
+    return n, mean, (m[1:, 1:] - n * np.outer(mean, mean)) / max(n - 1, 1)
+
+
+def principal_axes(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k axes [width, k] of largest variance and their variances; of each axis the largest loading is positive."""
+    value, vector = np.linalg.eigh(cov)
+    order = np.argsort(-value, kind="stable")[:k]
+    axes = vector[:, order]
+    top = np.abs(axes).argmax(axis=0)
+    return axes * np.where(axes[top, np.arange(axes.shape[1])] < 0, -1.0, 1.0), value[order]
+
+
+def pca(df: DataFrame, vector_col: str, k: int, out: str = "pcs") -> DataFrame:
+    """Adds the scores of each vector on the first k principal axes; null where the vector is."""
+    _, mean, cov = gram(df, vector_col)
+    axes, _ = principal_axes(cov, k)
+    shift = mean @ axes
+    score = lambda c: F.aggregate(F.zip_with(F.col(vector_col).cast("array<double>"), F.array(*map(F.lit, axes[:, c].tolist())), lambda x, a: x * a), F.lit(-float(shift[c])), lambda acc, x: acc + x)
+    return df.withColumn(out, F.when(F.col(vector_col).isNotNull(), F.array(*[score(c) for c in range(axes.shape[1])])))
+
+
 def project_labels(knn: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
     """Majority vote of the neighbours; ties go to the smallest label."""
     v = knn.join(labels.select(F.col(id_col).alias("dst"), label), "dst").groupBy("src", label).agg(F.count("*").alias("n"))

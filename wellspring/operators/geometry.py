@@ -8,31 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .joins import K
+from .graph import connected_components
+from .joins import K, radius_neighbors
 
 PIXEL_MM = 0.322 / 1000
 
 
-def hull_volume_area(p: np.ndarray) -> tuple[float, float]:
-    """Volume and surface of the convex hull of 3-D points, built point by point; zeros for flat sets."""
+#: Directions, spread evenly over the sphere by the golden angle, whose farthest points make a first, inner hull.
+_STEPS = np.arange(48) + 0.5
+_HEIGHT, _TURN = 1 - 2 * _STEPS / 48, np.pi * (1 + 5**0.5) * _STEPS
+DIRECTIONS = np.stack([np.sqrt(1 - _HEIGHT**2) * np.cos(_TURN), np.sqrt(1 - _HEIGHT**2) * np.sin(_TURN), _HEIGHT], axis=1)
+
+
+def hull_faces(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Corners [m, 3, 3] of the faces of the convex hull of 3-D points, their outward unit normals, and an inner point; None for flat sets.
+
+    Built from a tetrahedron: the farthest point outside replaces the faces that it sees.
+    """
     p = np.unique(np.asarray(p, dtype=float), axis=0)
     if len(p) < 4:
-        return 0.0, 0.0
-    p = p - p.mean(axis=0)
-    scale = np.abs(p).max()
-    eps = 1e-9 * max(scale, 1e-300)
+        return None
+    middle = p.mean(axis=0)
+    p = p - middle
+    eps = 1e-9 * max(np.abs(p).max(), 1e-300)
     i = int(p[:, 0].argmin())
     j = int(((p - p[i]) ** 2).sum(axis=1).argmax())
     d = p[j] - p[i]
     far = np.linalg.norm(np.cross(p - p[i], d), axis=1) / max(np.linalg.norm(d), 1e-300)
     k = int(far.argmax())
     if far[k] <= eps:
-        return 0.0, 0.0
+        return None
     n = np.cross(d, p[k] - p[i])
     h = (p - p[i]) @ n / np.linalg.norm(n)
     m = int(np.abs(h).argmax())
     if abs(h[m]) <= eps:
-        return 0.0, 0.0
+        return None
     inner = p[[i, j, k, m]].mean(axis=0)
 
     def face(a, b, c):
@@ -43,7 +53,7 @@ def hull_volume_area(p: np.ndarray) -> tuple[float, float]:
 
     faces = dict(face(*t) for t in itertools.combinations((i, j, k, m), 3))
     rest = p
-    while True:  # the farthest point outside replaces the faces that it sees
+    while True:
         tri, normals = np.array(list(faces)), np.array(list(faces.values()))
         level = (normals * p[tri[:, 0]]).sum(axis=1)
         over = (rest @ normals.T - level).max(axis=1)
@@ -60,24 +70,56 @@ def hull_volume_area(p: np.ndarray) -> tuple[float, float]:
             if (y, x) not in edges:
                 f, normal = face(x, y, q)
                 faces[f] = normal
-    a, b, c = p[tri[:, 0]], p[tri[:, 1]], p[tri[:, 2]]
+    return p[tri] + middle, normals, inner + middle
+
+
+def hull_volume_area(p: np.ndarray) -> tuple[float, float]:
+    """Volume and surface of the convex hull of 3-D points; zeros for flat sets."""
+    found = hull_faces(p)
+    if found is None:
+        return 0.0, 0.0
+    corners, _, inner = found
+    a, b, c = corners[:, 0], corners[:, 1], corners[:, 2]
     cross = np.cross(b - a, c - a)
     return float(np.abs(((a - inner) * cross).sum(axis=1)).sum() / 6), float(np.linalg.norm(cross, axis=1).sum() / 2)
 
 
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def _planes(ends: pd.Series) -> pd.Series:
+    """Planes (normal, level) of the hull of a group's far points, a little inside it; null if these are flat."""
+    out = []
+    for e in ends:
+        p = np.array([[v["x"], v["y"], v["z"]] for v in e if v is not None], dtype=float).reshape(-1, 3)
+        found = hull_faces(p)
+        if found is None:
+            out.append(None)
+            continue
+        corners, normals, _ = found
+        level = (normals * corners[:, 0]).sum(axis=1) - 1e-9 * np.ptp(p, axis=0).max()
+        out.append(np.column_stack([normals, level]).tolist())
+    return pd.Series(out, dtype=object)
+
+
 def extreme_points(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points of each group that can lie on its hull: the ends in z of every (x, y).
+    """Points of each group that can lie on its hull.
 
-    A point between two others of its column of equal x and y is no corner; so
-    only the lowest and highest point of each (x, y) is kept, before any group meets in a task.
+    The farthest point along each of 48 directions comes from one partial
+    aggregate. What is strictly inside the hull of these is inside the group's
+    hull and goes; of the rest only the ends in z of every (x, y) stay.
     """
-    return points.groupBy(*keys, "x", "y").agg(F.array_distinct(F.array(F.min("z"), F.max("z"))).alias("zs")).select(*keys, "x", "y", F.explode("zs").alias("z"))
+    at = F.struct(*[F.col(c).cast("double").alias(c) for c in "xyz"])
+    ends = [F.max_by(at, F.col("x") * u + F.col("y") * v + F.col("z") * w) for u, v, w in DIRECTIONS.tolist()]
+    planes = points.groupBy(*keys).agg(F.array(*ends).alias("e")).select(*keys, _planes("e").alias("planes"))
+    outside = F.exists("planes", lambda n: F.col("x") * n[0] + F.col("y") * n[1] + F.col("z") * n[2] > n[3])
+    near = points.select(*keys, "x", "y", "z").join(planes, keys).where(F.col("planes").isNull() | outside)
+    return near.groupBy(*keys, "x", "y").agg(F.array_distinct(F.array(F.min("z"), F.max("z"))).alias("zs")).select(*keys, "x", "y", F.explode("zs").alias("z"))
 
 
 def convex_hulls(points: DataFrame, keys: list[str], scale: float = PIXEL_MM) -> DataFrame:
     """(keys, volume, area, n_points) of each group's hull, scaled from pixels; zero for flat or tiny groups.
 
-    A group is a well or a component of one, which is bounded by the plate.
+    A task gets the points of a group that lie outside the hull of its
+    extremes, a small shell of it.
     """
     kinds = {f.name: f.dataType.simpleString() for f in points.schema}
 
@@ -86,8 +128,38 @@ def convex_hulls(points: DataFrame, keys: list[str], scale: float = PIXEL_MM) ->
         return pd.DataFrame([(*key, v * scale**3, a * scale**2)])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", volume double, area double"
-    out = extreme_points(points, keys).groupBy(*keys).applyInPandas(run, schema)
-    return points.groupBy(*keys).agg(F.count("*").alias("n_points")).join(out, keys, "left")
+    out = extreme_points(points.dropna(subset=["x", "y", "z"]), keys).groupBy(*keys).applyInPandas(run, schema)
+    return points.groupBy(*keys).agg(F.count("*").alias("n_points")).join(out, keys, "left").na.fill(0.0, ["volume", "area"])
+
+
+def component_stats(
+    nuclei: DataFrame, clusters: list, radius: float = 100.0, min_degree: int = 3, min_nodes: int = 10, group: str = "leiden", key=K, id_col: str = "label"
+) -> DataFrame:
+    """Connected components of the points of some clusters of each well: size, centroid, hull, in millimetres.
+
+    Points with fewer than min_degree neighbours within radius go, once; a well
+    with min_nodes or fewer left has no rows. Components of min_nodes or more
+    count, but for those that are flat. center_distance is from the mean of all
+    the well's points.
+    """
+    key = list(key)
+    points = nuclei.where(F.col(group).isin(clusters)).select(*key, id_col, *"xyz")
+    edges = radius_neighbors(points, radius, key=key, id_col=id_col)
+    core = edges.groupBy(*key, F.col("src").alias(id_col)).agg(F.count("*").alias("_d")).where(F.col("_d") >= min_degree).drop("_d")
+    enough = core.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > min_nodes).select(*key)
+    core = core.join(enough, key, "left_semi")
+    for end in ("src", "dst"):
+        edges = edges.join(core.select(*key, F.col(id_col).alias(end)), [*key, end], "left_semi")
+    node = lambda c: F.concat_ws("|", *key, c)
+    part = connected_components(edges.select(node("src").alias("src"), node("dst").alias("dst")))
+    p = points.withColumn("node", node(id_col)).join(part, "node").drop("node")
+    by = [*key, "component"]
+    sizes = p.groupBy(*by).agg(F.count("*").alias("n_pts"), *[(F.avg(c) * PIXEL_MM).alias(f"c{c}") for c in "xyz"]).where(F.col("n_pts") >= min_nodes)
+    center = nuclei.groupBy(*key).agg(*[(F.avg(c) * PIXEL_MM).alias(f"m{c}") for c in "xyz"])
+    gap = [F.col(f"c{c}") - F.col(f"m{c}") for c in "xyz"]
+    out = sizes.join(center, key).withColumn("center_distance", F.sqrt(sum((g * g for g in gap), F.lit(0.0)))).drop("mx", "my", "mz")
+    hull = convex_hulls(p.join(sizes.select(*by), by, "left_semi"), by).drop("n_points")
+    return out.join(hull, by).where("volume > 0").withColumn("volume_per_point", F.col("volume") / F.col("n_pts"))
 
 
 def drift(df: DataFrame, keys: list[str], step: str, limit: float = 100.0) -> DataFrame:

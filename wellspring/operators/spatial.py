@@ -78,6 +78,27 @@ def morans_i(nodes: DataFrame, edges: DataFrame, feature: str, key=K, id_col: st
     return ss.join(cross, list(key), "left").select(*key, i.alias("moran_i"))
 
 
+def morans_i_groups(nodes: DataFrame, edges: DataFrame, group: str = "leiden", key=K, id_col: str = "label") -> DataFrame:
+    """(key, group, moran_i) of the membership of every group of a well; weights sum to 1 by row; 0 without edges or variance.
+
+    Memberships are 0 or 1, so sums over nodes need only counts: of nodes by
+    group, and of edges by the groups of both ends. No node is spelled out for each group.
+    """
+    key = list(key)
+    n = nodes.groupBy(*key, group).agg(F.count("*").alias("ng")).withColumn("n", F.sum("ng").over(Window.partitionBy(*key)))
+    p = F.col("ng") / F.col("n")
+    deg = edges.groupBy(*key, "src").agg(F.count("*").alias("deg"))
+    e = with_groups(edges.select(*key, "src", "dst"), nodes, group, key, id_col).join(deg, [*key, "src"])
+    lag = e.groupBy(*key, F.col("dst_group").alias(group)).agg(F.sum(1 / F.col("deg")).alias("lag"), F.sum(F.when(F.col("src_group") == F.col("dst_group"), 1 / F.col("deg"))).alias("both"))
+    own = deg.join(nodes.select(*key, F.col(id_col).alias("src"), group), [*key, "src"])
+    w = own.groupBy(*key, group).agg(F.count("*").alias("wg")).withColumn("w", F.sum("wg").over(Window.partitionBy(*key)))
+    w = n.select(*key).distinct().join(w, key).groupBy(*key).agg(F.max("w").alias("w")), w.drop("w")
+    j = n.join(lag, [*key, group], "left").join(w[1], [*key, group], "left").join(w[0], key, "left").na.fill(0, ["lag", "both", "wg"])
+    num = F.col("both") - p * F.col("lag") - p * F.col("wg") + p * p * F.col("w")
+    ss = F.col("ng") * (1 - p)
+    return j.select(*key, group, F.when((ss > 0) & F.col("w").isNotNull(), F.col("n") / F.col("w") * num / ss).otherwise(0.0).alias("moran_i"))
+
+
 def nhood_enrichment(
     nodes: DataFrame, edges: DataFrame, group: str = "leiden", n_perms: int = 1000, seed: int = 0, key=K, id_col: str = "label", batch: int | None = None, nested: int | None = None
 ) -> DataFrame:

@@ -30,32 +30,16 @@ add("g6_convex_hull", N(lambda n: G.convex_hulls(n, KL)), doubles="volume area",
 
 
 def _well_hull(s, d):
+    """Hull of the points with more than 5 neighbours within 100; a well without four such points has a zero row."""
     n = nuclei(s, d)
     deg = spatial.degree(n, joins.radius_neighbors(n, 100.0)).where("degree > 5")
     h = G.convex_hulls(n.join(deg, [*KL, "label"]), KL)
-    return h.withColumn("density", F.when(F.col("volume") > 0, F.col("n_points") / F.col("volume")))
+    h = n.select(*KL).distinct().join(h, KL, "left").na.fill(0.0, ["volume", "area"]).na.fill(0, ["n_points"])
+    return h.withColumn("density", F.when(F.col("volume") > 0, F.col("n_points") / F.col("volume")).otherwise(0.0))
 
 
 add("g7_well_hull", _well_hull, doubles="volume area density")
-
-
-def _component_stats(s, d, min_degree=1, min_nodes=4):
-    n = nuclei(s, d).where("leiden in (0, 1)")
-    e = joins.radius_neighbors(n, 50.0)
-    core = spatial.degree(n, e).where(F.col("degree") >= min_degree).select(*KL, "label")
-    e = e.join(core.withColumnRenamed("label", "src"), [*KL, "src"], "left_semi").join(core.withColumnRenamed("label", "dst"), [*KL, "dst"], "left_semi")
-    part = graph.connected_components(e.select(F.concat_ws("|", *KL, "src").alias("src"), F.concat_ws("|", *KL, "dst").alias("dst")))
-    p = n.withColumn("node", F.concat_ws("|", *KL, "label")).join(part, "node")
-    sizes = p.groupBy(*KL, "component").agg(F.count("*").alias("n_pts"), F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.avg("z").alias("cz")).where(F.col("n_pts") >= min_nodes)
-    center = nuclei(s, d).groupBy(*KL).agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    q = [F.col(f"c{c}") - F.col(f"m{c}") for c in "xyz"]
-    out = sizes.join(F.broadcast(center), KL).withColumn("center_distance", F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2])).drop("mx", "my", "mz")
-    hull = G.convex_hulls(p.join(sizes.select(*KL, "component"), [*KL, "component"], "left_semi"), [*KL, "component"]).drop("n_points")
-    out = out.join(hull, [*KL, "component"]).where("volume > 0")
-    return out.withColumn("volume_per_point", F.col("volume") / F.col("n_pts"))
-
-
-add("g5_component_stats", _component_stats, doubles="cx cy cz center_distance volume area volume_per_point", digits=9)
+add("g5_component_stats", lambda s, d: G.component_stats(nuclei(s, d), [0, 1]), doubles="cx cy cz center_distance volume area volume_per_point", digits=9)
 add("g17_spatial_drift", N(lambda n: G.drift(n.withColumn("step", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("(z_slice - 1) % step = 0").groupBy("step", *KL, "leiden").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z")), [*KL, "leiden"], "step")),
     f"with t as (select unnest([1,2,3]) step, * from nuclei), c as (select step, {KS}, leiden, avg(x) x, avg(y) y, avg(z) z from t where (z_slice - 1) % step = 0 group by all), d as (select c.step, sqrt((c.x-b.x)*(c.x-b.x)+(c.y-b.y)*(c.y-b.y)+(c.z-b.z)*(c.z-b.z)) dist from c join c b on b.step = 1 and b.plate_id = c.plate_id and b.well_id = c.well_id and b.leiden = c.leiden) select step, avg(dist) mean, stddev_samp(dist) std, min(dist) min, max(dist) max, count(*) n from d where dist < 100 group by step", "nuclei", "mean std min max")
 add("g18_line_fit_distance", N(G.line_fit_distance), doubles="distance")
@@ -98,14 +82,6 @@ def _features(df):
     return VectorAssembler(inputCols=FS, outputCol="v", handleInvalid="skip").transform(df)
 
 
-def _pca(s, d, k=2):
-    x = A.zscore(wells(s, d).select("well_id", *FS), [], FS)
-    x = _features(x)
-    out = PCA(k=k, inputCol="v", outputCol="p").fit(x).transform(x)
-    return out.select("well_id", *[F.abs(vector_to_array("p")[i]).alias(f"abs_pc{i + 1}") for i in range(k)])
-
-
-add("e5_pca", _pca, doubles="abs_pc1 abs_pc2")
 add("e16_kmeans", W(lambda w: (lambda v: KMeans(k=3, seed=1, featuresCol="v").fit(v).transform(v).groupBy("prediction").agg(F.count("*").alias("n")))(_features(A.zscore(w.select("well_id", *FS), [], FS)))))
 add("e18_one_hot", W(lambda w: (lambda i: OneHotEncoder(inputCols=["i"], outputCols=["o"], dropLast=False).fit(i).transform(i).select("well_id", vector_to_array("o").alias("one_hot")))(StringIndexer(inputCol="plate_id", outputCol="i", stringOrderType="alphabetAsc").fit(w).transform(w))), "select well_id, [(plate_id = 'F')::int::double, (plate_id = 'O')::int::double, (plate_id = 'P')::int::double] one_hot from wells", "wells")
 add("e19_marker_long_table", N(lambda n: A.zscore(A.unpivot(n, ["label"], ["f1", "f2"]), ["feature"], ["value"], eps=1e-10)), "select label, feature, (value - avg(value) over w) / (stddev_samp(value) over w + 1e-10) as value from (select label, unnest(['f1','f2']) feature, unnest([f1, f2]) as value from nuclei) window w as (partition by feature)", "nuclei", "value")

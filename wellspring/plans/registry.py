@@ -29,4 +29,4 @@ def add(name: str, fn: Callable, sql: str | None = None, views: str = "", double
         ORACLE_SQL[name] = f"with {head} select * {f'replace ({replaced})' if names else ''} from q"
 
 
-from . import benchmark, mixing, more, pixels, screens, spatial, tables  # noqa: E402, F401
+from . import benchmark, mixing, more, pipelines, pixels, screens, spatial, tables  # noqa: E402, F401

@@ -206,3 +206,27 @@ def gene_ranks(df: DataFrame) -> DataFrame:
     g = df.select(F.explode("genes").alias("gene"), "distance").groupBy("gene").agg(F.sum("distance").alias("total"), F.count("*").alias("n"))
     score = F.col("total") / F.col("n")
     return g.withColumn("score", score).withColumn("rank", F.rank().over(Window.orderBy(F.desc("score"))))
+
+
+KERNEL_DISTANCES = "well_id string, label string, distance double, plate_id string, radius int"
+
+
+def write_kernel_distances(df: DataFrame, path: str, files: int = 16) -> None:
+    """Distances (plate_id, well_id, radius, label, distance) as Parquet, one folder for each plate and radius.
+
+    A run replaces the folders that it has rows for and leaves the others, so a
+    plate can be computed again. Wells of a folder are dealt over at most files
+    files and sorted, so a filter on wells skips row groups.
+    """
+    part = F.pmod(F.xxhash64("well_id"), F.lit(files))
+    rows = df.select("plate_id", "well_id", F.col("radius").cast("int").alias("radius"), "label", F.col("distance").cast("double").alias("distance"))
+    rows = rows.repartition("plate_id", "radius", part).sortWithinPartitions("plate_id", "radius", "well_id")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("plate_id", "radius").parquet(path)
+
+
+def load_kernel_distances(spark: SparkSession, path: str, plates: list[str] | None = None, radii: list[int] | None = None) -> DataFrame:
+    """What write_kernel_distances stored; plates and radii given are the only folders read. A missing path raises."""
+    df = spark.read.schema(KERNEL_DISTANCES).parquet(path)
+    if plates is not None:
+        df = df.where(F.col("plate_id").isin(plates))
+    return df if radii is None else df.where(F.col("radius").isin(radii))
