@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .graph import connected_components
 
 
@@ -239,15 +240,30 @@ def single_slice_labels(px: DataFrame, keys: list[str], slices: int = 2) -> Data
     return px.where("label > 0").groupBy(*keys, "label").agg(F.countDistinct("z").alias("n")).where(F.col("n") >= slices).drop("n")
 
 
+def label_runs(px: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, z, label, y, x0, x1): unbroken runs of a label's pixels in each row."""
+    row = [*keys, "z", "label", "y"]
+    island = F.col("x") - F.row_number().over(Window.partitionBy(*row).orderBy("x"))
+    return px.where("label > 0").select(*row, "x").withColumn("_i", island).groupBy(*row, "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_i")
+
+
 def split_disconnected(px: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, z, label, y, x, part): parts of labels that do not touch, by eight neighbours, named by their first pixel."""
-    px = px.where("label > 0").select(*keys, "z", "label", "y", "x")
-    name = lambda y, x: F.concat_ws("|", *keys, "z", "label", F.lpad(y.cast("string"), 5, "0"), F.lpad(x.cast("string"), 5, "0"))
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))])
-    moved = px.withColumn("d", F.explode(steps)).select(*keys, "z", "label", name(F.col("y"), F.col("x")).alias("src"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    edges = moved.join(px, [*keys, "z", "label", "y", "x"]).select("src", name(F.col("y"), F.col("x")).alias("dst"))
-    part = connected_components(edges)
-    return px.withColumn("node", name(F.col("y"), F.col("x"))).join(part, "node", "left").select(*keys, "z", "label", "y", "x", F.coalesce("component", "node").alias("part"))
+    """(keys, z, label, y, x0, x1, part): runs of labels with the part they belong to, by eight neighbours.
+
+    Parts of a label are numbered from 1 in the order of their first pixel.
+    Runs are the nodes of the graph, and two of neighbouring rows have an edge
+    where they overlap or touch at a corner, so its size follows the outlines of labels
+    and not their areas. A node is two numbers: a hash of the group and its place.
+    """
+    group = [*keys, "z", "label"]
+    place = lambda y: F.struct(F.xxhash64(*group).alias("g"), (y.cast("long") * (1 << 32) + F.col("x0")).alias("p"))
+    runs = durable(label_runs(px, keys).withColumn("node", place(F.col("y"))))
+    below = runs.select(*group, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("dst"))
+    edges = runs.join(below, [*group, "y"]).where("x0 <= b1 + 1 and b0 <= x1 + 1").select(F.col("node").alias("src"), "dst")
+    root = F.coalesce("component", "node")
+    named = runs.join(connected_components(edges).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*group, "y", "x0", "x1", root.alias("root"))
+    number = named.select(*group, "root").distinct().withColumn("part", F.row_number().over(Window.partitionBy(*group).orderBy("root")))
+    return named.join(number, [*group, "root"]).drop("root")
 
 
 def instance_metrics(table: DataFrame, gt: DataFrame, pred: DataFrame, taus: list[float]) -> DataFrame:

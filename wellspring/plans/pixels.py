@@ -42,7 +42,8 @@ add("p23_regular_grid_features", X(lambda p: P.radial_profile(P.grid_positions(p
 add("p25_label_offset_merge", X(lambda p: P.offset_labels(p.select("well", "ch", "z", "y", "x", "label"), ["well", "ch"])), "select well, ch, z, y, x, case when label > 0 then label + coalesce(o, 0) else 0 end::bigint label from pixels join (select well, ch, z, sum(max(label)) over (partition by well, ch order by z rows between unbounded preceding and 1 preceding) o from pixels group by well, ch, z) using (well, ch, z)", "pixels")
 _shift = "(select img, well, ch, z, y, x + 1 x, label from pixels)"
 add("p26_stitch_labels_3d", X(lambda p: P.stitch_labels_3d(p, ["well", "ch"]).groupBy("well", "ch").agg(F.countDistinct("object").alias("objects"), F.count("*").alias("labels"))), "select well, ch, count(distinct label) objects, count(distinct (z, label)) labels from pixels where label > 0 group by all", "pixels")
-add("p27_split_disconnected", X(lambda p: P.split_disconnected(p, ["img"]).groupBy("img", "label").agg(F.countDistinct("part").alias("parts"))), "select distinct img, label, 1 parts from pixels where label > 0", "pixels")
+add("p27_split_disconnected", X(lambda p: P.split_disconnected(p.withColumn("label", F.when(F.col("label") > 0, F.col("label") % 3 + 1).otherwise(0)), ["img"]).groupBy("img", "z", "label").agg(F.countDistinct("part").alias("parts"), F.sum(F.col("x1") - F.col("x0") + 1).alias("pixels"))),
+    "select img, z, label % 3 + 1 as label, count(distinct label) parts, count(*) pixels from pixels where label > 0 group by img, z, label % 3 + 1", "pixels")
 add("p28_single_slice_labels", X(lambda p: P.single_slice_labels(p.where("not (label = 3 and z > 0)"), ["well"])), "select well, label from pixels where label > 0 and not (label = 3 and z > 0) group by all having count(distinct z) >= 2", "pixels")
 add("p29_contingency", X(lambda p: P.contingency(p, p.withColumn("x", F.col("x") + 1), ["well", "ch"])), f"with j as (select p.well, p.ch, p.z, p.label gt, q.label pred from pixels p join {_shift} q using (well, ch, z, y, x) where p.label > 0 and q.label > 0) select well, ch, gt, pred, z, count(*) n from j group by all union all select well, ch, gt, pred, null, count(*) from j group by all", "pixels")
 _areas = "select img * 1000 + label label, count(*) area from {t} where label > 0 group by all"
