@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 #: Bytes of text that a task tokenises at a time; a longer text stands alone.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Rows of a batch that a task sends on.
+SENT = 1 << 16
 #: Bits of a symbol of the trie at most; a word is one or more symbols.
 SYMBOL = 8
 _ROUNDS, _CROWD = 64, 5
@@ -63,9 +65,11 @@ def _chunks(batches):
             lo = hi
 
 
-def _rows(level: int, lang: pa.Array, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+def _rows(level: int, lang: pa.Array, phrase: pa.Array, n: np.ndarray):
     columns = [pa.array(np.full(len(n), level, dtype=np.int32)), lang.cast(pa.string()), phrase.cast(pa.string()), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=["level", "lang", "phrase", "n"])
+    rows = pa.RecordBatch.from_arrays(columns, names=["level", "lang", "phrase", "n"])
+    for lo in range(0, rows.num_rows, SENT):
+        yield rows.slice(lo, SENT)
 
 
 def _count_words(batches):
@@ -75,9 +79,9 @@ def _count_words(batches):
         of = lang.indices.to_numpy(zero_copy_only=False)[w.text]
         forms = max(len(w.forms), 1)
         key, n = np.unique(of.astype(np.int64) * forms + w.code, return_counts=True)
-        yield _rows(1, lang.dictionary.take(pa.array(key // forms)), w.forms.take(pa.array(key % forms)), n)
+        yield from _rows(1, lang.dictionary.take(pa.array(key // forms)), w.forms.take(pa.array(key % forms)), n)
         total = np.bincount(of, minlength=len(lang.dictionary))
-        yield _rows(0, lang.dictionary, pa.array([""] * len(total)), total)
+        yield from _rows(0, lang.dictionary, pa.array([""] * len(total)), total)
 
 
 class Trie:
@@ -201,7 +205,7 @@ def _pass(shared, extend: bool):
             hit, root = t.walk(w, langs.to_pylist())
             n = np.bincount(hit[hit >= 0], minlength=len(t.phrases))
             seen = np.flatnonzero(n)
-            yield _rows(k, t.langs.take(pa.array(seen)), t.phrases.take(pa.array(seen)), n[seen])
+            yield from _rows(k, t.langs.take(pa.array(seen)), t.phrases.take(pa.array(seen)), n[seen])
             if not extend:
                 continue
             at = np.flatnonzero(hit[: max(len(hit) - k, 0)] >= 0)
@@ -211,7 +215,7 @@ def _pass(shared, extend: bool):
             key, n = np.unique(hit[at] * forms + w.code[at + k], return_counts=True)
             head = pa.array(key // forms)
             phrase = pc.binary_join_element_wise(t.phrases.take(head), w.forms.take(pa.array(key % forms)), " ")
-            yield _rows(k + 1, t.langs.take(head), phrase, n)
+            yield from _rows(k + 1, t.langs.take(head), phrase, n)
 
     return run
 
