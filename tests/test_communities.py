@@ -130,3 +130,27 @@ def test_enrichment_has_all_pairs_and_the_z_of_numpy(spark):
     for r in nested:
         n, score = z([x for x in edges if x[2] <= r["k"]])[r["src_group"], r["dst_group"]]
         assert (r["n"], r["z"]) == (n, pytest.approx(score) if score is not None else None)
+
+
+def test_well_features_are_complete_and_zero_filled(spark):
+    from wellspring.operators import joins
+    from wellspring.operators.spatial_features import well_features
+
+    rng = random.Random(6)
+    rows = [("p", w, f"{w}{i}", i % 2, rng.random() * 60, rng.random() * 60, rng.random() * 60, rng.random()) for w in "AB" for i in range(30)]
+    rows += [("p", "far", f"f{i}", i % 2, 1000.0 * i, 0.0, 0.0, 1.0) for i in range(3)] + [("p", "single", f"s{i}", 0, float(i), 0.0, 0.0, 1.0) for i in range(3)]
+    nodes = spark.createDataFrame(rows, "plate_id string, well_id string, label string, leiden int, x double, y double, z double, f double")
+    edges = joins.radius_neighbors(nodes, 30.0)
+    got = {}
+    for r in well_features(nodes, edges, (15, 30), ("f",), "m", 30.0, 1, n_perms=20).collect():
+        got.setdefault(r["well_id"], {})[r["feature"]] = r["value"]
+    assert set(got) == {"A", "B", "far"} and len({frozenset(v) for v in got.values()}) == 1
+    assert got["A"]["cell_count"] == 30 and got["A"]["m_0"] == 15
+    e = edges.where("well_id = 'A' and dist <= 15").collect()
+    kind = {r[2]: r[3] for r in rows}
+    assert got["A"]["m_stat_interaction_0_1_15"] == sum(kind[x["src"]] == 0 and kind[x["dst"]] == 1 for x in e)
+    assert got["A"]["m_stat_mean_degree_30"] == pytest.approx(edges.where("well_id = 'A'").count() / 30)
+    assert got["A"]["m_stat_hull_volume"] > 0 and got["far"]["m_stat_hull_volume"] == 0
+    kinds = ("interaction_0_1", "enrichment_0_0", "mean_degree_1", "std_degree", "centrality_0", "closeness_1", "clustering_0", "morans_i_f", "morans_i_1")
+    assert all(f"m_stat_{k}_{r}" in got["A"] for k in kinds for r in (15, 30))
+    assert {v for k, v in got["far"].items() if k not in ("cell_count", "m_0", "m_1")} == {0.0}

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import embedding as E
 from ..operators import benchmark as B
-from ..operators import communities, graph, joins, mixing, spatial
+from ..operators import communities, graph, mixing
+from ..operators.spatial_features import well_features
 from ..session import durable
 from ..sources.fixtures import nuclei, pixels, table, wells
 from .registry import add
+from .spatial import stored_edges
 from .tables import FS, W
 
 KL = ["plate_id", "well_id"]
@@ -32,23 +34,7 @@ add("p10_shard_sample", lambda s, d: pixels(s, d).select("img", "ch").distinct()
 add("p13_correction_plan", lambda s, d: pixels(s, d).select("well", "ch").distinct().select("well", "ch", F.when(F.col("ch") == 0, "additive").otherwise("multiplicative").alias("mode"), (F.col("well") % 2 == 0).alias("median_filter")), "select distinct well, ch, case when ch = 0 then 'additive' else 'multiplicative' end mode, well % 2 = 0 median_filter from pixels", "pixels")
 
 
-def _spatial_features(s, d):
-    """Long table (plate_id, well_id, feature, value) of all statistics at two radii; missing is 0 after a pivot."""
-    n, parts = nuclei(s, d), []
-    edges = joins.radius_neighbors(n, 25.0)
-    for r in (15, 25):
-        e = edges.where(F.col("dist") <= r)
-        parts.append(spatial.interaction_matrix(e, n).select(*KL, F.concat_ws("_", F.lit("interaction"), "src_group", "dst_group", F.lit(r)).alias("feature"), F.col("n").cast("double").alias("value")))
-        parts.append(spatial.degree_stats(n, e, "leiden").select(*KL, F.concat_ws("_", F.lit("mean_degree"), "leiden", F.lit(r)).alias("feature"), F.col("mean_degree").alias("value")))
-        parts.append(spatial.morans_i(n, e, "f1").select(*KL, F.lit(f"morans_i_f1_{r}").alias("feature"), F.col("moran_i").alias("value")))
-    parts.append(A.cluster_counts(n, KL, "leiden").select(*KL, F.concat_ws("_", F.lit("count"), "leiden").alias("feature"), F.col("n").cast("double").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-add("g15_spatial_features", _spatial_features, doubles="value")
+add("g15_spatial_features", lambda s, d: well_features(nuclei(s, d), stored_edges(s, d), (15, 25), ("f1",), hull_radius=25.0, hull_degree=1), doubles="value", digits=4)
 
 
 def neighbor_graph(s, d, column="embedding", k=8):
