@@ -9,13 +9,14 @@ extracted again along its host's winning path.
 import html as entities
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from . import common
 
 #: HTML's elements by what they mean here.
-RAW = "script style noscript template iframe object svg math canvas textarea select option button audio video head title".split()
+RAW = "script style noscript template iframe object svg canvas textarea select option button audio video head title".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 BLOCK = (
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre blockquote "
@@ -30,8 +31,15 @@ NOISE = (
     "footer comment comments commentlist disqus respond replies share sharing social related recommended recommendations pagination pager toolbar "
     "search login copyright contentinfo complementary hidden dialog outbrain taboola skip skiplink"
 ).split()
+#: Words that stand beside those in names of the same things.
+FILLERS = (
+    "area bar block body bottom box btn button buttons col column container content desktop div footer form global group head header home icon icons inner item "
+    "items layout left link links list local lower main mobile module nav outer page pane panel post posts primary right row secondary section site slot small "
+    "sticky stories tab tabs title top unit upper wrap wrapper"
+).split()
 ARTICLE_WORDS = "article content entry main post story text".split()
 _raw, _void, _block, _container, _dropped, _noise, _good = map(frozenset, (RAW, VOID, BLOCK, CONTAINER, DROPPED, NOISE, ARTICLE_WORDS))
+_beside = _noise | frozenset(FILLERS)
 
 _token = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S
@@ -40,6 +48,20 @@ _attribute = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 _parts = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+def names_noise(names: str, inside: bool) -> bool:
+    """Whether a class, id or role names what is no main text.
+
+    Outside an article any noise word in a name tells. Inside one a name must
+    consist of such words, with fillers at most beside them: share-buttons is
+    noise there, share-price is not.
+    """
+    for name in names.split():
+        words = {w.lower() for w in _parts.findall(name) if not w.isdigit()}
+        if not words.isdisjoint(_noise) and (not inside or words <= _beside):
+            return True
+    return False
+
+
 class Element:
     """An open or closed container with what was gathered below it."""
 
@@ -56,7 +78,7 @@ def _open(tag: str, attributes: str, parent: Element, at: int) -> Element:
     names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
     words = {w.lower() for w in _parts.findall(names)}
     inside = parent.inside or tag in ("article", "main")
-    noise = parent.noise or tag in _dropped or not words.isdisjoint(_noise) and tag not in ("html", "body", "main", "article")
+    noise = parent.noise or tag in _dropped or tag not in ("html", "body", "main", "article") and names_noise(names, parent.inside)
     noise = noise or not inside and (tag == "header" or "header" in words and tag not in ("html", "body"))
     flat = a.get("style", "").replace(" ", "").lower()
     noise = noise or a.get("aria-hidden") == "true" or "display:none" in flat or bool(re.search(r"(?:^|\s)hidden(?=\s|=|/|$)", attributes))
@@ -160,14 +182,19 @@ def ballots(containers: list[Element], votes: int = 3) -> list[tuple[str, float]
     return [(p, s / best[0][1]) for p, s in best]
 
 
-def extract(html: str, path: str | None) -> tuple[str, str | None]:
-    """Main text along path, and the path used: the page's own best one if it has no text there.
+def extract(html: str, paths: list[str] | None = None) -> tuple[str, str | None]:
+    """Main text along one of paths, and the path used.
 
-    A page without any container gives all its blocks that are no noise.
+    Of several paths with text the page takes that on which its own containers
+    score best, ties to the one named first; without any, its own best path. A
+    page without any container gives all its blocks that are no noise.
     """
     blocks, containers = parse(html)
-    own = ballots(containers, 1)
-    for p in ([path] if path else []) + [x for x, _ in own]:
+    score: dict[str, float] = {}
+    for e in containers:
+        score[e.path] = score.get(e.path, 0.0) + max(container_score(e), 0.0)
+    agreed = sorted((p for p in paths or () if p in score), key=lambda p: -score[p])
+    for p in agreed + [x for x, _ in ballots(containers, 1)]:
         kept, last = [], 0
         for e in containers:
             if e.path == p and not e.noise:
@@ -184,8 +211,13 @@ def host_of(url) -> "F.Column":
     return F.coalesce(found, F.lit(""))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, path, weight) of the winning path of each host; ties go to the longer, then the smaller path."""
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = 0.05) -> DataFrame:
+    """(host, path, weight, place) of the winning paths of each host; ties go to the longer, then the smaller path.
+
+    A path wins with a share of least of its host's votes, so a host of several
+    templates has several, but no more than 1 / least; where votes are spread
+    thinner the heaviest wins. Pages without a host do not vote.
+    """
     src = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("text"))
 
     def run(rows):
@@ -196,27 +228,32 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
                     out[k].append(v)
         return out
 
-    cast = common.map_text_chunks(src, run, "host string, path string, weight double", "text")
-    sums = cast.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"))
-    best = sums.groupBy("host").agg(F.max(F.struct("weight", F.length("path").alias("n"), F.col("path").alias("p"))).alias("b"))
-    return best.select("host", F.col("b.p").alias("path"), F.col("b.weight").alias("weight"))
+    cast = common.map_text_chunks(src.where("host <> ''"), run, "host string, path string, weight double", "text")
+    sums = durable(cast.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight")))
+    total = sums.groupBy("host").agg(F.sum("weight").alias("all"), F.max("weight").alias("most"))
+    agreed = sums.join(total, "host").where((F.col("weight") >= least * F.col("all")) | (F.col("weight") == F.col("most")))
+    order = Window.partitionBy("host").orderBy(F.desc("weight"), F.desc(F.length("path")), "path")
+    ranked = agreed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 1 / least)
+    return ranked.select("host", "path", "weight", "place")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, path) of every page; text is empty where there is none.
 
-    Null html counts as empty; pages with a null or odd URL vote together as
-    the empty host. Votes are added up before they move, and the join with the
-    winners brings one short row for each host, so a host with a third of all pages
-    costs no more than others.
+    Null html counts as empty; a page with a null or odd URL follows its own best
+    path; long pages are taken whole; repeated rows count each; an empty table
+    gives no rows; other columns are not read. Votes are added up before they
+    move, and the join with the winners brings one short row for each host, so a
+    host with a third of all pages costs no more than others.
     """
-    winners = host_paths(pages, url_col, html_col).select("host", "path")
+    winners = host_paths(pages, url_col, html_col).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "path"))).alias("w"))
+    winners = winners.select("host", F.transform("w", lambda x: x["path"]).alias("paths"))
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("text"), host_of(F.col(url_col)).alias("host"))
-    src = src.join(winners, "host", "left").select("id", "url", "text", "path")
+    src = src.join(winners, "host", "left").select("id", "url", "text", "paths")
     kind = src.schema["id"].dataType.simpleString()
 
     def run(rows):
-        found = [extract(h, p) if h else ("", None) for h, p in zip(rows["text"], rows["path"])]
+        found = [extract(h, p) if h else ("", None) for h, p in zip(rows["text"], rows["paths"])]
         return {"id": rows["id"], "url": rows["url"], "main": [t for t, _ in found], "path": [p for _, p in found]}
 
     out = common.map_text_chunks(src, run, f"id {kind}, url string, main string, path string", "text")
