@@ -129,12 +129,15 @@ def top_products(
     Candidates are all usable rows but those with the query's own id; ties go
     to the smaller id; fewer than k candidates are all returned. Vectors of
     different widths meet as if padded with zeros. Repeated rows count each.
-    Blocks of queries meet buckets of candidates as packed matrices; the driver
-    gets one length for each bucket.
+    Blocks of queries meet buckets of candidates as packed matrices. The bucket
+    of the longest vectors is broadcast (bucket_rows vectors) and sets each
+    query's threshold; as buckets are in order of length, those that a block can
+    still profit from are the first few, and only these meet it. The driver gets
+    one length for each bucket.
     """
     base = durable(scale_vectors(df, id_col, vector_col))
     n = base.count()
-    parts = max(1, -(-n // bucket_rows))
+    parts = max(1, -(-n // (bucket_rows * 4)))
     by_length = base.repartitionByRange(parts, F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id")
     buckets = durable(_pack(by_length, bucket_rows), blobs=True)
     query = base.where(F.pmod("id", F.lit(query_step)) == 0)
@@ -142,41 +145,45 @@ def top_products(
     blocks = durable(blocks.select(F.struct("part", "chunk").alias("block"), F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.col("width").alias("q_width"), F.col("longest").alias("q_longest")), blobs=True)
     spark = df.sparkSession
     heads = sorted((-r["longest"], r["part"], r["chunk"]) for r in buckets.select("part", "chunk", "longest").collect())
-    order = [(p, c, i, -length) for i, (length, p, c) in enumerate(heads)]
-    order = spark.createDataFrame(order, "part int, chunk int, place int, longest double")
+    if not heads:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    order = spark.createDataFrame([(p, c, i) for i, (_, p, c) in enumerate(heads)], "part int, chunk int, place int")
+    _, part, chunk = heads[0]
+    top = buckets.where((F.col("part") == part) & (F.col("chunk") == chunk)).select("ids", "data", "width").first()
+    opening = spark.sparkContext.broadcast((bytes(top["ids"]), bytes(top["data"]), top["width"], np.array([-length for length, _, _ in heads])))
     buckets = buckets.drop("longest").join(order, ["part", "chunk"]).select("place", "ids", "data", "width")
 
-    def search(first):
-        def run(batches):
-            for b in batches:
-                for r in b.to_pylist():
-                    q_ids, x_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                    pad = max(r["q_width"], r["width"])
-                    q, x = _matrix(r["q"], r["q_width"], len(q_ids), pad), _matrix(r["data"], r["width"], len(x_ids), pad)
-                    theta = np.full(len(q_ids), -np.inf) if first else np.frombuffer(r["theta"], "<f8")
-                    found = search_bucket(q_ids, q, theta, x_ids, x, k)
-                    if first:
-                        theta = np.array([float(s[-1]) if len(s) == k else -np.inf for _, s in found])
-                        yield pa.RecordBatch.from_arrays([pa.array([r["block"]], b.schema.field("block").type), pa.array([theta.astype("<f8").tobytes()], pa.binary()), pa.array([theta.min()], pa.float64())], names=["block", "theta", "lowest"])
-                    else:
-                        sizes = [len(i) for i, _ in found]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.repeat(q_ids, sizes), pa.int64()), pa.array(np.concatenate([i for i, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, s in found]), pa.int64())],
-                            names=["query_id", "vec_id", "score"],
-                        )
-
-        return run
-
-    theta_schema = "block struct<part:int,chunk:int>, theta binary, lowest double"
-    one = blocks.withColumn("place", F.lit(0)).join(buckets, "place")
-    theta = durable(one.mapInArrow(search(True), theta_schema))
-    blocks = blocks.join(theta, "block")
-    places = F.sequence(F.lit(0), F.lit(max(len(heads) - 1, 0)))
-    pairs = blocks.select("block", "q_longest", "lowest", F.explode(places).alias("place"))
-    reach = F.col("longest") * F.col("q_longest") * (1 + 1e-9)
-    pairs = pairs.join(order.select("place", "longest"), "place").where((F.col("lowest") <= 0) | (reach >= F.col("lowest")))
-    pairs = pairs.select("block", "place").join(blocks.drop("q_longest", "lowest"), "block").join(buckets, "place")
-    found = pairs.mapInArrow(search(False), _FOUND)
+    def sides(r):
+        q_ids, x_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
+        pad = max(r["q_width"], r["width"])
+        return q_ids, _matrix(r["q"], r["q_width"], len(q_ids), pad), x_ids, _matrix(r["data"], r["width"], len(x_ids), pad)
+
+    def begin(batches):
+        """Thresholds from the bucket of the longest vectors, and how many buckets by length a block then has to meet."""
+        ids, data, width, lengths = opening.value
+        for b in batches:
+            for r in b.to_pylist():
+                q_ids, q, x_ids, x = sides(r | {"ids": ids, "data": data, "width": width})
+                found = search_bucket(q_ids, q, np.full(len(q_ids), -np.inf), x_ids, x, k)
+                theta = np.array([float(s[-1]) if len(s) == k else -np.inf for _, s in found])
+                reach = np.count_nonzero(lengths * r["q_longest"] * (1 + 1e-9) >= theta.min()) if theta.min() > 0 else len(lengths)
+                yield pa.RecordBatch.from_arrays([pa.array([r["block"]], b.schema.field("block").type), pa.array([theta.astype("<f8").tobytes()], pa.binary()), pa.array([reach], pa.int32())], names=["block", "theta", "reach"])
+
+    def search(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                q_ids, q, x_ids, x = sides(r)
+                found = search_bucket(q_ids, q, np.frombuffer(r["theta"], "<f8"), x_ids, x, k)
+                sizes = [len(i) for i, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(q_ids, sizes), pa.int64()), pa.array(np.concatenate([i for i, _ in found]), pa.int64()), pa.array(np.concatenate([s for _, s in found]), pa.int64())],
+                    names=["query_id", "vec_id", "score"],
+                )
+
+    theta = durable(blocks.mapInArrow(begin, "block struct<part:int,chunk:int>, theta binary, reach int"), blobs=True)
+    pairs = theta.where("reach > 0").select("block", F.explode(F.sequence(F.lit(0), F.col("reach") - 1)).alias("place"))
+    pairs = pairs.join(blocks.join(theta.drop("reach"), "block"), "block").join(buckets, "place")
+    found = pairs.mapInArrow(search, _FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
