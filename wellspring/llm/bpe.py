@@ -7,6 +7,7 @@ neighbour on either side), each by one climb of log2(length) nodes.
 """
 
 import base64
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from . import common
 
 _NONE = np.int64(1) << 62
 _ROWS = 4096
+#: Pieces of 2^LONG bytes or more are merged one by one where a batch holds FEW of a size.
+LONG, FEW = 9, 16
 
 
 class Ranks:
@@ -41,6 +44,10 @@ class Ranks:
         self.pair_keys = np.append(np.array(keys, dtype=np.int64)[order], _NONE)
         self.pair_ranks = np.append(np.array(ranks, dtype=np.int64)[order], _NONE)
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys[:-1].tolist(), self.pair_ranks[:-1].tolist()))
+
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair; _NONE where no token is their concatenation."""
         key = a << 32 | b
@@ -113,6 +120,51 @@ def _merge_rows(pieces: list[bytes], ranks: Ranks) -> list[np.ndarray]:
     return np.split(tok[alive], np.cumsum(counts)[:-1])
 
 
+def _merge_long(piece: bytes, ranks: Ranks) -> np.ndarray:
+    """Merge one long piece by the same tree, node by node; a climb ends where a node keeps its minimum."""
+    n = len(piece)
+    leaves = 1 << max(1, (n - 1).bit_length())
+    bits = leaves.bit_length()
+    mask, none = (1 << bits) - 1, int(_NONE)
+    first = ranks.single[np.frombuffer(piece, dtype=np.uint8)]
+    rank = ranks.pair(first[:-1], first[1:])
+    level = np.full(leaves, _NONE, dtype=np.int64)
+    level[: n - 1] = np.where(rank < _NONE, rank << bits | np.arange(n - 1), _NONE)
+    levels = [level]
+    while len(levels[-1]) > 1:
+        levels.append(np.minimum(levels[-1][0::2], levels[-1][1::2]))
+    tree = [none, *np.concatenate(levels[::-1]).tolist()]
+    tok, nxt, prv, pair = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1)), ranks.pairs.get
+    alive = bytearray(b"\x01") * n
+
+    def put(pos, value):
+        node = leaves + pos
+        tree[node] = value
+        node >>= 1
+        while node:
+            least = min(tree[2 * node], tree[2 * node + 1])
+            if tree[node] == least:
+                break
+            tree[node] = least
+            node >>= 1
+
+    while tree[1] < none:
+        pos, merged = tree[1] & mask, tree[1] >> bits
+        right, before = nxt[pos], prv[pos]
+        after = nxt[right]
+        tok[pos], alive[right], nxt[pos] = merged, 0, after
+        put(right, none)
+        new = none
+        if after < n:
+            prv[after] = pos
+            new = pair(merged << 32 | tok[after], none)
+        put(pos, new << bits | pos if new < none else none)
+        if before >= 0:
+            new = pair(tok[before] << 32 | merged, none)
+            put(before, new << bits | before if new < none else none)
+    return np.array(tok, dtype=np.int64)[np.frombuffer(bytes(alive), dtype=np.uint8) == 1]
+
+
 def encode_pieces(pieces: list[bytes], ranks: Ranks) -> list[np.ndarray]:
     """Ids of each piece; a piece that is a token is that token. The empty piece has none."""
     out: list = [None] * len(pieces)
@@ -123,6 +175,10 @@ def encode_pieces(pieces: list[bytes], ranks: Ranks) -> list[np.ndarray]:
         else:
             by_size.setdefault((len(p) - 1).bit_length(), []).append(i)
     for size, at in by_size.items():
+        if size >= LONG and len(at) <= FEW:  # merges of so few rows in lockstep cost more than they share
+            for i in at:
+                out[i] = _merge_long(pieces[i], ranks)
+            continue
         step = max(1, min(_ROWS, (1 << 18) >> size))
         for k in range(0, len(at), step):
             part = at[k : k + step]
