@@ -75,3 +75,21 @@ def test_louvain_parts_two_cliques_and_resolution_splits_them(spark):
     assert len(fine) > 2
     whole = B.community_silhouette(spark.createDataFrame([(n, [float(c), float(n % 2) / 9]) for n, c in part.items()], "id long, v array<double>"), "id", "v", edges, (1.0,))
     assert whole.first()[0] > 0.9
+
+
+def test_samples_are_scored_alone_and_small_ones_have_nulls(spark):
+    import random
+
+    from wellspring.operators import embedding as E
+
+    rng = random.Random(3)
+    rows = [(i, i % 2 if i < 80 else 5, [rng.random() for _ in range(2)], [rng.random() + (i % 3) for _ in range(3)], i % 3, i // 40) for i in range(82)]
+    df = spark.createDataFrame(rows, "id long, s int, pos array<double>, lat array<double>, label int, batch int")
+    got = {(r["sample"], r["metric"]): r["value"] for r in B.benchmark_samples(df, "s", "id", "pos", "lat", "label", "batch", 5, 30, 3.0).collect()}
+    assert len(got) == 3 * 8 and all(got["5", m] is None for m in ("gcs", "avg_gcs", "basw"))
+    one = df.where("s = 1")
+    near = {c: E.vector_knn(one, one, 5, "id", c) for c in ("pos", "lat")}
+    gcs = {r["k"]: r["gcs"] for r in B.graph_similarities(near["lat"], near["pos"], 5, 40).collect()}
+    assert got["1", "gcs"] == pytest.approx(gcs[5]) and got["1", "avg_gcs"] == pytest.approx(sum(gcs.values()) / 5)
+    assert got["1", "casw"] == pytest.approx(B.label_silhouette(one, "id", "lat", "label").first()[0])
+    assert 0 < got["1", "avg_cas"] <= 1 and got["0", "clisi"] is not None

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import durable
-from .embedding import clustering_agreement
+from .embedding import clustering_agreement, vector_knn
 from .communities import communities_at
+from .mixing import lisi
+from .spatial import nhood_enrichment
 
 
 def graph_similarities(a: DataFrame, b: DataFrame, max_k: int, n: int) -> DataFrame:
@@ -160,6 +162,49 @@ def kmeans_agreement(df: DataFrame, vector: str, label: str, k: int, seed: int =
     return clustering_agreement(KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(v).transform(v).select("label", "cluster"), "cluster", "label")
 
 
+def benchmark_samples(df: DataFrame, sample: str, id_col: str, position: str, latent: str, label: str, batch: str, max_k: int = 14, n_perms: int = 200, perplexity: float = 10.0) -> DataFrame:
+    """(sample, metric, value) for every sample and metric; null where a sample is too small or uniform for it.
+
+    Each sample is scored by itself, all in the same jobs: one stored table of
+    neighbours by sample for the latent vectors and one for positions, of which
+    metrics take the ranks that they need. Samples are given as text.
+    """
+    rows = durable(df.select(F.col(sample).cast("string").alias("sample"), F.col(id_col).cast("long").alias("id"), F.col(position).alias("pos"), F.col(latent).alias("latent"), F.col(label).alias("label"), F.col(batch).alias("batch")).where("sample is not null"))
+    near = {c: durable(vector_knn(rows, rows, 3 * int(perplexity), "id", c, group="sample")) for c in ("pos", "latent")}
+    size = rows.groupBy("sample").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"), F.count_distinct("batch").alias("batches"))
+    a, b = (near[c].where(F.col("rank") <= max_k).select("sample", "src", "dst", F.col("rank").alias(f"r_{c}")) for c in ("latent", "pos"))
+    far = F.lit(max_k + 1)
+    j = a.join(b, ["sample", "src", "dst"], "full_outer").select("sample", F.coalesce("r_latent", far).alias("ra"), F.coalesce("r_pos", far).alias("rb"))
+    one = j.groupBy("sample", "ra", "rb").agg(F.count("*").alias("m")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max_k))))
+    differ = F.when((F.col("ra") <= F.col("k")) != (F.col("rb") <= F.col("k")), F.col("m")).otherwise(0)
+    gcs = one.groupBy("sample", "k").agg(F.sum(differ).alias("d")).join(size.where(F.col("n") > max_k), "sample").select("sample", "k", (1 - F.col("d") / (2.0 * F.col("k") * F.col("n"))).alias("g"))
+    z = {c: nhood_enrichment(rows, near[c].where(F.col("rank") <= max_k), "label", n_perms, key=("sample",), id_col="id", nested=max_k) for c in near}
+    pair = ["sample", "k", "src_group", "dst_group"]
+    both = z["latent"].select(*pair, F.col("z").alias("a")).join(z["pos"].select(*pair, F.col("z").alias("b")), pair).where("a is not null and b is not null")
+    both = both.groupBy("sample", "k").agg(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("d"), F.count("*").alias("m"))
+    cas = durable(both.select("sample", "k", (1 - F.atan(F.col("d") / F.col("m")) / (math.pi / 2)).alias("c")))
+    own = silhouettes(rows, "id", "latent", "label", ("sample",)).groupBy("sample").agg(((F.avg("silhouette") + 1) / 2).alias("v"))
+    mixed = silhouettes(rows, "id", "latent", "batch", ("sample", "label"))
+    mixed = mixed.groupBy("sample", "label").agg(F.avg(1 - F.abs("silhouette")).alias("m"), F.count_distinct("batch").alias("b")).where("b > 1").groupBy("sample").agg(F.avg("m").alias("v"))
+
+    def rescaled(column, count, integration):
+        x = lisi(near["latent"], rows, "id", column, perplexity).join(rows.select("id", "sample"), "id").groupBy("sample").agg(F.expr("percentile(lisi, 0.5)").alias("m"))
+        x, m, n = x.join(size, "sample"), F.col("m"), F.col(count)
+        return x.select("sample", F.when(n > 1, (m - 1) / (n - 1) if integration else (n - m) / (n - 1)).alias("v"))
+
+    parts = {
+        "gcs": gcs.where(F.col("k") == max_k).select("sample", F.col("g").alias("v")), "avg_gcs": gcs.groupBy("sample").agg(F.avg("g").alias("v")),
+        "cas": cas.where(F.col("k") == max_k).select("sample", F.col("c").alias("v")), "avg_cas": cas.groupBy("sample").agg(F.avg("c").alias("v")),
+        "casw": own.join(size.where("labels > 1").select("sample"), "sample", "left_semi"), "basw": mixed, "clisi": rescaled("label", "labels", False), "blisi": rescaled("batch", "batches", True),
+    }
+    found = None
+    for name, part in parts.items():
+        part = part.select("sample", F.lit(name).alias("metric"), F.col("v").cast("double").alias("value"))
+        found = part if found is None else found.unionByName(part)
+    grid = size.select("sample", F.explode(F.array(*map(F.lit, parts))).alias("metric"))
+    return grid.join(found, ["sample", "metric"], "left")
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _fuzzy_weights(dist: pd.Series) -> pd.Series:
     """Weights exp(-(d - rho) / sigma) of sorted distances, sigma such that they sum to log2 of their number."""

@@ -8,23 +8,23 @@ from pyspark.sql import functions as F
 from ..session import durable
 
 
-_BLOCK = "block int, ids binary, data binary, width int"
+_BLOCK = "grp string, block int, ids binary, data binary"
 
 
-def _packed(df: DataFrame, id_col: str, vector_col: str, block_rows: int) -> tuple[DataFrame, int]:
-    """Rows as blocks of about block_rows (ids and one matrix each), and the number of blocks."""
-    df = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    blocks = max(1, -(-df.count() // block_rows))
-    df = df.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+def _packed(df: DataFrame, id_col: str, vector_col: str, block_rows: int, group: str | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of each group as blocks of about block_rows (ids and one matrix each), and (grp, blocks)."""
+    grp = F.col(group).cast("string") if group else F.lit("")
+    df = df.where(F.col(vector_col).isNotNull() & grp.isNotNull()).select(grp.alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    sizes = df.groupBy("grp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    df = df.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def pack(key, table):
-        v = table.column("v").combine_chunks()
-        x = v.flatten().to_numpy(zero_copy_only=False)
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         ids = table.column("id").to_numpy().astype("<i8")
-        row = [[key[0].as_py()], [ids.tobytes()], [x.astype("<f8").tobytes()], [len(x) // max(len(ids), 1)]]
-        return pa.table([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int32()))], names=["block", "ids", "data", "width"])
+        row = [[key[0].as_py()], [key[1].as_py()], [ids.tobytes()], [x.astype("<f8").tobytes()]]
+        return pa.table([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int32(), pa.binary(), pa.binary()))], names=["grp", "block", "ids", "data"])
 
-    return df.groupBy("block").applyInArrow(pack, _BLOCK), blocks
+    return df.select("grp", "block", "id", "v").groupBy("grp", "block").applyInArrow(pack, _BLOCK), sizes
 
 
 def nearest_in_block(q_ids, q, r_ids, r, k: int, exclude_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,29 +51,46 @@ def nearest_in_block(q_ids, q, r_ids, r, k: int, exclude_self: bool) -> tuple[np
     return row[keep], col[keep], d[keep]
 
 
-def vector_knn(queries: DataFrame, reference: DataFrame, k: int, id_col: str, vector_col: str, block_rows: int = 2048, exclude_self: bool = True) -> DataFrame:
+def vector_knn(
+    queries: DataFrame, reference: DataFrame, k: int, id_col: str, vector_col: str, block_rows: int = 2048, exclude_self: bool = True, group: str | None = None
+) -> DataFrame:
     """Exact k nearest reference rows of each query by Euclid: (src, dst, dist, rank); ties go to the smaller dst.
 
-    Both sides travel as packed matrices. Every pair of blocks is one product
-    and gives at most k rows for a query. Rows with a null vector take no part;
-    vectors of a call have one width.
+    With group, rows look among those of their own group only, which becomes the
+    first column as text. Both sides travel as packed matrices. Every pair of
+    blocks is one product and gives at most k rows for a query. Rows with a
+    null vector or group take no part; vectors of a call have one width.
     """
-    q, _ = _packed(queries, id_col, vector_col, block_rows)
-    r, n_blocks = _packed(reference, id_col, vector_col, block_rows)
-    q = q.select(F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    q, _ = _packed(queries, id_col, vector_col, block_rows, group)
+    r, sizes = _packed(reference, id_col, vector_col, block_rows, group)
+    q = q.join(sizes, "grp").select("grp", F.col("ids").alias("q_ids"), F.col("data").alias("q"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                part = {n: b.column(n)[i].as_py() for n in ("q_ids", "q", "ids", "data")}
+                part = {n: b.column(n)[i].as_py() for n in ("grp", "q_ids", "q", "ids", "data")}
                 q_ids, r_ids = np.frombuffer(part["q_ids"], "<i8"), np.frombuffer(part["ids"], "<i8")
                 x, y = np.frombuffer(part["q"], "<f8").reshape(len(q_ids), -1), np.frombuffer(part["data"], "<f8").reshape(len(r_ids), -1)
                 for lo in range(0, len(q_ids), 512):
                     row, col, d = nearest_in_block(q_ids[lo : lo + 512], x[lo : lo + 512], r_ids, y, k, exclude_self)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo : lo + 512][row]), pa.array(r_ids[col]), pa.array(d)], names=["src", "dst", "dist"])
+                    names = pa.array([part["grp"]] * len(d), pa.string())
+                    yield pa.RecordBatch.from_arrays([names, pa.array(q_ids[lo : lo + 512][row]), pa.array(r_ids[col]), pa.array(d)], names=["grp", "src", "dst", "dist"])
 
-    found = q.join(r, "block").mapInArrow(run, "src long, dst long, dist double")
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+    found = q.join(r, ["grp", "block"]).mapInArrow(run, "grp string, src long, dst long, dist double")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "src").orderBy("dist", "dst"))).where(F.col("rank") <= k)
+    return best.withColumnRenamed("grp", group) if group else best.drop("grp")
+
+
+def batch_knn(df: DataFrame, k: int, id_col: str, vector_col: str, batch: str) -> DataFrame:
+    """The k nearest rows of each batch for every row: (src, dst, dist, rank, batch); batches are few and searched one by one.
+
+    A null batch is a batch of its own.
+    """
+    out = None
+    for value in [r[0] for r in df.select(batch).distinct().orderBy(batch).collect()]:
+        near = vector_knn(df, df.where(F.col(batch).eqNullSafe(F.lit(value))), k, id_col, vector_col).withColumn("batch", F.lit(value))
+        out = near if out is None else out.unionByName(near)
+    return out if out is not None else vector_knn(df, df, k, id_col, vector_col).withColumn("batch", F.lit(None))
 
 
 def gram(df: DataFrame, vector_col: str) -> tuple[int, np.ndarray, np.ndarray]:

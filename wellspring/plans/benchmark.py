@@ -82,21 +82,7 @@ add("m15_pcr", lambda s, d: B.pc_regression(vectors(s, d), "pos", "latent", "bat
     f"with {V} select greatest((a.r - b.r) / a.r, 0) pcr from {_ve.format(c='pos')} a, {_ve.format(c='latent')} b", "", "pcr", 5)
 
 
-def _benchmark(s, d):
-    """(metric, value) of one sample; each metric is a job of its own."""
-    parts = [
-        ("gcs", _gcs_table(s, d).where("k = 14").select("gcs")), ("avg_gcs", _gcs_table(s, d).agg(F.avg("gcs"))),
-        ("casw", B.label_silhouette(vectors(s, d), "vec_id", "latent", "label")), ("basw", B.batch_silhouette(vectors(s, d), "vec_id", "latent", "label", "batch")),
-        ("clisi", _lisi(s, d, "label", False)), ("blisi", _lisi(s, d, "batch", True)), ("pcr", B.pc_regression(vectors(s, d), "pos", "latent", "batch")),
-    ]
-    out = None
-    for name, df in parts:
-        row = df.toDF("value").select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
-add("m16_benchmark_samples", _benchmark, doubles="value", digits=4)
+add("m16_benchmark_samples", lambda s, d: B.benchmark_samples(vectors(s, d).withColumn("sample", F.col("vec_id") % 4), "sample", "vec_id", "pos", "latent", "label", "batch"), doubles="value", digits=4)
 add("e9_fuzzy_connectivities", lambda s, d: B.fuzzy_connectivities(_knn(s, d, "latent", 15)), doubles="weight", digits=5)
 
 # Correlation of latent dimensions with a feature, and with an orientation

@@ -86,7 +86,7 @@ add("e16_kmeans", W(lambda w: (lambda v: KMeans(k=3, seed=1, featuresCol="v").fi
 add("e18_one_hot", W(lambda w: (lambda i: OneHotEncoder(inputCols=["i"], outputCols=["o"], dropLast=False).fit(i).transform(i).select("well_id", vector_to_array("o").alias("one_hot")))(StringIndexer(inputCol="plate_id", outputCol="i", stringOrderType="alphabetAsc").fit(w).transform(w))), "select well_id, [(plate_id = 'F')::int::double, (plate_id = 'O')::int::double, (plate_id = 'P')::int::double] one_hot from wells", "wells")
 add("e19_marker_long_table", N(lambda n: A.zscore(A.unpivot(n, ["label"], ["f1", "f2"]), ["feature"], ["value"], eps=1e-10)), "select label, feature, (value - avg(value) over w) / (stddev_samp(value) over w + 1e-10) as value from (select label, unnest(['f1','f2']) feature, unnest([f1, f2]) as value from nuclei) window w as (partition by feature)", "nuclei", "value")
 add("e20_ridge_impute", W(lambda w: (lambda v: LinearRegression(featuresCol="v", labelCol="f4", regParam=0.1, elasticNetParam=0.0).fit(v).transform(v).select("well_id", "prediction"))(VectorAssembler(inputCols=["f1", "f2", "f3"], outputCol="v").transform(w))), doubles="prediction", digits=4)
-add("e8_bbknn", lambda s, d: (lambda v: E.vector_knn(v, v.where("label % 2 = 0"), 3, "vec_id", "embedding").withColumn("batch", F.lit(0)).unionByName(E.vector_knn(v, v.where("label % 2 = 1"), 3, "vec_id", "embedding").withColumn("batch", F.lit(1))))(table(s, d, "embeddings")), "select src, dst, dist, rank, batch from (select a.vec_id src, b.vec_id dst, b.label % 2 batch, list_distance(a.embedding::double[], b.embedding::double[]) dist, row_number() over (partition by a.vec_id, b.label % 2 order by round(list_distance(a.embedding::double[], b.embedding::double[]), 12), b.vec_id)::int rank from embeddings a join embeddings b on a.vec_id <> b.vec_id) where rank <= 3", "", "dist")
+add("e8_bbknn", lambda s, d: E.batch_knn(table(s, d, "embeddings").withColumn("b", (F.col("label") % 2).cast("int")), 3, "vec_id", "embedding", "b"), "select src, dst, dist, rank, batch from (select a.vec_id src, b.vec_id dst, b.label % 2 batch, list_distance(a.embedding::double[], b.embedding::double[]) dist, row_number() over (partition by a.vec_id, b.label % 2 order by round(list_distance(a.embedding::double[], b.embedding::double[]), 12), b.vec_id)::int rank from embeddings a join embeddings b on a.vec_id <> b.vec_id) where rank <= 3", "", "dist")
 add("e21_knn_impute", lambda s, d: (lambda v: E.vector_knn(v, v, 5, "vec_id", "embedding").join(v.select(F.col("vec_id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("vec_id")).agg(F.avg("label").alias("imputed")))(table(s, d, "embeddings")), "select k.src vec_id, avg(e.label) imputed from (select a.vec_id src, b.vec_id dst, row_number() over (partition by a.vec_id order by round(list_distance(a.embedding::double[], b.embedding::double[]), 12), b.vec_id) r from embeddings a join embeddings b on a.vec_id <> b.vec_id) k join embeddings e on e.vec_id = k.dst where r <= 5 group by all", "", "imputed")
 add("e22_imputation_metrics", W(lambda w: w.groupBy("compound").agg((1 - F.sum((F.col("f3") - F.col("f4")) * (F.col("f3") - F.col("f4"))) / (F.var_pop("f3") * F.count("*"))).alias("r2"), F.corr("f3", "f4").alias("pearson"), F.avg(F.abs(F.col("f3") - F.col("f4"))).alias("mae"))), "select compound, 1 - sum((f3 - f4) * (f3 - f4)) / (var_pop(f3) * count(*)) r2, corr(f3, f4) pearson, avg(abs(f3 - f4)) mae from wells group by all", "wells", "r2 pearson mae")
 add("e25_latent_feature_correlation", lambda s, d: (lambda v: v.select("label", F.posexplode("embedding").alias("dim", "x")).groupBy("dim").agg(F.corr(F.col("x").cast("double"), "label").alias("r")))(table(s, d, "embeddings")), "select dim, corr(x::double, label) r from (select label, unnest(range(64))::int dim, unnest(embedding) x from embeddings) group by dim", "", "r")
