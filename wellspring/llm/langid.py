@@ -3,9 +3,10 @@
 The blended-spectrum presence kernel of two texts is the number of character
 1- to 3-grams that both hold, over the root of the product of how many each
 holds. Landmarks stand for the training texts; one-versus-rest ridge
-regression is solved in the landmarks' space. As a score is linear in the
-presence vector, landmarks and weights fold into one matrix (grams by
-languages), with which whole batches of texts are multiplied.
+regression is solved in the landmarks' space. Landmarks are held sparse. As a
+score is linear in the presence vector, they fold with the weights into one
+matrix (grams by languages), with which whole batches of texts are multiplied,
+where that matrix is small.
 """
 
 import numpy as np
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from . import common
 
 SPECTRUM = (1, 2, 3)
+#: Weights by gram are broadcast up to this size; beyond it those by landmark are, whose size most_pairs bounds.
+MOST_BYTES = 64 << 20
 _state: dict = {}
 
 
@@ -38,20 +41,66 @@ def grams(text: str) -> np.ndarray:
     return np.unique(np.concatenate((code, two, two[:-1] << 21 | code[2:])))
 
 
+class Landmarks:
+    """Presence vectors of landmark texts by gram, sparse: for each gram the landmarks that hold it."""
+
+    def __init__(self, bags: list[np.ndarray]):
+        size = np.array([len(b) for b in bags], dtype=np.int64)
+        flat = np.concatenate(bags) if bags else np.empty(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        self.vocabulary, first = np.unique(flat[order], return_index=True)
+        self.bounds = np.append(first, len(flat)).astype(np.int64)
+        self.held = np.repeat(np.arange(len(bags), dtype=np.int32), size)[order]
+        self.scale = 1 / np.sqrt(np.maximum(size, 1))
+
+    def __len__(self) -> int:
+        return len(self.scale)
+
+    def kernel(self, grams: np.ndarray) -> np.ndarray:
+        """Kernel of one text with every landmark."""
+        at = np.searchsorted(self.vocabulary, grams)
+        at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == grams] if len(self.vocabulary) else at[:0]
+        lo, n = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        place = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.bincount(self.held[place], minlength=len(self)) * self.scale / np.sqrt(max(len(grams), 1))
+
+    def kernels(self, bags: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.kernel(g) for g in bags]).reshape(len(bags), len(self))
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """Presence vectors times weights [landmark, language], by gram."""
+        out = np.zeros((len(self.vocabulary), weights.shape[1]), dtype=np.float32)
+        scaled = weights * self.scale[:, None]
+        for lo in range(0, len(self.vocabulary), 65_536):
+            ends = self.bounds[lo : lo + 65_537]
+            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+            held = self.held[ends[0] : ends[-1]]
+            for c in range(weights.shape[1]):
+                out[lo : lo + len(ends) - 1, c] = np.bincount(owner, weights=scaled[held, c], minlength=len(ends) - 1)
+        return out
+
+
 class Scorer:
-    """A matrix of weights by gram and language."""
+    """Scores of languages: weights by gram where these are small, else weights by landmark."""
 
-    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, bias: np.ndarray, langs: list[str]):
-        self.vocabulary, self.weights, self.bias, self.langs = vocabulary, weights, bias, langs
+    def __init__(self, landmarks: Landmarks, weights: np.ndarray, bias: np.ndarray, langs: list[str], most_bytes: int = MOST_BYTES):
+        self.bias, self.langs = bias, langs
+        self.vocabulary = self.landmarks = None
+        if len(landmarks.vocabulary) * weights.shape[1] * 4 <= most_bytes:
+            self.vocabulary, self.weights = landmarks.vocabulary, landmarks.folded(weights)
+        else:
+            self.landmarks, self.weights = landmarks, weights
 
     def project(self, bags: list[np.ndarray]) -> np.ndarray:
-        """Product of the presence vectors, scaled to length 1, with the matrix."""
+        """Product of the presence vectors, scaled to length 1, with the weights."""
+        if self.landmarks is not None:
+            return self.landmarks.kernels(bags) @ self.weights
         out = np.zeros((len(bags), self.weights.shape[1]))
         for i, g in enumerate(bags):
             at = np.searchsorted(self.vocabulary, g)
             at = at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == g] if len(self.vocabulary) else at[:0]
             if len(at):
-                out[i] = np.ones(len(at)) @ self.weights[at] / np.sqrt(len(g))
+                out[i] = np.ones(len(at), dtype=np.float32) @ self.weights[at].astype(float) / np.sqrt(len(g))
         return out
 
     def predict(self, bags: list[np.ndarray], sharpness: float = 6.0) -> tuple[list[str], np.ndarray]:
@@ -64,24 +113,24 @@ class Scorer:
 
 
 def _sample(labelled: DataFrame, counts: dict[str, int], per_lang: int, salt: str) -> DataFrame:
-    """About per_lang rows of each language, 24 at least or all it has, the same at every partitioning."""
-    per_lang = max(per_lang, 24)
+    """About per_lang rows of each language, or all it has, the same at every partitioning."""
     share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))))[F.col("lang")]
     draw = F.pmod(F.xxhash64(F.lit(salt), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < share)
-    return drawn.orderBy("draw", "id").limit(int(1.5 * per_lang * len(counts)) + 64)
+    return labelled.where(draw < share)
 
 
 def fit(
-    labelled: DataFrame, landmarks: int = 48, rows: int = 600, ridge: float = 0.1, most_landmarks: int = 12_288, most_rows: int = 153_600,
+    labelled: DataFrame, landmarks: int = 48, rows: int = 600, ridge: float = 0.1, most_landmarks: int = 4096, most_rows: int = 153_600, most_pairs: int = 16_000_000, most_cells: int = 32_000_000,
     text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
 ) -> Scorer | None:
     """Fit on a sample of about rows texts of each language, with about landmarks of them each as landmarks.
 
     Every language of the table is learned. most_landmarks and most_rows bound
-    the samples of all languages together; where they are more than fit, each
-    gets its share, but 24 rows at least. Rows with null text or language are
-    left out; None if nothing is left.
+    the samples of all languages together, most_pairs the grams that landmarks
+    hold (of more each language keeps its first ones by size), most_cells the
+    rows times landmarks that reach the driver. Where many languages share
+    these, each gets its part, but 4 landmarks and 12 rows at least. Rows with null
+    text or language are left out; None if nothing is left.
     """
     spark = labelled.sparkSession
     src = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -90,38 +139,45 @@ def fit(
     langs = sorted(counts)
     if not langs:
         return None
-    landmarks, rows = min(landmarks, most_landmarks // len(langs)), min(rows, most_rows // len(langs))
+    landmarks = max(4, min(landmarks, most_landmarks // len(langs)))
 
     def to_grams(rows):
         return {"lang": rows["lang"], "grams": [grams(t) for t in rows["text"]]}
 
-    marks = common.map_text_chunks(_sample(src, counts, landmarks, "landmark").select("text", "lang"), to_grams, "lang string, grams array<long>", "text")
-    bags = sorted((b for b in (np.array(r["grams"], dtype=np.int64) for r in marks.collect()) if len(b)), key=lambda b: b.tobytes())
-    if not bags:
+    # a language of few rows gives all it has, so that none is left without a landmark
+    marks = common.map_text_chunks(_sample(src, counts, max(landmarks, 24), "landmark").select("text", "lang"), to_grams, "lang string, grams array<long>", "text").toArrow()
+    flat, ends = marks.column("grams").combine_chunks(), marks.column("lang").to_pylist()
+    bags = [(lang, np.asarray(g.values)) for lang, g in zip(ends, flat) if len(g.values)]
+    bags.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
+    share, held, kept = most_pairs // len(langs), dict.fromkeys(langs, 0), []
+    for lang, bag in bags:
+        if not held[lang] or held[lang] + len(bag) <= share:
+            held[lang] += len(bag)
+            kept.append(bag)
+    if not kept:
         return None
-    vocabulary = np.unique(np.concatenate(bags))
-    matrix = np.zeros((len(vocabulary), len(bags)), dtype=np.float32)
-    for j, b in enumerate(bags):
-        matrix[np.searchsorted(vocabulary, b), j] = 1 / np.sqrt(len(b))
-    blocks = [matrix[lo : lo + 4096] for lo in range(0, len(matrix), 4096)]  # exact sums without a second whole matrix
-    kernel = sum(b.astype(float).T @ b.astype(float) for b in blocks)
-    value, vector = np.linalg.eigh(kernel)
+    marks = Landmarks(kept)
+    rows = max(12, min(rows, most_rows // len(langs), most_cells // (len(kept) * len(langs))))
+    kernel = marks.kernels(kept)
+    value, vector = np.linalg.eigh((kernel + kernel.T) / 2)
     use = value > 1e-8 * value.max()
     root = vector[:, use] / np.sqrt(value[use])
-    shared = spark.sparkContext.broadcast(Scorer(vocabulary, matrix, np.zeros(len(bags)), []))
+    shared = spark.sparkContext.broadcast(marks)
 
     def to_features(rows):
-        return {"lang": rows["lang"], "k": list(shared.value.project([grams(t) for t in rows["text"]]).astype("float32"))}
-
-    train = common.map_text_chunks(_sample(src, counts, rows, "train").select("text", "lang"), to_features, "lang string, k array<float>", "text").collect()
-    train.sort(key=lambda r: (r["lang"], r["k"]))
-    phi = np.hstack([np.array([r["k"] for r in train], dtype=float).reshape(-1, len(bags)) @ root, np.ones((len(train), 1))])
-    seen = np.array([langs.index(r["lang"]) for r in train], dtype=int)
+        return {"lang": rows["lang"], "k": list(shared.value.kernels([grams(t) for t in rows["text"]]).astype("float32"))}
+
+    train = common.map_text_chunks(_sample(src, counts, rows, "train").select("text", "lang"), to_features, "lang string, k array<float>", "text").toArrow()
+    spoken = train.column("lang").to_pylist()
+    k = train.column("k").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(spoken), len(kept))
+    order = sorted(range(len(spoken)), key=lambda i: (spoken[i], k[i].tobytes()))
+    phi = np.hstack([k[order].astype(float) @ root, np.ones((len(order), 1))])
+    seen = np.array([langs.index(spoken[i]) for i in order], dtype=int)
     weight = 1 / np.maximum(np.bincount(seen, minlength=len(langs)), 1)[seen]
     target = np.where(seen[:, None] == np.arange(len(langs))[None, :], 1.0, -1.0)
-    gram = phi.T @ (phi * weight[:, None]) + ridge / max(len(train), 1) * np.eye(phi.shape[1])
+    gram = phi.T @ (phi * weight[:, None]) + ridge / max(len(order), 1) * np.eye(phi.shape[1])
     alpha = np.linalg.solve(gram, phi.T @ (target * weight[:, None]))
-    return Scorer(vocabulary, np.concatenate([b.astype(float) @ (root @ alpha[:-1]) for b in blocks]), alpha[-1], langs)
+    return Scorer(marks, root @ alpha[:-1], alpha[-1], langs)
 
 
 def _predictor(df: DataFrame, scorer: Scorer | None):
