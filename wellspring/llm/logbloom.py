@@ -29,6 +29,8 @@ BASE, PROBES, SEGMENT = 1.5, 8, 1 << 19
 ALPHA, WEIGHT = 0.1, 50.0
 #: Tasks that build the filter at most; each builds one group of segments after another.
 MOST_TASKS = 1 << 15
+#: Slices at most, as their numbers travel in 16 bits.
+MOST_SLICES = 1 << 16
 _U = np.uint64
 #: Hash of the token that ends each text and stands before its first word.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -266,6 +268,8 @@ def score_texts(
     size = train.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     segments = max(1, -(-int(size * bits_per_byte) // SEGMENT))
     slices = -(-segments * SEGMENT // 8 // max_filter_bytes)
+    if slices > MOST_SLICES:
+        raise ValueError(f"{slices} slices of the filter: raise max_filter_bytes")
     layout = Layout(segments, slices)
     groups = max(4, min(-(-size // group_bytes), layout.each * slices))
     with common.arrow_bytes(spark, 16 << 20):
