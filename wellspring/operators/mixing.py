@@ -2,11 +2,12 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import cdf
+from .embedding import vector_knn
 
 
 def inverse_simpson(dist: np.ndarray, label: np.ndarray, perplexity: float, steps: int = 60) -> float:
@@ -57,6 +58,24 @@ def kbet(knn: DataFrame, batches: DataFrame, id_col: str, batch: str) -> DataFra
     return out.withColumn("p", cdf.chi2_sf("chi2", "df"))
 
 
+def kbet_by_label(df: DataFrame, id_col: str, vector: str, label: str, batch: str, k: int = 15, alpha: float = 0.05) -> DataFrame:
+    """(label, chi2, accepted): within each label, the mean statistic of its rows' k nearest and the share of rows whose batches pass the test.
+
+    Neighbours and expected shares are of the label alone; labels are given as
+    text; a label of one batch or one row has no row.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), F.col(label).cast("string").alias("label"), F.col(batch).alias("b")).where("label is not null and b is not null")
+    near = vector_knn(rows, rows, k, "id", "v", group="label")
+    share = rows.groupBy("label", "b").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(Window.partitionBy("label")))
+    share = share.withColumn("batches", F.count("*").over(Window.partitionBy("label"))).where("batches > 1").select("label", "b", (F.col("n") / F.col("all")).alias("share"))
+    seen = near.join(rows.select(F.col("id").alias("dst"), "b"), "dst").groupBy("label", "src", "b").agg(F.count("*").alias("o"))
+    grid = seen.groupBy("label", "src").agg(F.sum("o").alias("k")).join(share, "label")
+    e, o = F.col("k") * F.col("share"), F.coalesce("o", F.lit(0))
+    out = grid.join(seen, ["label", "src", "b"], "left").groupBy("label", "src").agg(F.sum((o - e) * (o - e) / e).alias("chi2"), (F.count("*") - 1).cast("double").alias("df"))
+    out = out.withColumn("p", cdf.chi2_sf("chi2", "df"))
+    return out.groupBy("label").agg(F.avg("chi2").alias("chi2"), F.avg((F.col("p") >= alpha).cast("double")).alias("accepted"))
+
+
 def lda_scores(df: DataFrame, id_col: str, features: list[str], group: str, positive: str, negative: str) -> DataFrame:
     """Scores of all rows on Fisher's discriminant between two groups, 0 halfway between their means.
 

@@ -23,7 +23,23 @@ def _knn(s, d, k=15):
 
 
 add("m5_lisi", lambda s, d: (lambda k, v: mixing.lisi(k, v, "vec_id", "label", 5.0))(*_knn(s, d)), doubles="lisi", digits=4)
-add("m6_clisis", lambda s, d: (lambda k, v: mixing.clisis(mixing.lisi(k, v, "vec_id", "label", 5.0), mixing.lisi(k.where("rank <= 8"), v, "vec_id", "label", 5.0), "vec_id", 10))(*_knn(s, d)), doubles="clisis", digits=4)
+
+
+def _lisi_of(s, d, first, length):
+    """LISI of labels among the 15 nearest by a part of the vectors."""
+    v = table(s, d, "embeddings").select("vec_id", "label", F.slice("embedding", first, length).alias("v"))
+    return mixing.lisi(E.vector_knn(v, v, 15, "vec_id", "v"), v, "vec_id", "label", 5.0)
+
+
+add("m6_clisis", lambda s, d: mixing.clisis(_lisi_of(s, d, 4, 1000), _lisi_of(s, d, 1, 3), "vec_id", 10), doubles="clisis", digits=4)
+_own = "(select a.vec_id src, a.label, b.vec_id % 3 b, row_number() over (partition by a.vec_id order by round(list_distance(a.embedding::double[], b.embedding::double[]), 12), b.vec_id) r from embeddings a join embeddings b on a.vec_id <> b.vec_id and a.label = b.label)"
+_kbet = lambda s, d: mixing.kbet_by_label(table(s, d, "embeddings").withColumn("b", F.col("vec_id") % 3), "vec_id", "embedding", "label", "b")
+add("m14_kbet_by_label", lambda s, d: _kbet(s, d).drop("accepted"),
+    f"""with k as (select label, src, b, count(*) o from {_own} where r <= 15 group by all), n as (select label, src, sum(o) k from k group by all),
+     t as (select label, vec_id % 3 b, count(*) / sum(count(*)) over (partition by label) sh from embeddings group by label, vec_id % 3)
+     select label::varchar as label, avg(c) chi2 from (select n.label, n.src, sum((coalesce(o, 0) - n.k * sh) * (coalesce(o, 0) - n.k * sh) / (n.k * sh)) c from n join t on t.label = n.label left join k on k.src = n.src and k.b = t.b group by n.label, n.src) group by label""",
+    "", "chi2", 5)
+add("m14_kbet_accepted", lambda s, d: _kbet(s, d).drop("chi2"), doubles="accepted")
 _nn = "(select a.vec_id src, b.vec_id dst, b.label % 3 b, row_number() over (partition by a.vec_id order by round(list_distance(a.embedding::double[], b.embedding::double[]), 12), b.vec_id) r from embeddings a join embeddings b on a.vec_id <> b.vec_id)"
 add("m14_kbet", lambda s, d: (lambda k, v: mixing.kbet(k, v.withColumn("b", F.col("label") % 3), "vec_id", "b").drop("p"))(*_knn(s, d)),
     f"with k as (select src, b, count(*) o from {_nn} where r <= 15 group by all), t as (select label % 3 b, count(*) / (select count(*) from embeddings) sh from embeddings group by all) select g.src vec_id, sum((coalesce(o, 0) - 15 * sh) * (coalesce(o, 0) - 15 * sh) / (15 * sh)) chi2, (count(*) - 1)::double df from (select distinct src, t.b, sh from k, t) g left join k on k.src = g.src and k.b = g.b group by g.src", "", "chi2")
