@@ -15,7 +15,7 @@ def test_diffusion_components_equal_a_dense_eigensolver(spark):
     rng = random.Random(3)
     n = 24
     edges = [(i, i + 1, 1.0) for i in range(n - 1)] + [(i, j, round(rng.random(), 3) + 0.1) for i in range(n) for j in range(i + 2, n) if rng.random() < 0.15]
-    c, values = diffusion.diffusion_components(spark.createDataFrame(edges, "src long, dst long, weight double"), 4)
+    c, values = diffusion.diffusion_components(spark.createDataFrame(edges, "src long, dst long, weight double"), 4, 1e-9)
     w = np.zeros((n, n))
     for a, b, x in edges:
         w[a, b] = w[b, a] = x
