@@ -12,7 +12,7 @@ from .joins import K
 
 
 def well_features(
-    nodes: DataFrame, edges: DataFrame, radii: tuple = (25, 50, 100, 150), features: tuple = (), modality: str = "phenocoder", hull_radius: float = 100.0, hull_degree: int = 5,
+    nodes: DataFrame, edges: DataFrame, radii: tuple = (25, 50, 100, 150), features: tuple = (), modality: str = "cells", hull_radius: float = 100.0, hull_degree: int = 5,
     n_perms: int = 100, group: str = "leiden", key=K, id_col: str = "label", enrichment: bool = True,
 ) -> DataFrame:
     """(key, feature, value) of every well of two groups or more; what a well lacks is 0.
