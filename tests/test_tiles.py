@@ -3,7 +3,11 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from wellspring.operators import aggregates as A
+from wellspring.operators import graph, spatial, tiles
+from wellspring.session import durable
 
 
 def test_clipped_stats_hold_no_group_whole(spark):
@@ -21,3 +25,96 @@ def test_clipped_stats_hold_no_group_whole(spark):
         v = v[(v >= lo) & (v <= hi)]
         want = [len(v), v.mean(), np.median(v), v.std(), *np.quantile(v, [0.25, 0.75, 0.01, 0.99])]
         assert [got[g][c] for c in ("n", "mean", "median", "std", "q25", "q75", "p1", "p99")] == pytest.approx(want, rel=1e-12)
+
+
+def _points(n, side, seed, more=()):
+    rng = np.random.default_rng(seed)
+    at = np.round(rng.uniform(-side, side, (n, 3)) * [1, 1, 0.2])
+    return [("p", f"w{i % 2}", f"n{i}", *map(float, at[i]), int(rng.integers(0, 3)), float(rng.normal())) for i in range(n)] + list(more)
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame(rows, "plate_id string, well_id string, label string, x double, y double, z double, leiden int, f1 double")
+
+
+def _brute(rows, r):
+    """Neighbours of each row, by its place."""
+    p = np.array([[np.nan if v is None else v for v in x[3:6]] for x in rows])
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))
+    other = np.array([[a[1] == b[1] and a[2] != b[2] for b in rows] for a in rows])
+    with np.errstate(invalid="ignore"):
+        return d, other & (d <= r)
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    """Points over several tiles, a crowd on one spot, points without a place or a value, and an id twice."""
+    crowd = [("p", "w0", f"c{i}", 7.0, 7.0, 0.0, i % 3, 1.0) for i in range(90)]
+    odd = [("p", "w0", "null", None, 1.0, 1.0, 0, 2.0), ("p", "w1", "far", 9e5, 0.0, 0.0, 1, 3.0), ("p", "w1", "n1", 1.0, 1.0, 1.0, 1, 1.0), ("p", "w0", "bare", 7.0, 8.0, 0.0, 2, None)]
+    rows = _points(500, 60, 1, crowd + odd)
+    return rows, _frame(spark, rows), *_brute(rows, 5.0)
+
+
+def test_sums_over_neighbours_by_tile(cloud):
+    rows, df, _, hit = cloud
+    got = sorted((r["label"], r["degree"], round(r["sum_f1"], 9), r["n_f1"]) for r in tiles.neighbor_sums(df, 5.0, ["f1"]).collect())
+    want = []
+    for i, r in enumerate(rows):
+        f = [rows[j][7] for j in np.flatnonzero(hit[i])]
+        f = [v for v in f if v is not None]
+        want.append((r[2], int(hit[i].sum()), round(sum(f), 9), len(f)))
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in sorted(want)]
+    assert [c for *_, c, _ in got] == pytest.approx([c for *_, c, _ in sorted(want)], abs=1e-8)
+
+
+def test_edges_and_nearest_by_tile(cloud):
+    rows, df, d, hit = cloud
+    got = sorted((r["well_id"], r["src"], r["dst"], r["dist"]) for r in tiles.edges(df, 5.0).collect())
+    want = sorted((rows[i][1], rows[i][2], rows[j][2], float(d[i, j])) for i, j in zip(*np.nonzero(hit)))
+    assert got == want
+    got = sorted((r["well_id"], r["src"], r["dst"]) for r in tiles.nearest(df.where("label <> 'n1'"), None, 2, 5.0).collect())
+    best = []
+    for i, r in enumerate(rows):
+        near = sorted((d[i, j], rows[j][2]) for j in np.flatnonzero(hit[i]) if rows[j][2] != "n1")
+        best += [(r[1], r[2], x) for _, x in near[:2] if r[2] != "n1"]
+    assert got == sorted(best)
+
+
+def test_graph_statistics_by_tile_are_those_of_edges(spark, cloud):
+    rows, df, _, _ = cloud
+    df = df.where("label <> 'n1'")
+    e = durable(tiles.edges(df, 5.0))
+    e.createOrReplaceTempView("e")
+
+    def same(a, b):
+        cols = sorted(a.columns)
+        a, b = ([tuple(r[c] for c in cols) for r in x.select(*cols).collect()] for x in (a, b))
+        key = lambda r: tuple(str(v) for v in r if not isinstance(v, float))
+        a, b = sorted(a, key=key), sorted(b, key=key)
+        assert len(a) == len(b) > 0
+        for x, y in zip(a, b):
+            assert [v for v in x if not isinstance(v, float)] == [v for v in y if not isinstance(v, float)]
+            assert [v for v in x if isinstance(v, float)] == pytest.approx([v for v in y if isinstance(v, float)], abs=1e-9)
+
+    for normalized in (False, True):
+        same(tiles.interaction_matrix(df, 5.0, normalized=normalized), spatial.interaction_matrix(e, df, normalized=normalized))
+    same(tiles.group_degree_centrality(df, 5.0), spatial.group_degree_centrality(df, e))
+    same(tiles.degree_stats(df, 5.0, "leiden"), spatial.degree_stats(df, e, "leiden"))
+    same(tiles.average_clustering(df, 5.0), spatial.average_clustering(df, e))
+    same(tiles.morans_i(df, 5.0, "leiden"), spatial.morans_i(df, e, "leiden"))
+    same(tiles.morans_i_groups(df, 5.0), spatial.morans_i_groups(df, e))
+    same(tiles.message_passing(df, 5.0, ["f1"]), spatial.message_passing(df, e, ["f1"]))
+    node = lambda c: F.concat_ws("|", "plate_id", "well_id", c)
+    want = graph.connected_components(e.select(node("src").alias("src"), node("dst").alias("dst")))
+    same(tiles.components(df, 5.0).select(node("label").alias("node"), "component"), want)
+
+
+def test_neighbours_do_not_move_pairs(spark):
+    """A crowd makes 40 000 pairs; what the task gives and what moves is rows of points."""
+    df = _frame(spark, [("p", "w", f"c{i}", 1.0, 1.0, 1.0, i % 2, 1.0) for i in range(200)])
+    for out in (tiles.degree_stats(df, 5.0), tiles.interaction_matrix(df, 5.0), tiles.average_clustering(df, 5.0), tiles.morans_i(df, 5.0, "f1")):
+        plan = out._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInArrow" in plan and "src, dst" not in plan
+    n = {(r["src_group"], r["dst_group"]): r["n"] for r in tiles.interaction_matrix(df, 5.0).collect()}
+    assert n == {(0, 0): 9900, (0, 1): 10000, (1, 0): 10000, (1, 1): 9900}
+    assert {r["clustering"] for r in tiles.average_clustering(df, 5.0).collect()} == {1.0}
