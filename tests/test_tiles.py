@@ -118,3 +118,14 @@ def test_neighbours_do_not_move_pairs(spark):
     n = {(r["src_group"], r["dst_group"]): r["n"] for r in tiles.interaction_matrix(df, 5.0).collect()}
     assert n == {(0, 0): 9900, (0, 1): 10000, (1, 0): 10000, (1, 1): 9900}
     assert {r["clustering"] for r in tiles.average_clustering(df, 5.0).collect()} == {1.0}
+
+
+def test_few_keys_do_not_bring_rows_together(spark):
+    """Statistics of few keys go to the rows; the rows are not dealt by key."""
+    df = spark.range(1000).selectExpr("id", "cast(id % 2 as string) feature", "cast(id as double) v")
+    out = A.zscore(df, ["feature"], ["v"], eps=1e-10)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = [r["v"] for r in out.where("feature = '0'").orderBy("id").collect()]
+    x = np.arange(0, 1000, 2.0)
+    assert got == pytest.approx(((x - x.mean()) / (x.std(ddof=1) + 1e-10)).tolist())
