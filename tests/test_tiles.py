@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.operators import aggregates as A
-from wellspring.operators import graph, spatial, tiles
+from wellspring.operators import graph, pixels, spatial, tiles
 from wellspring.session import durable
+from wellspring.sources import fixtures
 
 
 def test_clipped_stats_hold_no_group_whole(spark):
@@ -129,3 +130,13 @@ def test_few_keys_do_not_bring_rows_together(spark):
     got = [r["v"] for r in out.where("feature = '0'").orderBy("id").collect()]
     x = np.arange(0, 1000, 2.0)
     assert got == pytest.approx(((x - x.mean()) / (x.std(ddof=1) + 1e-10)).tolist())
+
+
+def test_pixels_are_made_by_many_tasks(spark, tmp_path):
+    spark.range(20_000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(25).select(F.col("id").alias("n_nationkey")).coalesce(1).write.parquet(str(tmp_path / "nation.parquet"))
+    px = fixtures.pixels(spark, str(tmp_path))
+    assert px.rdd.getNumPartitions() == 5
+    assert px.count() == 500_000
+    out = pixels.percentile_rescale(px.select("ch", "img", "y", "x", "v"), ["ch"], 0.01, 0.0, 1.0, few=True)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()

@@ -85,12 +85,15 @@ def z_profile(px: DataFrame, keys: list[str]) -> DataFrame:
     return px.groupBy(*keys, "z").agg(F.expr("percentile(v, 0.5)").alias("median_value")).withColumn("z_slice", F.lpad((F.col("z") + 1).cast("string"), 2, "0"))
 
 
-def percentile_rescale(px: DataFrame, keys: list[str], p: float, low: float, high: float) -> DataFrame:
-    """Maps the p and 1 - p percentiles of each image to low and high, clamped."""
+def percentile_rescale(px: DataFrame, keys: list[str], p: float, low: float, high: float, few: bool = False) -> DataFrame:
+    """Maps the p and 1 - p percentiles of each image to low and high, clamped.
+
+    few tells that the keys are few: their percentiles go to the rows then, not the rows to few tasks.
+    """
     q = px.groupBy(*keys).agg(F.expr(f"percentile(v, array({p}, {1 - p}))").alias("_q"))
     a, b = F.col("_q")[0], F.col("_q")[1]
     s = F.least(F.greatest((F.col("v") - a) / F.when(b > a, b - a).otherwise(1.0), F.lit(0.0)), F.lit(1.0))
-    return px.join(q, keys).withColumn("scaled", low + s * (high - low)).drop("_q")
+    return px.join(F.broadcast(q) if few else q, keys).withColumn("scaled", low + s * (high - low)).drop("_q")
 
 
 def stitch_tiles(px: DataFrame, columns: int, width: int, height: int, overlap: int, keys: list[str]) -> DataFrame:

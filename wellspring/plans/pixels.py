@@ -27,7 +27,7 @@ add("p9_flatfield_average", X(lambda p: P.flatfield_average(p)), "select ch, y,
 add("p11_background_subtract", X(lambda p: P.background_subtract(p.select("img", "y", "x", "v"), p.groupBy("img").agg(F.expr("percentile(v, 0.1)").alias("bg")), ["img"])), "select img, y, x, greatest(v - trunc(q)::int, 0) v from pixels join (select img, quantile_cont(v, 0.1) q from pixels group by all) using (img)", "pixels")
 add("p12_z_profile", X(lambda p: P.z_profile(p, ["well", "ch"])), "select well, ch, z, quantile_cont(v, 0.5) median_value, lpad((z + 1)::varchar, 2, '0') z_slice from pixels group by all", "pixels", "median_value")
 add("p14_percentile_rescale", X(lambda p: P.percentile_rescale(p.select("img", "y", "x", "v"), ["img"], 0.05, 0.0, 255.0)), "select img, y, x, v, 0 + least(greatest((v - a) / (b - a), 0), 1) * 255.0 scaled from pixels join (select img, quantile_cont(v, 0.05) a, quantile_cont(v, 0.95) b from pixels group by all) using (img)", "pixels", "scaled")
-add("p15_quantile_scale", X(lambda p: P.percentile_rescale(p.select("ch", "img", "y", "x", "v"), ["ch"], 0.01, 0.0, 1.0)), "select ch, img, y, x, v, least(greatest((v - a) / (b - a), 0), 1) scaled from pixels join (select ch, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b from pixels group by all) using (ch)", "pixels", "scaled")
+add("p15_quantile_scale", X(lambda p: P.percentile_rescale(p.select("ch", "img", "y", "x", "v"), ["ch"], 0.01, 0.0, 1.0, few=True)), "select ch, img, y, x, v, least(greatest((v - a) / (b - a), 0), 1) scaled from pixels join (select ch, quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b from pixels group by all) using (ch)", "pixels", "scaled")
 add("p16_stitch_tiles", X(lambda p: P.stitch_tiles(p.withColumn("tile", F.col("z")), 2, 50, 25, 5, ["well", "ch"])),
     "select well, ch, (y + (z // 2) * 20)::int cy, (x + (z % 2) * 45)::int cx, sum(v * w) / sum(w) v from (select *, least(1, (least(x, 49 - x) + 1) / 6.0::double) * least(1, (least(y, 24 - y) + 1) / 6.0::double) w from pixels) group by all", "pixels", "v")
 add("p17_downsample", X(lambda p: P.downsample(p.select("img", "y", "x", "v"), 5)), "select img, y, x, v from pixels where x % 5 = 0 and y % 5 = 0", "pixels")
