@@ -139,6 +139,26 @@ def test_nearest_vectors_with_ties_over_blocks(spark):
     assert len(got) == 90
 
 
+def test_nearest_vectors_move_with_the_rows_and_not_with_their_pairs(spark, monkeypatch):
+    def copies(n):  # rows that reach a join or a cogroup from either side, for n rows
+        df = spark.range(n).select("id", F.array((F.col("id") * 7 % 101).cast("double"), (F.col("id") * 13 % 89).cast("double")).alias("v"))
+        near = embedding.vector_knn(df, df, 3, "id", "v", block_rows=16)
+        assert near.count() == 3 * n
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Window" not in plan
+        return near.select("src", "rank").distinct().count()
+
+    assert (copies(400), copies(1600)) == (1200, 4800)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (120, 3)).astype(float)
+    rows = [(i, i % 3, [float(e) for e in v]) for i, v in enumerate(x)] + [(900, 0, [float("nan")] * 3), (901, 0, None), (3, 0, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, g int, v array<double>")
+    whole = sorted(map(tuple, embedding.vector_knn(df, df, 4, "id", "v", group="g").collect()))
+    monkeypatch.setattr(embedding, "HELD", 400)  # references in cuts of ten rows, queries in parts of four
+    assert sorted(map(tuple, embedding.vector_knn(df, df, 4, "id", "v", block_rows=4, group="g").collect())) == whole
+    assert len(whole) == 120 * 4 and not {r[1] for r in whole} & {900, 901}
+
+
 def blobs(spark, n=240, extra=()):
     rng = np.random.default_rng(9)
     center = rng.normal(size=(4, 5)) * 12
