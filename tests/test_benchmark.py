@@ -93,3 +93,25 @@ def test_samples_are_scored_alone_and_small_ones_have_nulls(spark):
     assert got["1", "gcs"] == pytest.approx(gcs[5]) and got["1", "avg_gcs"] == pytest.approx(sum(gcs.values()) / 5)
     assert got["1", "casw"] == pytest.approx(B.label_silhouette(one, "id", "lat", "label").first()[0])
     assert 0 < got["1", "avg_cas"] <= 1 and got["0", "clisi"] is not None
+
+
+def test_edges_over_tiles_read_the_same_pixels_as_one_by_one(spark):
+    import random
+
+    rng = random.Random(4)
+    value = {(y, x): rng.randrange(100) for y in range(-10, 150) for x in range(-10, 90) if rng.random() < 0.9}
+    px = spark.createDataFrame([(0, y, x, v) for (y, x), v in value.items()], "img int, y int, x int, v int")
+    ends = [(i, 500 + i, rng.randrange(-12, 152), rng.randrange(-12, 92), rng.randrange(-12, 152), rng.randrange(-12, 92)) for i in range(12)]
+    e = spark.createDataFrame([(0, *r) for r in ends], "img int, src int, dst int, y0 int, x0 int, y1 int, x1 int")
+    profile = P.edge_path_profile(e, px, ["img"], 3)
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan  # points of edges are not rows of a join
+    got = {(r["src"], r["step"]): r["intensity"] for r in profile.collect()}
+    want = {}
+    for src, _, y0, x0, y1, x1 in ends:
+        n = math.sqrt((y1 - y0) ** 2 + (x1 - x0) ** 2)
+        dy, dx = ((y1 - y0) / n, (x1 - x0) / n) if n else (0, 0)
+        for t in range(math.floor(n)):
+            spots = [(math.floor(y0 + t * dy + s * dx + 0.5), math.floor(x0 + t * dx - s * dy + 0.5)) for s in range(-3, 3)]
+            want[src, t] = sum(value.get(p, 0) for p in spots) / 6
+    assert got == pytest.approx(want)

@@ -98,6 +98,20 @@ def test_profile_distances_equal_numpy(spark):
         assert n == len(each) and d == pytest.approx(np.mean(each))
 
 
+def test_profile_pairs_are_summed_over_groups_in_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(img, e, [float(v) for v in rng.integers(0, 100, 6)]) for img in range(5) for e in range(7 if img else 3)]
+    df = spark.createDataFrame(rows, "img int, edge long, profile array<double>")
+    f = {(i, e): brute_spectrum(p) for i, e, p in rows}
+    for slots, block in ((1024, 512), (2, 3)):  # in one sum, and given again and again
+        monkeypatch.setattr(profiles, "SLOTS", slots)
+        got = {(r["a"], r["b"]): (r["distance"], r["n"]) for r in profiles.distance_between_profiles(df, ["img"], "edge", block_rows=block).collect()}
+        assert set(got) == {(a, b) for b in range(7) for a in range(b)}
+        for (a, b), (d, n) in got.items():
+            each = [np.sqrt((np.abs(f[i, a] - f[i, b]) ** 2).sum()) for i in range(5) if (i, b) in f]
+            assert n == len(each) and d == pytest.approx(np.mean(each))
+
+
 def test_a_rerun_replaces_one_plate_and_reads_are_pruned(spark, tmp_path):
     rows = spark.createDataFrame([(p, "A01", r, str(i), float(i)) for p in ("004", "005") for r in (25, 50) for i in range(3)], "plate_id string, well_id string, radius int, label string, distance double")
     path = str(tmp_path / "distances")

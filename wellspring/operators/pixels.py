@@ -1,7 +1,11 @@
 """Operators on long pixel tables: one row per pixel."""
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import durable
 from .graph import connected_components
@@ -126,22 +130,65 @@ def montage(px: DataFrame, columns: int, width: int, height: int, keys: list[str
     return wide.na.fill(0, [c for c in wide.columns if c not in (*keys, "cy", "cx")])
 
 
+#: Width of the tiles in which edges meet pixels, and points of edges looked up at once.
+TILE, POINTS = 64, 1 << 20
+
+
 def edge_path_profile(edges: DataFrame, px: DataFrame, keys: list[str], path_width: int = 4) -> DataFrame:
-    """(keys, src, dst, step, intensity) along edges (keys, src, dst, y0, x0, y1, x1).
+    """(keys, src, dst, step, intensity) along distinct edges (keys, src, dst, y0, x0, y1, x1).
 
     Step t is the mean over 2 * path_width points across the edge, t away from its
-    start; each point takes its nearest pixel, and 0 outside the image. Points of
-    an edge meet pixels by an equi join, after equal ones have been counted.
+    start; each point takes its nearest pixel, and 0 outside the image. An edge
+    goes to the tiles around it and a pixel to those that it may be seen from;
+    the points are made in the task of a tile, which gives the steps inside it.
     """
-    e = edges.withColumn("_l", F.sqrt((F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")) + (F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")))).where("_l >= 1")
-    e = e.withColumn("_dy", (F.col("y1") - F.col("y0")) / F.col("_l")).withColumn("_dx", (F.col("x1") - F.col("x0")) / F.col("_l"))
-    e = e.withColumn("step", F.explode(F.sequence(F.lit(0), F.floor("_l").cast("int") - 1)))
-    e = e.withColumn("_s", F.explode(F.sequence(F.lit(-path_width), F.lit(path_width - 1))))
-    y = F.floor(F.col("y0") + F.col("step") * F.col("_dy") + F.col("_s") * F.col("_dx") + 0.5).cast("int")
-    x = F.floor(F.col("x0") + F.col("step") * F.col("_dx") - F.col("_s") * F.col("_dy") + 0.5).cast("int")
-    e = e.select(*keys, "src", "dst", "step", y.alias("y"), x.alias("x"))
-    met = e.join(px.select(*keys, "y", "x", "v"), [*keys, "y", "x"], "left")
-    return met.groupBy(*keys, "src", "dst", "step").agg(F.avg(F.coalesce("v", F.lit(0))).alias("intensity"))
+    keys = list(keys)
+    edges = edges.withColumn("_l", F.sqrt((F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")) + (F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")))).where("_l >= 1")
+    e = edges.withColumn("_dy", (F.col("y1") - F.col("y0")) / F.col("_l")).withColumn("_dx", (F.col("x1") - F.col("x0")) / F.col("_l"))
+    tile = lambda c: F.floor(c / F.lit(float(TILE)))
+    for t, c in (("_ty", "y"), ("_tx", "x")):
+        e = e.withColumn(t, F.explode(F.sequence(tile(F.least(f"{c}0", f"{c}1")), tile(F.greatest(f"{c}0", f"{c}1")))))
+    at = [F.col(c).cast("double").alias(c) for c in ("y0", "x0")]
+    e = e.select(*keys, "_ty", "_tx", "src", "dst", *at, "_dy", "_dx", F.floor("_l").cast("int").alias("_n"))
+    p, reach = px.select(*keys, "y", "x", F.coalesce(F.col("v").cast("double"), F.lit(0.0)).alias("v")), path_width + 1
+    for t, c in (("_ty", "y"), ("_tx", "x")):
+        p = p.withColumn(t, F.explode(F.sequence(tile(F.col(c) - reach), tile(F.col(c) + reach))))
+    p = p.select(*keys, "_ty", "_tx", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "v")
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema}
+    ddl = ", ".join([*[f"`{c}` {kinds[c]}" for c in (*keys, "src", "dst")], "step int", "intensity double"])
+    schema, wide = to_arrow_schema(StructType.fromDDL(ddl)), TILE + 2 * reach
+
+    def meet(left, right):
+        if not left.num_rows:
+            return schema.empty_table()
+        left, column = left.combine_chunks(), lambda t, c: t.column(c).to_numpy()
+        ty, tx = left.column("_ty")[0].as_py(), left.column("_tx")[0].as_py()
+        low_y, low_x = ty * TILE - reach, tx * TILE - reach
+        place = (column(right, "y") - low_y) * wide + column(right, "x") - low_x
+        total = np.bincount(place, column(right, "v"), wide * wide)
+        rows = np.maximum(np.bincount(place, minlength=wide * wide), 1)
+        n = column(left, "_n").astype(np.int64)
+        ends, s, found = np.cumsum(n), np.arange(-path_width, path_width), []
+        size = max(POINTS // (2 * path_width), 1)
+        for lo in range(0, int(ends[-1]), size):  # steps of all edges, one after another
+            step = np.arange(lo, min(lo + size, int(ends[-1])))
+            edge = np.searchsorted(ends, step, "right")
+            step = step - (ends - n)[edge]
+            y0, x0, dy, dx = (column(left, c)[edge] for c in ("y0", "x0", "_dy", "_dx"))
+            cy, cx = y0 + step * dy, x0 + step * dx
+            here = (np.floor(cy / TILE) == ty) & (np.floor(cx / TILE) == tx)
+            edge, step, cy, cx, dy, dx = (c[here] for c in (edge, step, cy, cx, dy, dx))
+            y = np.floor(cy[:, None] + s * dx[:, None] + 0.5).astype(np.int64) - low_y
+            x = np.floor(cx[:, None] - s * dy[:, None] + 0.5).astype(np.int64) - low_x
+            spot = y * wide + x
+            found.append((edge, step, total[spot].sum(axis=1) / rows[spot].sum(axis=1)))
+        edge, step, mean = (np.concatenate(f) for f in zip(*found))
+        edge = pa.array(edge)
+        columns = [left.column(c).take(edge) for c in (*keys, "src", "dst")]
+        return pa.table([*columns, pa.array(step.astype(np.int32)), pa.array(mean)], names=schema.names).cast(schema)
+
+    by = [*keys, "_ty", "_tx"]
+    return e.groupBy(*by).cogroup(p.groupBy(*by)).applyInArrow(meet, ddl)
 
 
 def laminar_message_passing(profiles: DataFrame, px: DataFrame, keys: list[str]) -> DataFrame:

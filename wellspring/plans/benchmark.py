@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import benchmark as B
 from ..operators import embedding as E
-from ..operators import joins, mixing, spatial
+from ..operators import joins, mixing, spatial, tiles
 from ..operators import pixels as P
 from ..sources import tables as S
 from ..sources.fixtures import nuclei, pixels, table
@@ -116,9 +116,8 @@ add("j9_knn_points", lambda s, d: joins.knn_points(nuclei(s, d), 3, 25.0),
 def _paths(s, d):
     px = pixels(s, d)
     at = P.positions(px, ["img"]).withColumn("label", F.col("label").cast("long"))
-    e = joins.radius_neighbors(at, 12.0, ("x", "y"), ("img",))
-    for end, i in (("src", "0"), ("dst", "1")):
-        e = e.join(at.select("img", F.col("label").alias(end), F.col("y").alias(f"y{i}"), F.col("x").alias(f"x{i}")), ["img", end])
+    e = tiles.edges(at, 12.0, ("x", "y"), ("img",), shared=("y", "x"))
+    e = e.select("img", "src", "dst", *[F.col(f"{end}_{c}").alias(f"{c}{i}") for i, end in enumerate(("src", "dst")) for c in ("y", "x")])
     return P.edge_path_profile(e, px, ["img"])
 
 
