@@ -304,3 +304,14 @@ def test_language_and_toxicity_on_small_tables(spark, odd, empty):
     none = labels.where("false")
     assert toxicity.score_toxicity(odd, none).count() == odd.count()
     assert toxicity.score_toxicity(empty, none).count() == 0
+
+
+def test_texts_of_a_batch_are_python_objects_a_chunk_at_a_time():
+    import pyarrow as pa
+
+    from wellspring.llm import common
+
+    texts = ["a" * 5, None, "", "é" * 9, "b" * 30, "c", "d" * 4, "e" * 7]
+    for limit in (1, 10, 12, 100):
+        assert list(common.batch_chunks(pa.array(texts), limit)) == list(common.text_chunks(texts, limit))
+    assert list(common.batch_chunks(pa.array([], pa.string()))) == []

@@ -4,6 +4,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,19 @@ def text_chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[t
         yield lo, len(texts)
 
 
+def batch_chunks(texts: pa.Array, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
+    """The bounds that text_chunks gives, of a column of an Arrow batch, before any text of it is a Python object."""
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).tolist()
+    lo = held = 0
+    for i, n in enumerate(size):
+        if i > lo and held + n > limit:
+            yield lo, i
+            lo, held = i, 0
+        held += n
+    if lo < len(size):
+        yield lo, len(size)
+
+
 def map_text_chunks(df: DataFrame, fn: Callable, schema: str, text: str) -> DataFrame:
     """Apply fn to small runs of rows in each task.
 
@@ -58,12 +72,13 @@ def map_text_chunks(df: DataFrame, fn: Callable, schema: str, text: str) -> Data
 
     def run(batches):
         for batch in batches:
-            data = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            for lo, hi in text_chunks(data[text]):
-                out = fn({k: v[lo:hi] for k, v in data.items()})
+            for lo, hi in batch_chunks(batch.column(text)):
+                out = fn({n: batch.column(n).slice(lo, hi - lo).to_pylist() for n in batch.schema.names})
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[f.name], type=f.type, from_pandas=True) for f in want], schema=want
                 )
+                out = None
+                pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

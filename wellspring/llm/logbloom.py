@@ -106,7 +106,7 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if "words" not in _state:
         import xxhash
 
-        _state["words"] = Memo(xxhash.xxh3_64_intdigest, 250_000)
+        _state["words"] = Memo(xxhash.xxh3_64_intdigest, 1 << 16)
     get = _state["words"].__getitem__
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(s) + 1 for s in split], dtype=np.int64)
@@ -174,9 +174,8 @@ def gather_counts(train: DataFrame, layout: Layout, groups: int) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in common.text_chunks(texts):
-                flat, _ = token_hashes(texts[lo:hi])
+            for lo, hi in common.batch_chunks(batch.column(0)):
+                flat, _ = token_hashes(batch.column(0).slice(lo, hi - lo).to_pylist())
                 ones = np.ones(len(flat), dtype=np.int64)
                 held.append(_merge([(flat, flat, ones)]))
                 held.append(_merge([(pair_key(contexts(flat), flat), flat, ones)]))
