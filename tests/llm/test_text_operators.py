@@ -131,6 +131,36 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert sum(r.doc_id == 4 for r in got) == 2
 
 
+def test_units_that_nobody_shares_are_spelled_out_once(spark, monkeypatch):
+    """Members of one bucket, most of them far from its pivot, each with words of its own: all classes are found, from the units that are shared."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [" ".join(base)]
+    for n in [2] * 20 + [4] * 60:
+        change = {10 * rng.randrange(1, 14): rng.choice(["a", "a", f"x{len(texts)}"]) for _ in range(n)}
+        texts.append(" ".join(change.get(i, "") + w for i, w in enumerate(base)))
+    bags = spark.createDataFrame(list(enumerate(texts)), "vid long, text string")
+    members = spark.createDataFrame([(1, i, 1000 - i) for i in range(len(texts))], "key long, vid long, c long")
+    kept, durable = [], dedup.durable
+    monkeypatch.setattr(dedup, "durable", lambda *a, **k: kept.append(durable(*a, **k)) or kept[-1])
+    search = dedup._Search(members, durable(dedup._bags(bags)), 0.8)
+    search.complete(search.pivots())
+    whole = dedup.shingle_bags(texts)
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if dedup.bag_overlap(whole[i], whole[j]) >= 0.8]
+
+    def classes(pairs):
+        part = list(range(len(texts)))
+        for _ in texts:
+            for i, j in pairs:
+                part[i] = part[j] = min(part[i], part[j])
+        return part
+
+    assert classes([(r.v, r.p) for r in search.links.collect()]) == classes(links)
+    rows = next(x for x in kept if {"near", "reach"} <= set(x.columns)).where("near")
+    dealt = rows.selectExpr("sum(size(units))" if "units" in rows.columns else "sum(d)").first()[0]
+    assert 0 < 1.1 * dealt < rows.selectExpr("sum(d)").first()[0]
+
+
 def test_near_duplicates_link_through_a_closed_member(spark):
     """In each group the last text resembles one text only, which is of the class of a large group and never its centre."""
     docs = []

@@ -292,7 +292,10 @@ class _Search:
         one's units, in whatever order, one among the first d - s + 1 is shared.
         Units that few other far bags hold stand first, so bags that differ from the
         pivot each in their own way never meet. For a bag the bound on s is by
-        the least e of the other side, for a pair by both. Only whole numbers
+        the least e of the other side, for a pair by both. Of two bags that are
+        both far and near, that of smaller e is the near one, so what it meets
+        has no smaller e than its own. Units that one bag alone holds are not
+        spelled out again, as they are shared with nobody. Only whole numbers
         are compared, so no pair at the threshold is lost.
         """
         least = Fraction(str(self.least))
@@ -305,26 +308,30 @@ class _Search:
         apart = durable(apart.select("v", "p", "units", F.size("units").alias("d"), (high * F.size("units") - low * F.col("n")).alias("e")))
         units = apart.select("p", "v", F.explode("units").alias("unit"))
         alone = units.groupBy("p", "unit").agg(F.count("*").alias("times"), F.min("v").alias("v")).where("times = 1")
-        alone = alone.groupBy("p", "v").agg(F.count("*").alias("alone"))
-        rows = durable(apart.drop("units").join(rows, ["v", "p"]).join(alone, ["v", "p"], "left").fillna(0, "alone"))
+        alone = alone.groupBy("p", "v").agg(F.collect_list("unit").alias("alone"))
+        shared = F.when(F.col("alone").isNull(), F.col("units")).otherwise(F.array_except("units", "alone"))
+        rows = apart.join(rows, ["v", "p"]).join(alone, ["v", "p"], "left").withColumns({"units": shared, "both": F.col("far") & F.col("near")})
+        whole = rows = durable(rows.drop("alone"), replaces=(apart,))
         for role, other in (("far", "near"), ("near", "far")):  # what one side loses tightens the other's bound
-            end = durable(rows.where(other).groupBy("p").agg(F.min("e").alias("other_e")))
-            s = F.greatest(F.lit(1), F.ceil((F.col("e") + F.col("other_e")) / (2 * high) - 1e-9))
-            within = F.col("d") - s + 1
-            within = F.when(F.col(role) & F.col("other_e").isNotNull() & (within > F.col("alone")), within).otherwise(0)
-            rows = rows.join(end, "p", "left").withColumn("reach", within).drop("other_e").withColumn(role, F.col("reach") > 0)
-        rows = durable(rows.where("far or near"))
+            ends = rows.where(other).groupBy("p").agg(F.min("e").alias("any_e"), F.min(F.when(~F.col("both"), F.col("e"))).alias("one_e"))
+            end = F.when(F.col("both"), F.least("one_e", "e")).otherwise(F.col("any_e")) if role == "near" else F.col("any_e")
+            s = F.greatest(F.lit(1), F.ceil((F.col("e") + end) / (2 * high) - 1e-9))
+            able = F.col(role) & F.col("any_e").isNotNull() & (F.size("units") >= s)
+            rows = rows.join(durable(ends), "p", "left").withColumn("reach", F.when(able, F.col("d") - s + 1).otherwise(0))
+            rows = rows.drop("any_e", "one_e").withColumn(role, F.col("reach") > 0)
+        rows = durable(rows.where("far or near"), replaces=(whole,))
 
         def held(role, x):
-            some = rows.where(role).select("v", "p", *(F.col(c).alias(x + c) for c in ("home", "d", "e", "reach")))
-            return apart.select("v", "p", "units").join(some, ["v", "p"]).withColumnRenamed("v", x + "v").withColumn("unit", F.explode("units")).drop("units")
+            some = rows.where(role).select("p", "units", *(F.col(c).alias(x + c) for c in ("v", "home", "d", "e", "both", "reach")))
+            return some.withColumn("unit", F.explode("units")).drop("units")
 
         times = held("far", "x_").groupBy("p", "unit").agg(F.count("*").alias("times"), F.min("x_v").alias("one"))
         order = held("near", "y_").join(durable(times), ["p", "unit"]).where((F.col("times") > 1) | (F.col("one") != F.col("y_v")))
-        order = order.groupBy("p", "y_v", "y_home", "y_d", "y_e", "y_reach").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("u"))
+        order = order.groupBy("p", "y_v", "y_home", "y_d", "y_e", "y_both", "y_reach").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("u"))
         order = order.select("*", F.posexplode("u").alias("i", "found")).withColumn("rest", F.size("u") - F.col("i"))
-        first = durable(order.where(F.col("y_d") - F.col("rest") < F.col("y_reach")).select("p", F.col("found.unit").alias("unit"), "y_v", "y_home", "y_e", "rest"))
+        first = durable(order.where(F.col("y_d") - F.col("rest") < F.col("y_reach")).select("p", F.col("found.unit").alias("unit"), "y_v", "y_home", "y_e", "y_both", "rest"))
         pairs = first.join(held("far", "x_"), ["p", "unit"])
+        pairs = pairs.where(~(F.col("x_both") & F.col("y_both")) | (F.struct("x_e", "x_v") > F.struct("y_e", "y_v")))
         pairs = pairs.where(F.col("x_home") != F.col("y_home")).where(2 * high * F.col("rest") >= F.col("x_e") + F.col("y_e"))
         pairs = pairs.select(F.greatest("x_v", "y_v").alias("v"), F.least("x_v", "y_v").alias("p")).distinct()
         back = self.tested.select(F.col("p").alias("v"), F.col("v").alias("p"))
