@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -246,3 +247,17 @@ def test_morans_i_of_groups_equals_that_of_each_membership(spark):
         one = {r["well_id"]: r["moran_i"] for r in spatial.morans_i(nodes.withColumn("h", (F.col("leiden") == g).cast("double")), edges, "h").collect()}
         assert got["w", g] == pytest.approx(one["w"])
     assert got["alone", 0] == 0.0
+
+
+def test_search_holds_no_doubles_of_all_references():
+    r = np.random.default_rng(0).normal(size=(100_000, 64)).astype(np.float32)
+    ids = np.arange(len(r))
+    tracemalloc.start()
+    found = list(embedding.nearest_rows(ids[:64], r[:64], ids, r, 5, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * r.nbytes
+    row, col, near = found[0]
+    d = np.sqrt(((r[:64, None].astype(float) - r[None, :2000]) ** 2).sum(axis=2))
+    d[np.arange(64), np.arange(64)] = np.inf
+    assert all(d[i].min() >= near[row == i].min() - 1e-9 for i in range(64)) and not (row == col).any()
