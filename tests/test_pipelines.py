@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wellspring.operators import diffusion, embedding, geometry, profiles, registration, spatial, wells
+from wellspring.operators import diffusion, embedding, geometry, mixing, profiles, registration, spatial, wells
 from wellspring.sources import tables as S
 
 
@@ -261,3 +261,17 @@ def test_search_holds_no_doubles_of_all_references():
     d = np.sqrt(((r[:64, None].astype(float) - r[None, :2000]) ** 2).sum(axis=2))
     d[np.arange(64), np.arange(64)] = np.inf
     assert all(d[i].min() >= near[row == i].min() - 1e-9 for i in range(64)) and not (row == col).any()
+
+
+def test_lisi_of_many_rows_at_once():
+    rng = np.random.default_rng(0)
+    dist, label = np.sort(rng.exponential(size=(50, 15)), axis=1), rng.integers(0, 3, (50, 15))
+    many = mixing.inverse_simpsons(dist, label, 5.0)
+    assert np.allclose(many, [mixing.inverse_simpsons(d[None], x[None], 5.0)[0] for d, x in zip(dist, label)])
+    low, high = 1e-6, 1e6
+    for _ in range(200):  # one row, by bisection of the logarithm
+        beta = (low * high) ** 0.5
+        p = np.exp(-beta * (dist[0] - dist[0].min()))
+        p /= p.sum()
+        low, high = (beta, high) if -(p * np.log(p)).sum() > np.log(5.0) else (low, beta)
+    assert abs(many[0] - 1 / sum(p[label[0] == v].sum() ** 2 for v in range(3))) < 1e-4

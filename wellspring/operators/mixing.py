@@ -10,32 +10,43 @@ from ..functions import cdf
 from .embedding import vector_knn
 
 
-def inverse_simpson(dist: np.ndarray, label: np.ndarray, perplexity: float, steps: int = 60) -> float:
-    """Effective number of labels among neighbours weighted to a given perplexity."""
-    target, low, high, beta = np.log(min(perplexity, len(dist))), 0.0, np.inf, 1.0
+def inverse_simpsons(dist: np.ndarray, label: np.ndarray, perplexity: float, steps: int = 60) -> np.ndarray:
+    """Effective number of labels among the neighbours of each row, weighted to a given perplexity; both are [rows, neighbours]."""
+    target = np.log(min(perplexity, dist.shape[1]))
+    near = dist - dist.min(axis=1, keepdims=True)
+    low, high, beta = np.zeros(len(near)), np.full(len(near), np.inf), np.ones(len(near))
+    p, todo = np.empty_like(near), np.arange(len(near))
     for _ in range(steps):
-        p = np.exp(-(dist - dist.min()) * beta)
-        p /= p.sum()
-        h = -(p[p > 0] * np.log(p[p > 0])).sum()
-        if abs(h - target) < 1e-6:
+        w = np.exp(-near[todo] * beta[todo, None])
+        p[todo] = w = w / w.sum(axis=1, keepdims=True)
+        h = -(w * np.log(np.where(w > 0, w, 1.0))).sum(axis=1)
+        off = ~(np.abs(h - target) < 1e-6)
+        todo, wide = todo[off], h[off] > target
+        up, down = todo[wide], todo[~wide]
+        low[up], high[down] = beta[up], beta[down]
+        beta[up] = np.where(np.isinf(high[up]), beta[up] * 2, (beta[up] + high[up]) / 2)
+        beta[down] = (beta[down] + low[down]) / 2
+        if not len(todo):
             break
-        if h > target:
-            low, beta = beta, beta * 2 if np.isinf(high) else (beta + high) / 2
-        else:
-            high, beta = beta, (beta + low) / 2
-    return float(1 / sum(p[label == v].sum() ** 2 for v in np.unique(label)))
+    same = sum(np.where(label == label[:, [i]], p, 0.0).sum(axis=1) * p[:, i] for i in range(p.shape[1]))
+    return 1 / same
 
 
 def lisi(knn: DataFrame, labels: DataFrame, id_col: str, label: str, perplexity: float = 30.0) -> DataFrame:
     """(id, lisi) from neighbours (src, dst, dist); each row gathers its k neighbours only."""
 
     @F.pandas_udf(DoubleType())
-    def score(rows: pd.Series) -> pd.Series:
-        return pd.Series([inverse_simpson(np.array([x["dist"] for x in r]), np.array([x["label"] for x in r]), perplexity) for r in rows])
+    def score(dist: pd.Series, label: pd.Series) -> pd.Series:
+        out, size = np.empty(len(dist)), dist.map(len).to_numpy()
+        for k in np.unique(size):  # rows of one number of neighbours at a time
+            at = np.flatnonzero(size == k)
+            names = pd.factorize(np.concatenate(label.iloc[at].to_numpy()), use_na_sentinel=False)[0]
+            out[at] = inverse_simpsons(np.stack(dist.iloc[at].to_numpy()), names.reshape(-1, k), perplexity)
+        return pd.Series(out)
 
     near = knn.join(labels.select(F.col(id_col).alias("dst"), F.col(label).cast("string").alias("label")), "dst")
     sets = near.groupBy(F.col("src").alias(id_col)).agg(F.sort_array(F.collect_list(F.struct("dist", "label"))).alias("near"))
-    return sets.select(id_col, score("near").alias("lisi"))
+    return sets.select(id_col, score("near.dist", "near.label").alias("lisi"))
 
 
 def clisis(latent: DataFrame, spatial: DataFrame, id_col: str, n_types: int) -> DataFrame:
