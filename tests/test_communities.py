@@ -90,6 +90,42 @@ def test_expected_information_of_large_clusters_is_quick_and_near_that_of_lgamma
     assert B.log_factorial(x) == pytest.approx([math.lgamma(v + 1) for v in x], rel=1e-13, abs=1e-9)
 
 
+def test_expected_information_of_middling_clusters_is_the_sum_over_whole_counts():
+    import math
+
+    import pandas as pd
+
+    def want(x, y, t):
+        f = lambda v: math.lgamma(v + 1)
+        p = lambda n: math.exp(f(x) + f(y) + f(t - x) + f(t - y) - f(t) - f(n) - f(x - n) - f(y - n) - f(t - x - y + n))
+        return sum(n / t * math.log(t * n / (x * y)) * p(n) for n in range(max(1, x + y - t), min(x, y) + 1))
+
+    sizes = [(700, 800, 2000), (1, 2000, 2000), (5, 7, 20), (15000, 400, 50000), (900, 1000, 1200)] * 300
+    got = B._expected_information.func(*(pd.Series(c) for c in zip(*sizes)))
+    assert got.tolist() == pytest.approx([want(*c) for c in sizes[:5]] * 300, rel=1e-8, abs=1e-12)
+
+
+def test_graphs_advance_in_the_same_rounds_and_part_as_each_alone(spark, monkeypatch):
+    frame = lambda edges: spark.createDataFrame(edges, "src long, dst long, weight double")
+    graphs = [frame(planted(3, [8] * 4, 0.6, 0.1)), frame(planted(4, [30], 0.2, 0.2))]
+    stored, real = [], communities.durable
+    monkeypatch.setattr(communities, "durable", lambda *a, **k: stored.append(1) or real(*a, **k))
+
+    def parts(df):
+        return {(r["run"], r["node"]): r["community"] for r in df.collect()}
+
+    alone, rounds = [], []
+    for g in graphs:
+        stored.clear()
+        alone.append(parts(communities.communities_at(g, (0.5, 2.0))))
+        rounds.append(len(stored))
+    stored.clear()
+    both = communities.communities_of(graphs, (0.5, 2.0))
+    assert len(stored) < 0.8 * sum(rounds)
+    for number, want in enumerate(alone):
+        assert parts(both.where(F.col("graph") == number)) == want
+
+
 def permuted(spark, ids, groups, perms, seed):
     """Labels that the operator gives each id in each permutation, by the same order of hashes."""
     f = spark.createDataFrame([(i, p) for i in ids for p in range(1, perms + 1)], "id long, perm int")

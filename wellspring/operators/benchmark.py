@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from ..session import durable
 from .embedding import clustering_agreement, vector_knn
-from .communities import communities_at
+from .communities import communities_at, communities_of
 from .mixing import lisi
 from .spatial import nhood_enrichment
 
@@ -41,31 +41,48 @@ def mean_enrichment_similarity(latent: DataFrame, spatial: DataFrame) -> DataFra
     return by.agg(F.avg(1 - F.atan(F.col("d") / F.col("n")) / (math.pi / 2)).alias("avg_cas"))
 
 
+_SMALL = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 256)))))
+
+
 def log_factorial(x: np.ndarray) -> np.ndarray:
     """Natural logarithm of x! for whole numbers: a table below 256, Stirling's series above."""
     x = np.asarray(x, dtype=float)
-    small = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, 256)))))
     y = np.maximum(x, 256)
     series = y * np.log(y) - y + 0.5 * np.log(2 * np.pi * y) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-    return np.where(x < 256, small[np.minimum(x, 255).astype(int)], series)
+    return np.where(x < 256, _SMALL[np.minimum(x, 255).astype(int)], series)
 
 
-@F.pandas_udf(DoubleType())
-def _expected_information(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
-    """The share of one pair of cluster sizes in the expected mutual information of random clusterings.
+#: Tasks that pairs of cluster sizes are dealt over, and counts that a task holds at a time.
+PAIR_TASKS, PAIR_COUNTS = 48, 1 << 19
+
+
+def expected_information(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The share of each pair of cluster sizes in the expected mutual information of random clusterings of t things.
 
     Counts are hypergeometric; those so far from the mode that they weigh
     nothing in a double are left out, so the work follows the root of the sizes.
     """
-    out = []
-    for x, y, t in zip(a.astype(float), b.astype(float), total.astype(float)):
-        mode = np.floor((x + 1) * (y + 1) / (t + 2))
-        wide = 10 * math.sqrt(x * y * (t - x) * (t - y) / (t * t * max(t - 1, 1))) + 60
-        n = np.arange(max(1, x + y - t, mode - wide), min(x, y, mode + wide) + 1)
-        fixed = sum(float(log_factorial(v)) for v in (x, y, t - x, t - y)) - float(log_factorial(t))
-        p = np.exp(fixed - log_factorial(n) - log_factorial(x - n) - log_factorial(y - n) - log_factorial(t - x - y + n))
-        out.append(float((n / t * np.log(t * n / (x * y)) * p).sum()))
-    return pd.Series(out, dtype=float)
+    x, y, t = (np.asarray(v, dtype=float) for v in (x, y, t))
+    mode = np.floor((x + 1) * (y + 1) / (t + 2))
+    wide = np.ceil(10 * np.sqrt(x * y * (t - x) * (t - y) / (t * t * np.maximum(t - 1, 1)))) + 60
+    low = np.maximum(np.maximum(1, x + y - t), mode - wide)
+    size = np.maximum(np.minimum(np.minimum(x, y), mode + wide) - low + 1, 0).astype(np.int64)
+    fixed = sum(log_factorial(v) for v in (x, y, t - x, t - y)) - log_factorial(t)
+    out, ends, lo = np.zeros(len(x)), np.cumsum(size), 0
+    while lo < len(x):
+        hi = max(int(np.searchsorted(ends, ends[lo] - size[lo] + PAIR_COUNTS, "right")), lo + 1)
+        own = np.repeat(np.arange(lo, hi), size[lo:hi])
+        n = low[own] + np.arange(len(own)) - (ends[own] - size[own] - (ends[lo] - size[lo]))
+        a, b, all_ = x[own], y[own], t[own]
+        p = np.exp(fixed[own] - log_factorial(n) - log_factorial(a - n) - log_factorial(b - n) - log_factorial(all_ - a - b + n))
+        out[lo:hi] = np.bincount(own - lo, weights=n / all_ * np.log(all_ * n / (a * b)) * p, minlength=hi - lo)
+        lo = hi
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _expected_information(a: pd.Series, b: pd.Series, total: pd.Series) -> pd.Series:
+    return pd.Series(expected_information(a, b, total), dtype=float)
 
 
 def adjusted_mutual_information(df: DataFrame, a: str, b: str, key: tuple = ()) -> DataFrame:
@@ -85,7 +102,8 @@ def adjusted_mutual_information(df: DataFrame, a: str, b: str, key: tuple = ())
     mi = mi.groupBy(*key).agg(F.sum(F.col("n") / t * F.log(F.col("n") * t / (F.col("na") * F.col("nb")))).alias("mi"))
     h = [s.groupBy(*key).agg((-F.sum(F.col(f"n{x}") / t * F.log(F.col(f"n{x}") / t))).alias(f"h{x}")) for x, s in sides.items()]
     sizes = [s.groupBy(*key, "t", f"n{x}").agg(F.count("*").alias(f"k{x}")) for x, s in sides.items()]
-    e = sizes[0].join(sizes[1].drop("t"), key).groupBy(*key).agg(F.sum(F.col("ka") * F.col("kb") * _expected_information("na", "nb", "t")).alias("e"))
+    pairs = sizes[0].join(sizes[1].drop("t"), key).repartition(PAIR_TASKS, *key, "na", "nb")  # few bytes, much work
+    e = pairs.groupBy(*key).agg(F.sum(F.col("ka") * F.col("kb") * _expected_information("na", "nb", "t")).alias("e"))
     mean = (F.col("ha") + F.col("hb")) / 2
     value = F.when(F.abs(mean - F.col("e")) > 1e-12, (F.col("mi") - F.col("e")) / (mean - F.col("e"))).otherwise(1.0)
     return mi.join(h[0], key).join(h[1], key).join(e, key).select(*key, value.alias("ami")).drop("_all")
@@ -245,6 +263,6 @@ def community_silhouette(df: DataFrame, id_col: str, vector: str, edges: DataFra
 
 def community_information(latent: DataFrame, spatial: DataFrame, resolutions: tuple) -> DataFrame:
     """Largest adjusted mutual information of communities of two graphs over all pairs of resolutions."""
-    a = communities_at(latent, resolutions).select("node", F.col("run").alias("ra"), F.col("community").alias("a"))
-    b = communities_at(spatial, resolutions).select("node", F.col("run").alias("rb"), F.col("community").alias("b"))
+    part = communities_of((latent, spatial), resolutions)
+    a, b = (part.where(F.col("graph") == number).select("node", F.col("run").alias(f"r{x}"), F.col("community").alias(x)) for number, x in enumerate("ab"))
     return adjusted_mutual_information(a.join(b, "node"), "a", "b", ("ra", "rb")).agg(F.max("ami").alias("mlami"))
