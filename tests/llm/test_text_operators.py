@@ -218,6 +218,24 @@ def test_filter_never_reads_too_little():
     assert (read >= logbloom.level_of(count)).all() and (read == logbloom.level_of(count)).mean() > 0.9
 
 
+def test_levels_of_frequent_pairs_are_not_probed_again_and_stay_the_same(monkeypatch):
+    rng = np.random.default_rng(8)
+    key = rng.integers(1, 1 << 63, 4000).astype(np.uint64)
+    count = np.where(np.arange(4000) % 4 == 0, 200, 2)
+    layout = logbloom.Layout(3, 1)
+    bits = np.zeros(3 * logbloom.SEGMENT, dtype=bool)
+    logbloom.set_bits(key, count, layout.segment_of(key) * logbloom.SEGMENT, bits)
+    packed = np.packbits(bits, bitorder="little")
+    asked, real = [], logbloom.read_levels
+    monkeypatch.setattr(logbloom, "read_levels", lambda f, k, s: asked.append(len(k)) or real(f, k, s))
+    for slots in (1 << 16, 64):  # in few slots keys drive each other out
+        recent = logbloom.Recent(slots)
+        for part in (key, key[::-1], np.concatenate([key, key, rng.integers(1, 1 << 63, 500).astype(np.uint64), np.zeros(3, np.uint64)])):
+            assert (recent.read(packed, part, layout) == real(packed, part, layout.segment_of(part))).all()
+    assert asked[0] == 4000 and asked[1] < 3100
+    assert logbloom._recent("a") is logbloom._recent("a") and logbloom._recent("a") is not logbloom._recent("b")
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(400, [1.0] * 8), (450, [1.0] * 8), (451, None), (500, [float("nan")] * 8), (None, [1.0] * 8)]

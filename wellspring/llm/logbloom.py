@@ -2,7 +2,8 @@
 
 A count c is kept as its level 1 + floor(log_b c); the filter holds the n-gram
 once for every level up to its own. A reader probes level 1, 2, ... until one
-is absent and so gets the level, never too small and seldom too large. Unigrams
+is absent and so gets the level, never too small and seldom too large. A worker
+remembers the levels of frequent n-grams that it read. Unigrams
 and bigrams share the filter. It is made of segments of fixed size, each built
 by the one task that gets all counts of the n-grams hashed there, so counts
 are exact before they are quantised.
@@ -14,6 +15,9 @@ each need one slice only. One slice does until the bound is reached; then every
 further slice is one more pass, with the same results.
 """
 
+import uuid
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +26,6 @@ from pyspark.sql import functions as F
 from ..session import durable
 from . import common
 from .dedup import mix
-from .packing import Memo
 
 #: Growth of the levels, bits set for an entry, bits of a segment.
 BASE, PROBES, SEGMENT = 1.5, 8, 1 << 19
@@ -83,38 +86,68 @@ def set_bits(key: np.ndarray, count: np.ndarray, where: np.ndarray, bits: np.nda
 
 
 def read_levels(filter_: np.ndarray, key: np.ndarray, segment: np.ndarray) -> np.ndarray:
-    """Level of each n-gram by repeated membership probes of a packed filter."""
+    """Level of each n-gram by repeated membership probes of a packed filter.
+
+    Two probes rule out most absent entries; the others are asked for the rest at once.
+    """
     out = np.zeros(len(key), dtype=np.int64)
-    at, now = np.arange(len(key)), 1
+    at, now, base = np.arange(len(key)), 1, segment * (SEGMENT >> 3)
     while len(at):
-        start, step = probe_bits(key[at], np.full(len(at), now))
-        base = segment[at] * SEGMENT
-        for i in range(PROBES):
-            bit = base + ((start + _U(i) * step) & _U(SEGMENT - 1)).astype(np.int64)
-            ok = (filter_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
-            at, start, step, base = at[ok], start[ok], step[ok], base[ok]
+        start, step = (x.astype(np.uint32) for x in probe_bits(key, np.array([now])))  # their low bits say where
+        for probes in (2, PROBES - 2):
+            ok = np.ones(len(at), dtype=np.uint8)
+            for _ in range(probes):
+                bit = start & np.uint32(SEGMENT - 1)
+                ok &= filter_[base + (bit >> 3)] >> (bit & 7).astype(np.uint8)
+                start = start + step
+            ok = np.flatnonzero(ok)
+            at, key, base, start, step = at[ok], key[ok], base[ok], start[ok], step[ok]
         out[at] = now
         now += 1
     return out
 
 
+class Recent:
+    """Levels of n-grams met lately, those that took many probes only; the last one of a slot stays."""
+
+    def __init__(self, slots: int = 1 << 20, least: int = 5):
+        self.key, self.level, self.least = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.uint8), least
+
+    def read(self, filter_: np.ndarray, key: np.ndarray, layout: Layout) -> np.ndarray:
+        slot = (key & _U(len(self.key) - 1)).astype(np.int64)
+        out = np.where(self.key[slot] == key, self.level[slot], 0).astype(np.int64)
+        new = np.flatnonzero(out == 0)
+        asked = key[new]
+        out[new] = level = read_levels(filter_, asked, layout.segment_of(asked))
+        keep = (level >= self.least) & (level < 256)
+        slot, asked, level = slot[new[keep]], asked[keep], level[keep]
+        self.key[slot] = asked
+        won = self.key[slot] == asked
+        self.level[slot[won]] = level[won]
+        return out
+
+
+def _recent(tag: str) -> Recent:
+    """What this worker remembers of the slice of this tag; it forgets other slices."""
+    if _state.get("tag") != tag:
+        _state.update(tag=tag, recent=Recent())
+    return _state["recent"]
+
+
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, an END after each, and where each text ends.
 
     Only A-Z are lower-cased; words end at ASCII white space only.
     """
-    if "words" not in _state:
-        import xxhash
+    from xxhash import xxh3_64_intdigest
 
-        _state["words"] = Memo(xxhash.xxh3_64_intdigest, 1 << 16)
-    get = _state["words"].__getitem__
     split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
     sizes = np.array([len(s) + 1 for s in split], dtype=np.int64)
     ends = np.cumsum(sizes)
     flat = np.full(int(ends[-1]) if len(ends) else 0, END, dtype=np.uint64)
     inner = np.ones(len(flat), dtype=bool)
     inner[ends - 1] = False
-    flat[inner] = np.fromiter((get(w) for s in split for w in s), dtype=np.uint64, count=int(inner.sum()))
+    flat[inner] = np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(split)), dtype=np.uint64, count=int(inner.sum()))
     return flat, ends
 
 
@@ -304,6 +337,7 @@ def score_texts(
 
     def scorer(number, filter_):
         """Terms of the slice; exact counts come along with the first slice."""
+        tag = uuid.uuid4().hex
 
         def run(rows):
             flat, ends = token_hashes(rows["text"])
@@ -322,7 +356,7 @@ def score_texts(
             before = contexts(flat)
             use = mine[where]
             pair = pair_key(before[use], flat[use])
-            seen = count_of(read_levels(filter_.value, pair, layout.segment_of(pair)))
+            seen = count_of(_recent(tag).read(filter_.value, pair, layout))
             single = counted[where]
             upper = np.log10(np.minimum(seen, single[use]) + WEIGHT * (single[use] + ALPHA) / floor)
             lower = np.log10(counted + WEIGHT)
