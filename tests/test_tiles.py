@@ -140,3 +140,25 @@ def test_pixels_are_made_by_many_tasks(spark, tmp_path):
     assert px.count() == 500_000
     out = pixels.percentile_rescale(px.select("ch", "img", "y", "x", "v"), ["ch"], 0.01, 0.0, 1.0, few=True)
     assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+
+
+def _by(df, *names):
+    return {tuple(r[n] for n in names): r for r in df.collect()}
+
+
+def test_closeness_asks_tiles_and_stores_no_edges(spark, cloud, monkeypatch):
+    """Hops over several tiles, groups out of reach, more groups than a word has bits, and points without a group."""
+    rows, df, _, _ = cloud
+    df = df.where("label <> 'n1'")
+    chain = spark.createDataFrame([("p", "chain", f"a{i}", i / 4, 0.0, 0.0, i // 2, 1.0) for i in range(140)], df.schema)
+    df = df.unionByName(chain)
+    e = durable(tiles.edges(df, 5.0))
+    want = _by(spatial.group_closeness(df, e), "plate_id", "well_id", "leiden")
+    monkeypatch.setattr(tiles, "edges", None)
+    got = _by(tiles.group_closeness(df, 5.0), "plate_id", "well_id", "leiden")
+    assert set(got) == set(want) and len(got) > 70
+    for k, r in want.items():
+        assert got[k]["closeness"] == (pytest.approx(r["closeness"]) if r["closeness"] is not None else None)
+    more = df.where("well_id = 'chain' and leiden < 2").unionByName(spark.createDataFrame([("p", "chain", "none", 4.0, 2.0, 0.0, None, 1.0)], df.schema))
+    bare = _by(tiles.group_closeness(more, 5.0), "leiden")
+    assert set(bare) == {(0,), (1,)} and {r["closeness"] for r in bare.values()} == {1.0}

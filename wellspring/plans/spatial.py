@@ -119,7 +119,7 @@ add(
      on t.plate_id = n.plate_id and t.well_id = n.well_id and t.src = n.label group by all""",
     "binned", "clustering",
 )
-add("g11_group_closeness", lambda s, d: spatial.group_closeness(nuclei(s, d), stored_edges(s, d)), doubles="closeness")
+add("g11_group_closeness", _near(tiles.group_closeness), doubles="closeness")
 add("g12_nhood_enrichment", lambda s, d: spatial.nhood_enrichment(nuclei(s, d), stored_edges(s, d)), doubles="z")
 _moran = """select n.plate_id, n.well_id, case when ss > 0 and w is not null then n / w * num / ss else 0.0 end moran_i from
    (select plate_id, well_id, count(*) n, var_pop(F) * count(*) ss from nuclei group by all) n left join
