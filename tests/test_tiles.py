@@ -1,6 +1,9 @@
 """Exact quantiles by ranks, and neighbours by tile against brute force."""
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -162,3 +165,49 @@ def test_closeness_asks_tiles_and_stores_no_edges(spark, cloud, monkeypatch):
     more = df.where("well_id = 'chain' and leiden < 2").unionByName(spark.createDataFrame([("p", "chain", "none", 4.0, 2.0, 0.0, None, 1.0)], df.schema))
     bare = _by(tiles.group_closeness(more, 5.0), "leiden")
     assert set(bare) == {(0,), (1,)} and {r["closeness"] for r in bare.values()} == {1.0}
+
+
+def test_nearest_looks_outwards_in_a_crowd(spark):
+    """Among 20 000 points a block meets few of those within the radius, and ties go to the smaller id all the same."""
+    rng = np.random.default_rng(3)
+    at = np.round(rng.uniform(0, 100, (20000, 2)))
+    kind = "w string, label string, x double, y double"
+    df = spark.createDataFrame([("w", f"n{i:05d}", *map(float, p)) for i, p in enumerate(at)], kind)
+    some = rng.choice(20000, 60, replace=False)
+    got = {(r["src"], r["rank"]): (r["dst"], r["dist"]) for r in tiles.nearest(df, None, 3, 40.0, ("x", "y"), ("w",)).where(F.col("src").isin([f"n{i:05d}" for i in some])).collect()}
+    for i in some:
+        d = np.sqrt(((at - at[i]) ** 2).sum(axis=1))
+        d[i] = np.inf
+        for rank, j in enumerate(np.lexsort((np.arange(len(d)), d))[:3], 1):
+            assert got[f"n{i:05d}", rank] == (f"n{j:05d}", d[j])
+    def count_meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, tile = [0], tiles.Tile(batches, 40.0, 2)
+        meet = tile.meet
+
+        def counted(rows, near):
+            met[0] += len(rows) * len(near)
+            return meet(rows, near)
+
+        tile.meet = counted
+        list(tile.nearest(3))
+        yield pa.RecordBatch.from_arrays([pa.array(met)], names=["n"])
+
+    dealt = tiles._dealt(df, None, 40.0, ("x", "y"), ["w"], "label", ids=True)
+    met = dealt.applyInArrow(count_meetings, "n long").agg(F.sum("n")).first()[0]
+    assert met < 20000 * 1500
+
+
+def test_links_are_summed_where_they_are_found(cloud):
+    rows, df, _, _ = cloud
+    other = df.where("label like 'c%'").withColumn("x", F.col("x") + 1.5)
+    want = _by(tiles.nearest(df, other, 1, 5.0, strict=True), "plate_id", "well_id", "src", "dst")
+    got = tiles.linked(df, other, 5.0, ["leiden"])
+    assert got.count() == len([r for r in rows if r[3] is not None])
+    met = got.where("to is not null").collect()
+    assert {(r["plate_id"], r["well_id"], r["label"], r["to"]) for r in met} == set(want)
+    assert all(r["to_x"] == 8.5 for r in met if r["to"].startswith("c"))
+    place = {r[2]: r[3:6] for r in rows}
+    (sums,) = tiles.link_sums(df, other, 5.0).collect()
+    s = np.array([place[r["label"]] for r in met])
+    t = np.array([[r["to_x"], r["to_y"], r["to_z"]] for r in met])
+    assert sums["n"] == len(met) and sums["sums"] == pytest.approx([*s.sum(axis=0), *t.sum(axis=0), *(s.T @ t).ravel()])
