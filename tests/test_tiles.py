@@ -211,3 +211,26 @@ def test_links_are_summed_where_they_are_found(cloud):
     s = np.array([place[r["label"]] for r in met])
     t = np.array([[r["to_x"], r["to_y"], r["to_z"]] for r in met])
     assert sums["n"] == len(met) and sums["sums"] == pytest.approx([*s.sum(axis=0), *t.sum(axis=0), *(s.T @ t).ravel()])
+
+
+def test_crowded_points_and_their_components_meet_few(cloud, monkeypatch):
+    """Full cells tell of their points; the others are counted, over borders of tiles too."""
+    rows, df, _, hit = cloud
+    want = [r[2] for r, n in zip(rows, hit.sum(axis=1)) if n >= 3]
+    whole = tiles.crowded(df, 5.0, 3)
+    assert whole.columns == df.columns and sorted(r["label"] for r in whole.collect()) == sorted(want)
+    met, meet = [], tiles.Tile.meet
+    monkeypatch.setattr(tiles.Tile, "meet", lambda self, rows, near: met.append(len(rows) * len(near)) or meet(self, rows, near))
+    crowd = [("p", f"c{i:04d}", *map(float, p)) for i, p in enumerate(np.random.default_rng(2).uniform(0, 60, (3000, 3)))]
+    tile = pa.table({"w": [c[0] for c in crowd], "id": [c[1] for c in crowd], "same": range(3000), "tiles": [1] * 3000, "is_src": [True] * 3000, "is_dst": [True] * 3000} | {f"v{i}": [c[2 + i] for c in crowd] for i in range(3)})
+    monkeypatch.setattr(tiles, "_run", lambda dealt, like, extra, work, *more: (_ for _ in ()).throw(_Caught(work)))
+    with pytest.raises(_Caught) as caught:
+        tiles.components(df.selectExpr("well_id w", "label", "x", "y", "z"), 30.0, key=("w",))
+    kind = pa.schema([("w", pa.string()), ("id", pa.string()), ("root", pa.string()), ("own", pa.bool_()), ("shared", pa.bool_())])
+    out = pa.Table.from_batches(caught.value.work(tiles.Tile(tile.to_batches(), 30.0, 3), kind))
+    assert out.num_rows == 3000 and set(out.column("root").to_pylist()) == {"c0000"} and sum(met) < 3000 * 300
+
+
+class _Caught(Exception):
+    def __init__(self, work):
+        self.work = work
