@@ -234,3 +234,26 @@ def test_crowded_points_and_their_components_meet_few(cloud, monkeypatch):
 class _Caught(Exception):
     def __init__(self, work):
         self.work = work
+
+
+def test_hashes_are_those_of_spark(spark):
+    from wellspring.operators import permutations
+
+    texts = ["", "a", "abcd", "abcdefg", "abcdefgh", "123_4_567_89", "x" * 31, "y" * 32, "z" * 45, "\u00e9" * 20, None]
+    df = spark.createDataFrame([(t, i - 3, (i - 3) * 10**12) for i, t in enumerate(texts)], "t string, i int, l long")
+    rows = df.select("*", *[F.xxhash64(F.lit(7), F.lit(12), c).alias(f"h{c}") for c in "til"]).toArrow()
+    start = permutations._number(12, permutations._number(7, 42))
+    for c in "til":
+        assert permutations.Hasher(rows.column(c).combine_chunks())(start).tolist() == rows.column(f"h{c}").to_pylist()
+
+
+def test_enrichment_by_tile_is_that_of_edges(spark, cloud):
+    _, df, _, _ = cloud
+    df = df.where("label <> 'n1'").withColumn("leiden", F.when(F.col("label") != "n7", F.col("leiden")))
+    e = durable(tiles.edges(df, 5.0))
+    got = _by(spatial.nhood_enrichment_within(df, (3.0, 5.0), n_perms=30, batch=20), "k", "well_id", "src_group", "dst_group")
+    for k, r in ((1, 3.0), (2, 5.0)):
+        want = _by(spatial.nhood_enrichment(df, e.where(F.col("dist") <= r), n_perms=30), "well_id", "src_group", "dst_group")
+        assert len(want) > 18
+        for pair, x in want.items():
+            assert (got[k, *pair]["n"], got[k, *pair]["z"]) == (x["n"], pytest.approx(x["z"]) if x["z"] is not None else None)
