@@ -190,6 +190,12 @@ def test_transferred_clusters_follow_blobs(spark):
     assert accuracy.first()[0] > 0.9
 
 
+def test_all_rows_are_clustered_unless_a_sample_is_asked_for(spark):
+    labels, accuracy = wells.cluster_pipeline(blobs(spark), "id", "v", n_comps=3, k=8, vote=9)
+    got = labels.collect()
+    assert len(got) == 240 and all(r["sampled"] for r in got) and accuracy.first()[0] > 0.9
+
+
 def test_well_embedding_equals_numpy_and_shares_features(spark):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(60, 4)) * [1, 10, 3, 0] + [0, 5, 1, 2]
