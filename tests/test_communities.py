@@ -190,3 +190,15 @@ def test_well_features_are_complete_and_zero_filled(spark):
     kinds = ("interaction_0_1", "enrichment_0_0", "mean_degree_1", "std_degree", "centrality_0", "closeness_1", "clustering_0", "morans_i_f", "morans_i_1")
     assert all(f"m_stat_{k}_{r}" in got["A"] for k in kinds for r in (15, 30))
     assert {v for k, v in got["far"].items() if k not in ("cell_count", "m_0", "m_1")} == {0.0}
+
+
+def test_well_features_without_edges_are_the_same(spark):
+    from wellspring.operators import joins
+    from wellspring.operators.spatial_features import well_features
+
+    rng = random.Random(6)
+    rows = [("p", "A", f"A{i}", i % 2, rng.random() * 60, rng.random() * 60, 0.0, rng.random()) for i in range(40)]
+    nodes = spark.createDataFrame(rows, "plate_id string, well_id string, label string, leiden int, x double, y double, z double, f double")
+    edges = joins.radius_neighbors(nodes, 30.0)
+    a, b = ({r["feature"]: r["value"] for r in well_features(nodes, e, (30,), ("f",), "m", 30.0, 1, n_perms=5).collect()} for e in (edges, None))
+    assert set(a) == set(b) and len(a) > 20 and all(b[k] == pytest.approx(v) for k, v in a.items())
