@@ -28,6 +28,13 @@ def test_fuzzy_connectivities_are_symmetric_and_bounded(spark):
     assert all(w[a, b] == pytest.approx(w[b, a]) for a, b in w)
 
 
+def test_knn_join_has_three_neighbours_of_every_point(spark):
+    from wellspring.plans import registry
+
+    out = registry.QUERIES["j9_knn_join"](spark, "/root/testdata/sf0.001").groupBy("plate_id", "well_id", "src").count()
+    assert {r["count"] for r in out.select("count").distinct().collect()} == {3} and out.count() > 5000
+
+
 def test_knn_points_look_farther_where_points_are_few(spark):
     xs = [0.0, 1.0, 2.0, 50.0, 900.0]
     rows = [("p", "w", str(i), x, 0.0, 0.0) for i, x in enumerate(xs)] + [("p", "alone", "a", 0.0, 0.0, 0.0), ("p", "w", "null", None, 0.0, 0.0)]

@@ -54,9 +54,11 @@ add(
 )
 add(
     "j9_knn_join",
-    lambda s, d: tiles.nearest(nuclei(s, d), None, 3, RADIUS),
-    f"select * from (select {KS}, src, dst, dist, row_number() over (partition by {KS}, src order by dist, dst)::int rank from edges) where rank <= 3",
-    "binned", "dist",
+    lambda s, d: joins.knn_points(nuclei(s, d), 3, RADIUS),
+    "select * from (select a.plate_id, a.well_id, a.label src, b.label dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) dist, "
+    "row_number() over (partition by a.plate_id, a.well_id, a.label order by sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), b.label)::int rank "
+    "from nuclei a join nuclei b on a.plate_id = b.plate_id and a.well_id = b.well_id and a.label <> b.label) where rank <= 3",
+    "nuclei", "dist",
 )
 add(
     "j10_nearest_link",
